@@ -1,7 +1,7 @@
 """Line dedup by overlapping windows of consecutive lines. DataFrame functions only.
 
 A text is split at LF. Every run of ``window`` consecutive lines is hashed (two independent 64-bit hashes of the lines'
-own hashes). The first place of a window is the one with the smallest (doc_id, row digest, line number); at every later
+own hashes). Tables are broadcast only when counted and below ``broadcast_rows``. The first place of a window is the one with the smallest (doc_id, row digest, line number); at every later
 place all its lines are covered. Covered lines go, so overlapping repeated windows merge into one removed span.
 
 Defined results: null text stays null (no lines); a text with fewer lines than ``window`` is never changed; an empty text
@@ -31,7 +31,7 @@ def _window_keys(lines: Column, window: int) -> Column:
     return F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), at))
 
 
-def repeated_line_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
+def repeated_line_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
     """(doc_id, digest, gone): per document the array of line positions that later occurrences cover. Documents without
     any are absent; ``digest`` tells rows with one id but different texts apart."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), F.split(F.col(text_col), "\n").alias("lines"))
@@ -39,23 +39,25 @@ def repeated_line_positions(docs: DataFrame, id_col: str = "doc_id", text_col: s
     w = w.select("doc_id", "digest", "w.pos", "w.h1", "w.h2")
     place = F.struct("doc_id", "digest", "pos")
     seen = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    again = seen.where("not first <=> last").select("h1", "h2", "first")
-    later = w.join(again, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    again = common.written(seen.where("not first <=> last").select("h1", "h2", "first"), "lines-again")
+    # Both sides of a shuffled join are then plain exchanges, so that adaptive execution can split a hot window's rows.
+    later = w.join(F.broadcast(again) if common.size_bounded(again, broadcast_rows) else again, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = later.groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("starts"))
     spans = F.transform("starts", lambda s: F.sequence(s, s + F.lit(window - 1)))
     return covered.select("doc_id", "digest", F.array_distinct(F.flatten(spans)).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
     """``docs`` with ``text_col`` less its covered lines, plus ``lines_total`` and ``lines_removed`` (both long)."""
-    gone = repeated_line_positions(docs, id_col, text_col, window)
+    gone = common.written(repeated_line_positions(docs, id_col, text_col, window, broadcast_rows), "lines-gone")
+    small = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 10 * broadcast_rows
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"), F.col("gone").alias("_gone"))
     on = docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_digest"))
     lines = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = docs.join(gone, on, "left")
+    out = docs.join(F.broadcast(gone) if small else gone, on, "left")
     new = {
         "lines_total": total,
         "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
