@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality, simhash, substring
+from . import decontaminate, line_dedup, pieces, quality, simhash, substring
 
 QUERIES = {
+    "op5_sentencepiece": pieces.op5,
     "op6_substring_dedup": substring.op6,
     "op7_line_dedup": line_dedup.op7,
+    "op8_decontamination": decontaminate.op8,
     "op9_simhash": simhash.op9,
     "op10_quality_rules": quality.op10,
 }
