@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, pieces, quality, simhash, substring
+from . import decontaminate, line_dedup, pieces, quality, simhash, substring, token_files, warc
 
 QUERIES = {
+    "op1_token_files": token_files.op1,
+    "op2_warc_revisits": warc.op2,
     "op5_sentencepiece": pieces.op5,
     "op6_substring_dedup": substring.op6,
     "op7_line_dedup": line_dedup.op7,
@@ -14,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc_revisits": warc.ORACLE_OP2,
     "op7_line_dedup": line_dedup.ORACLE_OP7,
 }
