@@ -12,13 +12,12 @@ in either case.
 
 Defined results: null and empty texts give no ids and decode to the empty text; the space mark itself (U+2581) decodes as
 a space, as in the library; repeated rows and ids give a row each; an empty table gives an empty result; ids outside the
-vocabulary decode as nothing; other columns are ignored.
+vocabulary decode as nothing; other columns are kept, and one named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
@@ -117,32 +116,28 @@ def segmenter(model: bytes) -> Segmenter:
     return _segmenters[key]
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): one row per input row."""
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+    """``docs`` with the ids of its texts as ``out_col``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def ids_of(texts: pa.Array) -> pa.Array:
         seg = segmenter(shared.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):  # a short list of ids at a time
-                part = b.slice(at, 500)
-                ids = [np.array(seg.encode(t), np.int32) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+        ids = [np.array(seg.encode(t), np.int32) for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
-    src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return src.mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.withColumn(out_col, ids_of(F.col(text_col).cast("string")))
 
 
 def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids as ``out_col``."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def text_of(ids):
+    @F.arrow_udf("string")
+    def text_of(ids: pa.Array) -> pa.Array:
         seg = segmenter(shared.value)
-        return type(ids)([seg.decode(None if x is None else x.tolist()) for x in ids], dtype=object)
+        return pa.array([seg.decode(x) for x in ids.to_pylist()], pa.string())
 
     return encoded.withColumn(out_col, text_of(F.col(ids_col)))
 
@@ -159,5 +154,5 @@ def model_file(path: str | None = None) -> bytes:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     model = model_file()
-    out = decode(encode(common.table(spark, sf_dir, "documents"), model), model)
+    out = decode(encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -55,15 +55,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row."""
+    """(doc_id, digest, fp): one row per input row; digest is the xxhash64 of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype="<u8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype="<u8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view("<i8"))], names=["doc_id", "digest", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return src.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _block_keys(max_bits: int) -> F.Column:
@@ -127,14 +128,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, max_bucket: int = 64
 ) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id among all rows reachable over links."""
+    """(doc_id, fp, component_id, digest, label): component_id is the smallest id among all rows reachable over links;
+    label names the component, too, by its smallest fingerprint."""
     rows = common.written(with_fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     fps = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     labels = components(fingerprint_links(fps.select("fp"), max_bits, max_bucket))
     member = fps.join(labels, fps.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     ids = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = member.join(ids, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = member.join(ids, "label").select("fp", "component_id", "label")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "digest", "label")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null last), then text hash. The keys to drop are
+    broadcast up to ``broadcast_rows``."""
+    rows = near_duplicates(docs, id_col, text_col, **options)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    keys = common.written(rows.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n")), "simhash-keys")
+    first = keys.groupBy("label").agg(F.min(key).alias("k")).select(F.col("label").alias("_label"), "k")
+    marked = keys.join(first, F.col("label") == F.col("_label")).withColumn("stays", key.eqNullSafe(F.col("k")))
+    marked = common.written(marked.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "n", "stays"), "simhash-stays")
+    on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_digest"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if common.size_bounded(df, broadcast_rows) else df
+
+    gone = marked.where("not stays").select("_id", "_digest")
+    twice = marked.where("stays and n > 1").select("_id", "_digest")
+    if twice.isEmpty():
+        return docs.join(sized(gone), on, "left_anti")
+    once = docs.join(sized(gone.unionByName(twice)), on, "left_anti")
+    extra = docs.join(sized(twice), on, "left_semi").withColumn("_digest", F.xxhash64(F.col(text_col).cast("string")))
+    return once.unionByName(extra.dropDuplicates([id_col, "_digest"]).drop("_digest"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -87,6 +87,7 @@ def test_round_trip(spark, model):
     got = pieces.decode(pieces.encode(df, model), model).collect()
     want = sorted((str(i), (t or "").replace("▁", " ")) for i, t in rows)
     assert sorted((str(r.doc_id), r.decoded) for r in got) == want
+    assert pieces.encode(df, model).columns == df.columns
     assert pieces.encode(df.limit(0), model).count() == 0
 
 
