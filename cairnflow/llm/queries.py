@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, pieces, quality, simhash, substring, token_files, warc
+from . import decontaminate, line_dedup, pieces, pii, quality, simhash, substring, token_files, toxicity, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1,
     "op2_warc_revisits": warc.op2,
+    "op3_toxicity": toxicity.op3,
+    "op4_pseudonyms": pii.op4,
     "op5_sentencepiece": pieces.op5,
     "op6_substring_dedup": substring.op6,
     "op7_line_dedup": line_dedup.op7,
