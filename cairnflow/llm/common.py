@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def size_bounded(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than it needs to tell."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+class Lists:
+    """Short lists of numbers by key, found by one lookup per key and gathered by numpy.
+
+    Lists of new keys come from ``make``, which gets the new keys of a call at once and returns (all numbers, lengths).
+    Up to ``most`` keys are remembered from call to call."""
+
+    def __init__(self, make: Callable[[list], tuple[np.ndarray, np.ndarray]], kind: str, most: int):
+        self.make, self.most = make, most
+        self.flat = np.empty(1 << 16, kind)
+        self.starts = np.zeros(1 << 12, np.int64)
+        new: list = []
+
+        class Places(dict):
+            def __missing__(self, key: Hashable) -> int:
+                place = self[key] = len(self)
+                new.append(key)
+                return place
+
+        self.places, self.new = Places(), new
+
+    def _added(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        have = len(self.places) - len(lengths)
+        end = int(self.starts[have])
+        if len(self.places) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(lengths) + 1), np.int64)])
+        while end + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.starts[have + 1 : have + 1 + len(lengths)] = end + np.cumsum(lengths)
+        self.flat[end : end + len(values)] = values
+
+    def of(self, keys: Iterable, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all numbers, lengths) of the lists of ``n`` keys in a row."""
+        at = np.fromiter(map(self.places.__getitem__, keys), np.int64, n)
+        if self.new:
+            self._added(*self.make(self.new))
+        out = gathered(self.flat, self.starts, at)
+        if len(self.places) > self.most:
+            for key in self.new:
+                del self.places[key]
+        self.new.clear()
+        return out
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, lengths) of the lists ``flat[starts[i]:starts[i + 1]]`` for the places ``at`` in a row."""
+    lengths = starts[at + 1] - starts[at]
+    ends = np.cumsum(lengths)
+    index = np.repeat(starts[at] - ends + lengths, lengths)
+    index += np.arange(len(index))
+    return flat[index], lengths
+
+
+def sums_of_runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Running ends: the sum of ``values`` up to the end of each run of ``counts`` values, with a zero in front."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[np.concatenate([[0], np.cumsum(counts)])]

@@ -29,8 +29,13 @@ def texts():
 def test_parts_match_library():
     spec = token_files.tokenizer_spec()
     whole = Tokenizer.from_str(spec)
-    got = token_files.PartTokenizer(spec).encode(texts())
-    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts()]
+    odd = ["a\x01b \x01 \x01\x01", "", None, "<|STARTOFTEXT|> A<|endoftext|>B", "ÀÉ İstanbul"]
+    tok = token_files.PartTokenizer(spec)
+    tok.lists.most = 20
+    for _ in range(2):
+        ids, bounds = tok.encode([*texts(), *odd])
+        got = [x.tolist() for x in np.split(ids, bounds[1:-1])]
+        assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in [*texts(), *odd]]
 
 
 def test_token_files(spark):
