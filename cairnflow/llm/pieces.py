@@ -17,12 +17,12 @@ vocabulary decode as nothing; other columns are kept, and one named as the resul
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ from . import common
 MARK = "▁"
 #: Parts kept in memory by one worker.
 MEMO_PARTS = 300_000
-_PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+ROWS_AT_ONCE = 500
 _segmenters: dict[int, Segmenter] = {}
 
 
@@ -42,7 +42,7 @@ class Segmenter:
     def __init__(self, model: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.automaton = ahocorasick.Automaton()
-        self.bytes_of: list[bytes] = []
+        plain_of: list[bytes] = []
         self.byte_ids = [-1] * 256
         self.unknown = sp.unk_id()
         worst = 0.0
@@ -56,10 +56,12 @@ class Segmenter:
                 worst = min(worst, score)
                 self.automaton.add_word(piece, (i, len(piece), score))
                 plain = piece.replace(MARK, " ").encode()
-            self.bytes_of.append(plain)
+            plain_of.append(plain)
         self.automaton.make_automaton()
         self.unknown_score = worst - 10
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.bytes_of = np.frombuffer(b"".join(plain_of), np.uint8)
+        self.starts = np.cumsum([0, *map(len, plain_of)])
+        self.lists = common.Lists(self._segmented, "int32", MEMO_PARTS)
 
     def segment(self, part: str) -> tuple[int, ...]:
         """Ids of the best path through ``part``."""
@@ -88,24 +90,47 @@ class Segmenter:
             n = at
         return tuple(reversed(out))
 
-    def ids_of(self, part: str) -> tuple[int, ...]:
-        found = self.memo.get(part)
-        if found is None:
-            found = self.segment(part)
-            if len(self.memo) < MEMO_PARTS:
-                self.memo[part] = found
-        return found
-
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
-        return list(chain.from_iterable(map(self.ids_of, _PARTS.findall(marked))))
-
-    def decode(self, ids: list[int] | None) -> str:
-        table, n = self.bytes_of, len(self.bytes_of)
-        text = b"".join([table[i] if 0 <= i < n else b"" for i in ids or ()]).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+    def _segmented(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.segment(MARK + p) for p in parts]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds of the texts in them)."""
+        parts: list[str] = []
+        counts = []
+        for t in texts:
+            own = parts_of(t) if t else []
+            parts += own
+            counts.append(len(own))
+        ids, lengths = self.lists.of(parts, len(parts))
+        return ids, common.sums_of_runs(lengths, counts)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(bytes, begin, end of each text) of texts whose ids are given in a row; bytes may be no valid UTF-8."""
+        known = (ids >= 0) & (ids < len(self.starts) - 1)
+        flat, lengths = common.gathered(self.bytes_of, self.starts, np.where(known, ids, self.unknown))
+        ends = common.sums_of_runs(lengths, np.diff(bounds))
+        begin, end = ends[:-1], ends[1:]
+        spaced = np.zeros(len(begin), bool)
+        full = begin < end
+        spaced[full] = flat[begin[full]] == 0x20
+        return flat.tobytes(), begin + spaced, end
+
+
+def parts_of(text: str) -> list[str]:
+    """Parts of a text before each run of spaces, less one mark in front (also that of the text itself)."""
+    words = text.split(" ")
+    if "" not in words:
+        return words
+    out, run = [], ""
+    for w in words[:-1]:
+        if w:
+            out.append(run + w)
+            run = ""
+        else:
+            run += MARK
+    out.append(run + words[-1])
+    return out
 
 
 def segmenter(model: bytes) -> Segmenter:
@@ -123,9 +148,11 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str =
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
         seg = segmenter(shared.value)
-        ids = [np.array(seg.encode(t), np.int32) for t in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        out = []
+        for at in range(0, len(texts), ROWS_AT_ONCE):
+            ids, bounds = seg.encode(texts.slice(at, ROWS_AT_ONCE).to_pylist())
+            out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(out_col, ids_of(F.col(text_col).cast("string")))
 
@@ -137,7 +164,13 @@ def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", out_col: str
     @F.arrow_udf("string")
     def text_of(ids: pa.Array) -> pa.Array:
         seg = segmenter(shared.value)
-        return pa.array([seg.decode(x) for x in ids.to_pylist()], pa.string())
+        out: list[str] = []
+        for at in range(0, len(ids), ROWS_AT_ONCE):
+            part = ids.slice(at, ROWS_AT_ONCE)
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))])
+            flat, begin, end = seg.decode(part.flatten().to_numpy(zero_copy_only=False), bounds)
+            out += [flat[a:b].decode("utf-8", "replace") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        return pa.array(out, pa.string())
 
     return encoded.withColumn(out_col, text_of(F.col(ids_col)))
 

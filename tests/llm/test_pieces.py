@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -58,7 +59,7 @@ def test_matches_library(model):
         if not t or any(p in t for p in ("\n", "\x00", "🙂", "\t", "  ", "▁")) or t.strip() != t:
             continue
         first = sp.nbest_encode(t, nbest_size=2)[0]
-        ours = seg.encode(t)
+        ours = seg.encode([t])[0].tolist()
         assert ours == first or sum(map(sp.get_score, ours)) == sum(map(sp.get_score, first)), t
 
 
@@ -76,7 +77,8 @@ def test_best_score(model):
     seg = pieces.Segmenter(model)
     score = {i: s for _, (i, _, s) in seg.automaton.items()}
     for t in texts():
-        for part in pieces._PARTS.findall(pieces.MARK + t.replace(" ", pieces.MARK)):
+        assert "".join(pieces.MARK + p for p in pieces.parts_of(t)) == pieces.MARK + t.replace(" ", pieces.MARK)
+        for part in [pieces.MARK + p for p in pieces.parts_of(t)]:
             if all(c in seg.automaton for c in part):
                 assert sum(score[i] for i in seg.segment(part)) == best_score(seg, part)
 
@@ -95,4 +97,15 @@ def test_decodes_library_ids(model):
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     seg = pieces.Segmenter(model)
     for t in texts():
-        assert seg.decode(sp.encode(t)) == sp.decode(sp.encode(t))
+        ids = np.array(sp.encode(t), np.int64)
+        flat, begin, end = seg.decode(ids, np.array([0, len(ids)]))
+        assert flat[begin[0] : end[0]].decode("utf-8", "replace") == sp.decode(ids.tolist())
+
+
+def test_memo_bound(model):
+    seg = pieces.Segmenter(model)
+    seg.lists.most = 5
+    want = [seg.segment(pieces.MARK + w) for w in "the of the Hello world the".split()]
+    for _ in range(3):
+        ids, bounds = seg.encode(["the of the Hello world the", None, "x y z w v u t"])
+        assert ids[: bounds[1]].tolist() == [i for w in want for i in w] and bounds[1] == bounds[2] < bounds[3]
