@@ -66,7 +66,7 @@ def above(df: DataFrame, threshold: float, vector_weight: float, score_col: str
 
 def best_per_parent(df: DataFrame, parent_col: str, id_col: str, score_col: str = "sim") -> DataFrame:
     """The best row of each parent; rows without a parent all stay."""
-    w = Window.partitionBy(F.coalesce(parent_col, id_col), F.col(parent_col).isNull()).orderBy(F.desc(score_col), id_col)
+    w = Window.partitionBy(parent_col, F.when(F.col(parent_col).isNull(), F.col(id_col))).orderBy(F.desc(score_col), id_col)
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import text, vectors, weights
 from .operators import aggregates, chunking, filters, graph, layout, ranking
+from .plans import retrieval, routing
+from .schema import as_chunks
 from .shared import table
+from .sources import parsers
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -678,3 +682,56 @@ def cell_kinds(spark, d):
     i = F.col("event_id")
     t = F.when(i % 5 == 0, F.col("event_type")).when(i % 5 == 1, F.concat(F.lit("2024-"), (i % 12 + 1).cast("string"))).when(i % 5 == 2, F.concat(i.cast("string"), F.lit("%"))).when(i % 5 == 3, F.concat(i.cast("string"), F.lit(" kg"))).otherwise(F.concat(F.upper("event_type"), F.lit("_"), i.cast("string")))
     return table(spark, d, "events").select("event_id", layout.cell_kind(t).alias("kind"))
+
+
+# --- sources, plans, streaming additions ------------------------------------------------------------------------------
+
+
+@query("html_sections")
+def html_sections(spark, d):
+    files = table(spark, d, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return parsers.parsed(files)
+
+
+@query("json_leaves", r"""
+select event_id || '.json' as path, (row_number() over (partition by event_id order by i) - 1)::int as pos, 'section' as kind, k || ': ' || json_extract_string(props, '$.' || k) as text, 'text' as tag
+from (select event_id, props, unnest(json_keys(props)) as k, generate_subscripts(json_keys(props), 1) as i from events)""")
+def json_leaves(spark, d):
+    return parsers.parsed(table(spark, d, "events").select(F.concat("event_id", F.lit(".json")).alias("path"), F.col("props").cast("binary").alias("content")))
+
+
+def _chunk_table(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    return as_chunks(docs.select(
+        F.format_string("%09d", "doc_id").alias("id"), F.lit("kb").alias("kb_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("docnm_kwd"), F.col("text").alias("content_with_weight"),
+        F.when(F.col("doc_id") % 10 == 0, "parent").otherwise("child").alias("chunk_type_kwd"), F.when(F.col("doc_id") % 10 != 0, F.format_string("%09d", (F.floor(F.col("doc_id") / 10) * 10).cast("long"))).alias("parent_id_kwd"), "embedding",
+    ))
+
+
+@query("retrieve_page", f"""{_HYBRID_SQL.replace("from documents join embeddings on doc_id = vec_id)", "from documents join embeddings on doc_id = vec_id where doc_id % 10 <> 0)")},
+b as (select *, row_number() over (partition by doc_id // 10 order by sim desc, doc_id) as rn from h where sim >= 0.2)
+select printf('%09d', doc_id) as id, round(sim, 4) as sim, length(coalesce(p.text, c.text)) as n_chars from (select * from b where rn = 1 order by sim desc, doc_id limit 10) b
+join documents c using (doc_id) left join (select doc_id as pid, text from documents where doc_id % 10 = 0 and doc_id in (select vec_id from embeddings)) p on pid = doc_id // 10 * 10""")
+def retrieve_page(spark, d):
+    hits = retrieval.retrieve(_chunk_table(spark, d), retrieval.Search(ASKED, first_vector(spark, d), ("kb",), size=10, topk=100_000))
+    return hits.select("id", F.round("sim", 4).alias("sim"), F.length("content_with_weight").cast("long").alias("n_chars"))
+
+
+@query("retrieve_context")
+def retrieve_context(spark, d):
+    hits = retrieval.retrieve(_chunk_table(spark, d), retrieval.Search(ASKED, first_vector(spark, d), size=15))
+    return retrieval.context_text(routing.route(hits, "which thing").hits, 5)
+
+
+@query("stage_windows", """
+select time_bucket(interval '1 hour', ts) as window_start, event_type as stage, count(*) as n, round(avg(value), 4) as avg_ms, max(value) as max_ms from events group by all""")
+def stage_windows(spark, d):
+    return ingest.stage_windows(table(spark, d, "events"), "ts", "event_type", "value")
+
+
+@query("user_sessions", """
+with g as (select *, coalesce((ts >= lag(ts) over w + interval '30 minutes')::int, 1) as n from events window w as (partition by user_id order by ts)),
+s as (select *, sum(n) over (partition by user_id order by ts) as k from g)
+select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from s group by user_id, k""")
+def user_sessions(spark, d):
+    return ingest.stage_sessions(table(spark, d, "events"), "ts", "user_id")
