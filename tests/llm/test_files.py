@@ -29,7 +29,7 @@ def texts():
 def test_parts_match_library():
     spec = token_files.tokenizer_spec()
     whole = Tokenizer.from_str(spec)
-    odd = ["a\x01b \x01 \x01\x01", "", None, "<|STARTOFTEXT|> A<|endoftext|>B", "ÀÉ İstanbul"]
+    odd = [", . the 12 x é", "the, the. 12. é, x,, x.. x, x., <, ,", "THE. A. a<, it's, it's.", "a\x01b \x01 \x01\x01", "", None, "<|STARTOFTEXT|> A<|endoftext|>B", "ÀÉ İstanbul"]
     tok = token_files.PartTokenizer(spec)
     tok.lists.most = 20
     for _ in range(2):
