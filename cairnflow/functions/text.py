@@ -175,7 +175,7 @@ def without_tags(tagged: Column) -> Column:
 def fenced_json(text: Column) -> Column:
     """The body of a code fence, or the text itself, for ``from_json``."""
     body = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.when(body != "", F.trim(body)).otherwise(F.trim(text))
+    return F.regexp_replace(F.when(body != "", body).otherwise(text), r"^\s+|\s+$", "")
 
 
 def numbers_of(text: Column) -> Column:

@@ -167,7 +167,9 @@ def hierarchy_paths(lines: list[str], family: int, depth: int) -> list[list[str]
                 chain: list[int] = []
                 for higher in range(own - 1, -1, -1):
                     at = above.get(higher, -1)
-                    if at >= 0 and (not chain or at < chain[-1]):
+                    while at >= 0 and chain and chain[-1] < at:  # that heading stands in an earlier section
+                        chain.pop()
+                    if at >= 0:
                         chain.append(at)
                 used.update(chain, [k])
                 out.append([lines[i] for i in [*reversed(chain), k]])
