@@ -28,9 +28,10 @@ def build(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFra
     return nodes.unionByName(more), edges
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, cut_every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, check_every: int = 10) -> DataFrame:
     """(key, pagerank), the largest being 1. Directed, without weights; ends without out-edges spread evenly. Stops when
-    ranks move by less than ``tolerance`` per node on the whole. Lineage is cut every ``cut_every`` rounds."""
+    ranks move by less than ``tolerance`` per node on the whole, which is looked at every ``check_every`` rounds. A round
+    reads the ranks twice, so each is written: the plan stays as small as one round."""
     ids = written(nodes.select("key").distinct(), "rank-nodes")
     n = ids.count()
     if not n:
@@ -44,14 +45,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
         flow = e.join(ranks, e.src == ranks.key).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
         new = ids.join(flow, ids.key == flow.dst, "left").crossJoin(F.broadcast(lost))  # lost is one row
         new = new.select("key", ((1 - damping) / n + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % cut_every == 0 or k == iterations:
-            new = written(new, "ranks")
-            if tolerance is not None:
-                old = ranks.select("key", F.col("rank").alias("old"))
-                if new.join(old, "key").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
-                    ranks = new
-                    break
-        ranks = new
+        old, ranks = ranks, written(new, "ranks")
+        if tolerance is not None and k % check_every == 0:
+            moved = ranks.join(old.select("key", F.col("rank").alias("old")), "key").agg(F.sum(F.abs(F.col("rank") - F.col("old"))))
+            if moved.first()[0] < n * tolerance:
+                break
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.crossJoin(F.broadcast(top)).select("key", (F.col("rank") / F.col("top")).alias("pagerank"))
 

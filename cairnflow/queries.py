@@ -556,7 +556,7 @@ _RANK_SQL = _rank_sql(8).replace(" as (", " as materialized (")
 @query("pagerank", f"{_RANK_SQL} select key, round(r / (select max(r) from r8), 6) as pagerank from r8")
 def pagerank(spark, d):
     nodes, edges = graph.build(_entities(spark, d), _relations(spark, d))
-    return graph.pagerank(nodes, edges, iterations=8, tolerance=None, cut_every=4).withColumn("pagerank", F.round("pagerank", 6))
+    return graph.pagerank(nodes, edges, iterations=8, tolerance=None).withColumn("pagerank", F.round("pagerank", 6))
 
 
 @query("nhop", f"""
@@ -570,7 +570,7 @@ def nhop(spark, d):
 
 def _graph_hits(spark, d):
     nodes, edges = graph.build(_entities(spark, d), _relations(spark, d))
-    ranks = graph.pagerank(nodes, edges, iterations=8, tolerance=None, cut_every=4).withColumn("pagerank", F.round("pagerank", 6))
+    ranks = graph.pagerank(nodes, edges, iterations=8, tolerance=None).withColumn("pagerank", F.round("pagerank", 6))
     e = table(spark, d, "embeddings").select(F.concat(F.lit("n"), (F.col("vec_id") % 25).cast("string")).alias("key"), F.round(vectors.cosine_to(F.col("embedding"), first_vector(spark, d)), 6).alias("sim"))
     return nodes, edges, ranks, e.join(ranks, "key").join(nodes.select("key", "name", "type", "description"), "key")
 
