@@ -134,7 +134,9 @@ def near_duplicates(
     fps = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     labels = components(fingerprint_links(fps.select("fp"), max_bits, max_bucket))
     member = fps.join(labels, fps.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    ids = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    # written, so that joins have plain exchanges on both sides and adaptive execution can split a large component
+    member = common.written(member, "simhash-members")
+    ids = common.written(member.groupBy("label").agg(F.min("first_id").alias("component_id")), "simhash-components")
     named = member.join(ids, "label").select("fp", "component_id", "label")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "digest", "label")
 
@@ -146,6 +148,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     keys = common.written(rows.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n")), "simhash-keys")
     first = keys.groupBy("label").agg(F.min(key).alias("k")).select(F.col("label").alias("_label"), "k")
+    first = common.written(first, "simhash-first")
     marked = keys.join(first, F.col("label") == F.col("_label")).withColumn("stays", key.eqNullSafe(F.col("k")))
     marked = common.written(marked.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "n", "stays"), "simhash-stays")
     on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_digest"))
