@@ -179,3 +179,30 @@ def apply_rules(
 def op10(spark, sf_dir: str) -> DataFrame:
     verdicts, _ = judge(common.table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
+
+
+ORACLE_OP10 = r"""
+with d as (select doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+t as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as k from d, lateral (select unnest(range(1, len(w) - 1)) as i)),
+r as (
+  select doc_id, count(distinct i + j) as n
+  from (select doc_id, i, count(*) over (partition by doc_id, k) as c from t), (values (0), (1), (2)) v(j) where c > 1 group by doc_id),
+l as (
+  select * from (select doc_id, source, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as lw
+    from (select doc_id, source, text, unnest(string_split(text, chr(10))) as line from documents)) where len(lw) > 0),
+dup as (select doc_id, count(*) - count(distinct line) as n from l group by doc_id),
+n as (
+  select doc_id, source, text, len(lw) as n, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from l),
+h as (select source, count(distinct text) as texts from documents group by source),
+o as (
+  select source, norm from (select source, norm, count(distinct text) as held from n group by source, norm) join h using (source)
+  where held >= 10 and held > 0.05 * texts),
+lost as (select doc_id, sum(n) as n from n join o using (source, norm) group by doc_id),
+c as (
+  select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines,
+    coalesce(r.n, 0)::bigint as n_repeat_words, coalesce(lost.n, 0)::bigint as n_lost_words
+  from d left join r using (doc_id) left join dup using (doc_id) left join lost using (doc_id)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
+select *, not base_failed and not n_lost_words > 0.75 * n_words as kept from b
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_warc_revisits": warc.ORACLE_OP2,
+    "op6_substring_dedup": substring.ORACLE_OP6,
     "op7_line_dedup": line_dedup.ORACLE_OP7,
+    "op10_quality_rules": quality.ORACLE_OP10,
 }

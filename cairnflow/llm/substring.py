@@ -284,3 +284,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op6(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP6 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select doc_id, i, array_to_string(w[i:i + 34], ' ') as k from d, lateral (select unnest(range(1, len(w) - 33)) as i)),
+s as (select doc_id, i from (select doc_id, i, count(*) over (partition by k) as c from x) where c > 1),
+g as (select distinct doc_id, i + j as p from s, (select unnest(range(35)) as j)),
+p as (select doc_id, w[p] as word, p from (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d)),
+k as (
+  select doc_id, count(*) as n_words, count(g.p) as n_removed, string_agg(word, ' ' order by p.p) filter (g.p is null) as kept
+  from p left join g using (doc_id, p) group by doc_id)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k using (doc_id)
+"""
