@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,3 +115,19 @@ def sums_of_runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Running ends: the sum of ``values`` up to the end of each run of ``counts`` values, with a zero in front."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that few texts are Python objects at a time. In the end the
+    worker gives back what Arrow holds unused, as it lives on to the next stage."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def sized_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends long texts to Python ``rows`` at a time, unless the session asks for something else than the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, rows)

@@ -45,7 +45,7 @@ class _Codes(dict):
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = h
         return h
 
@@ -193,6 +193,7 @@ class Sizes:
 
 def candidate_windows(docs: DataFrame, sizes: Sizes, id_col: str, text_col: str, words_at_once: int = 400_000) -> DataFrame:
     """(doc_id, digest, start, n_words, codes, keys) of the thinned windows of all documents."""
+    common.sized_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(sizes)
     schema = "doc_id long, digest long, start int, n_words int, codes binary, keys array<long>"
 
@@ -223,7 +224,7 @@ def candidate_windows(docs: DataFrame, sizes: Sizes, id_col: str, text_col: str,
         digests: list = []
         texts: list[np.ndarray] = []
         size = 0
-        for b in batches:
+        for b in common.slices(batches):
             for i, digest, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids.append(i)
                 digests.append(digest)

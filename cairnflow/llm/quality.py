@@ -84,7 +84,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     """(doc_id, host, digest, the counts, lines): one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches):
             texts = b.column(2).to_pylist()
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
             lines = [line_hashes(t) for t in texts]
@@ -97,6 +97,7 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
             yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(sizes), flat)], names=out_names)
 
     out_names = ["doc_id", "host", "digest", *(x.split()[0] for x in _COUNTS.split(", ")), "lines"]
+    common.sized_batches(docs.sparkSession)
     src = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(host_col).cast("string").alias("host"),

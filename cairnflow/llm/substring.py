@@ -180,7 +180,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Data
             cols = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.int64()), pa.array([zstandard.compress(body, 3)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "n_words", "body"])
 
-        for b in batches:
+        for b in common.slices(batches):
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 lines.append(b" ".join((text or "").encode("utf-8", "surrogatepass").split()))

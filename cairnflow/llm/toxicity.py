@@ -128,7 +128,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.float32)
         table[shared.value[0]] = shared.value[1]
-        for b in batches:
+        for b in common.slices(batches):
             sums = []
             for t in b.column(1).to_pylist():
                 x = hashed(t)
