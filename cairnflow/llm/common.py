@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
@@ -117,13 +118,24 @@ def sums_of_runs(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[np.concatenate([[0], np.cumsum(counts)])]
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hands memory that Arrow and the C library hold unused to the system: a worker lives on to the next stage, beside
+    others in its executor."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows, so that few texts are Python objects at a time. In the end the
-    worker gives back what Arrow holds unused, as it lives on to the next stage."""
+    worker gives back what it holds unused."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def sized_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -235,6 +235,7 @@ def candidate_windows(docs: DataFrame, sizes: Sizes, id_col: str, text_col: str,
                     ids, digests, texts, size = [], [], [], 0
         if ids:
             yield from found(ids, digests, texts)
+        _memo.clear()  # the worker lives on to other stages
 
     src = docs.select(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.col(text_col).cast("string"))
     return src.mapInArrow(run, schema)

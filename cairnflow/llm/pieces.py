@@ -32,7 +32,7 @@ from . import common
 MARK = "▁"
 #: Parts kept in memory by one worker.
 MEMO_PARTS = 300_000
-ROWS_AT_ONCE = 500
+ROWS_AT_ONCE = 200
 _segmenters: dict[int, Segmenter] = {}
 
 
@@ -153,6 +153,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str =
         for at in range(0, len(texts), ROWS_AT_ONCE):
             ids, bounds = seg.encode(texts.slice(at, ROWS_AT_ONCE).to_pylist())
             out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)))
+        common.give_back()
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(out_col, ids_of(F.col(text_col).cast("string")))
@@ -172,6 +173,7 @@ def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", out_col: str
             bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))])
             flat, begin, end = seg.decode(part.flatten().to_numpy(zero_copy_only=False), bounds)
             out += [flat[a:b].decode("utf-8", "replace") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        common.give_back()
         return pa.array(out, pa.string())
 
     return encoded.withColumn(out_col, text_of(F.col(ids_col)))
