@@ -14,7 +14,7 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,11 +29,11 @@ from . import common
 BLOCK_BITS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of one text, repeats included."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles of one text, repeats included; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
     else:
@@ -45,7 +45,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
             digest(joined[a:b], seed)
             for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
         ]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of one text, repeats included."""
+    h = shingle_hashes(text, shingle, seed)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536]
@@ -142,10 +149,10 @@ def near_duplicates(
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "digest", "label")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, **options) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (null last), then text hash. The keys to drop are
-    broadcast up to ``broadcast_rows``."""
-    rows = near_duplicates(docs, id_col, text_col, **options)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
+    """``docs`` with one row of each component that ``find`` names: that of the smallest id (null last), then text hash.
+    The keys to drop are broadcast up to ``broadcast_rows``."""
+    rows = find(docs, id_col, text_col, **options)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     keys = common.written(rows.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n")), "simhash-keys")
     first = keys.groupBy("label").agg(F.min(key).alias("k")).select(F.col("label").alias("_label"), "k")
