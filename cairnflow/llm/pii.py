@@ -33,8 +33,7 @@ EXAMPLE_KEY = b"an example key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
-_FORMS = re.compile(
-    r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
+_PATTERN = r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
     |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w]|-[0-9]))
@@ -42,9 +41,11 @@ _FORMS = re.compile(
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w]|-[0-9]))
     |(?P<nanp>(?<![\w])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w]|[.-][0-9]))
     |(?P<phone>(?<![\w])\+[1-9](?:[ ().-]{0,2}[0-9]){7,14}(?![\w]))
-    |(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9]))""",
-    re.VERBOSE,
-)
+    |(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9]))"""
+_FORMS = re.compile(_PATTERN, re.VERBOSE)
+#: Each form by itself, in the order of the pattern.
+_EACH = {re.match(r"\s*\|?\(\?P<(\w+)>", line)[1]: re.compile(line.strip().lstrip("|"), re.VERBOSE) for line in _PATTERN.split("\n")}
+_ORDER = list(_EACH)
 _DIGIT = re.compile("[0-9]")
 
 
@@ -119,29 +120,81 @@ def _in_classes(text: str, tweak: bytes, key: bytes, inverse: bool) -> str:
     return "".join(next(rest) if c.isascii() and c.isalnum() else c for c in text)
 
 
-def _card(text: str, key: bytes, inverse: bool) -> str | None:
+def _is_card(d: str) -> bool:
+    return luhn_digit(d[:-1]) == int(d[-1]) and len(set(d)) > 1
+
+
+def _card(text: str, key: bytes, inverse: bool, fits: Callable[[str], bool] | None = None) -> str | None:
+    """``fits`` narrows the pseudonyms to those it takes; it must take ``text``."""
     d = _digits(text)
-    if luhn_digit(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+    if not _is_card(d):
         return None
     n = len(d) - 2
-    body = d[0] + f"{permute(int(d[1:-1]), 10**n, b'card%d' % len(d), key, inverse, lambda x: len(set(d[0] + f'{x:0{n}d}')) > 1):0{n}d}"
-    return _refill(text, body + str(luhn_digit(body)))
+
+    def whole(x: int) -> str:
+        body = d[0] + f"{x:0{n}d}"
+        return body + str(luhn_digit(body))
+
+    def valid(x: int) -> bool:
+        new = whole(x)
+        return len(set(new[:-1])) > 1 and (fits is None or fits(_refill(text, new)))
+
+    return _refill(text, whole(permute(int(d[1:-1]), 10**n, b"card%d" % len(d), key, inverse, valid)))
+
+
+def _card_spans(text: str, at: int) -> list[tuple[int, int]]:
+    """Runs of 13 to 19 digits that begin and end with digit groups, in the order they are tried: those from each group
+    of the run at ``at``, longest first."""
+    run = _EACH["card"].match(text, at)
+    starts = [at, *(k + 1 for k in range(at, run.end()) if text[k] in " -")] if run else []
+    out = []
+    for a in starts:
+        if m := _EACH["card"].match(text, a):
+            ends = [m.end(), *(k for k in range(m.end() - 1, a, -1) if text[k] in " -")]
+            out += [(a, b) for b in ends if len(_digits(text[a:b])) >= 13]
+    return out
+
+
+def _card_at(text: str, at: int, key: bytes, inverse: bool) -> tuple[int, int, str] | None:
+    """(start, end, pseudonym) of the first valid card in the run of digits at ``at``. Beside other digits the pseudonym
+    must leave the runs tried before invalid, so that the way back finds the same one."""
+    spans = _card_spans(text, at)
+    for k, (a, b) in enumerate(spans):
+        if _is_card(_digits(text[a:b])):
+            before = [(c, d) for c, d in spans[:k] if c < b and d > a]
+            if not before:
+                return a, b, pseudonym("card", text[a:b], key, inverse)
+
+            def fits(new: str) -> bool:
+                return not any(_is_card(_digits(text[c:a] + new[max(c - a, 0) : max(d - a, 0)] + text[b:d])) for c, d in before)  # noqa: B023
+
+            return a, b, _card(text[a:b], key, inverse, fits)
+    return None
+
+
+def _in_plan(d: str) -> bool:
+    """Whether ten digits are a number of the North American plan."""
+    return d[0] > "1" and d[3] > "1" and d[1:3] != "11" and d[4:6] != "11"
 
 
 def _nanp(text: str, key: bytes, inverse: bool) -> str | None:
+    """Numbers that are none of the plan stay, but with a plus sign they are telephone numbers like others."""
     d = _digits(text)
     lead, d = d[:-10], d[-10:]
-    ok = lambda x: x[0] > "1" and x[3] > "1" and x[1:3] != "11" and x[4:6] != "11"
-    if not ok(d):
-        return None
-    new = permute(int(d), 10**10, b"nanp", key, inverse, lambda x: ok(f"{x:010d}"))
+    if not _in_plan(d):
+        return _phone(text, key, inverse) if text[0] == "+" else None
+    new = permute(int(d), 10**10, b"nanp", key, inverse, lambda x: _in_plan(f"{x:010d}"))
     return _refill(text, lead + f"{new:010d}")
 
 
 def _phone(text: str, key: bytes, inverse: bool) -> str | None:
     d = _digits(text)
-    n = len(d) - 2
-    return _refill(text, d[:2] + f"{permute(int(d[2:]), 10**n, b'phone' + d[:2].encode(), key, inverse):0{n}d}")
+    n, valid = len(d) - 2, None
+    if len(d) == 11 and d[0] == "1":
+        if _in_plan(d[1:]):
+            return _nanp(text, key, inverse)
+        valid = lambda x: not _in_plan(d[1] + f"{x:0{n}d}")
+    return _refill(text, d[:2] + f"{permute(int(d[2:]), 10**n, b'phone' + d[:2].encode(), key, inverse, valid):0{n}d}")
 
 
 def _ip(text: str, key: bytes, inverse: bool) -> str | None:
@@ -230,16 +283,25 @@ def pseudonym(form: str, value: str, key: bytes, inverse: bool = False) -> str |
 
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, int]:
     """(text with pseudonyms, how many)."""
-    n = 0
-
-    def replaced(m: re.Match) -> str:
-        nonlocal n
-        form = m.lastgroup if m.lastgroup != "sep" else "dmy"
-        new = pseudonym(form, m[0], key, inverse)
-        n += new is not None
-        return m[0] if new is None else new
-
-    return _FORMS.sub(replaced, text), n
+    out, n, done, at = [], 0, 0, 0
+    while m := _FORMS.search(text, at):
+        found = None
+        first = m.lastgroup if m.lastgroup != "sep" else "dmy"
+        for form in _ORDER[_ORDER.index(first) :]:
+            if form == "card":
+                found = _card_at(text, m.start(), key, inverse)
+            elif one := _EACH[form].match(text, m.start()):
+                new = pseudonym(form, one[0], key, inverse)
+                found = None if new is None else (one.start(), one.end(), new)
+            if found:
+                break
+        if found:
+            a, at, new = found
+            out += [text[done:a], new]
+            n, done = n + 1, at
+        else:
+            at = m.end()
+    return "".join([*out, text[done:]]), n
 
 
 def pseudonymise_texts(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str = "n_found", inverse: bool = False) -> DataFrame:

@@ -45,6 +45,26 @@ def test_equal_values_link_across_spellings():
     assert pii.pseudonym("ip", "1.2.3.4", KEY) != pii.pseudonym("ip", "1.2.3.4", b"other")
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (911) 555-2368", "+1 117-555-0000", "+10175557713"])
+def test_plus_one_outside_the_plan(value):
+    new, n = pii.pseudonymise(f"see {value}, there", KEY)
+    assert n == 1 and value not in new and new[:6] == f"see {value}"[:6]
+    assert pii.pseudonymise(new, KEY, inverse=True) == (f"see {value}, there", 1)
+
+
+@pytest.mark.parametrize("around", ["{} 123", "{} 12/27", "1 {}", "12 34 {}", "{} 917-555-2670", "7 {} 5", "017-{}"])
+def test_card_beside_digits(around):
+    rnd = random.Random(3)
+    for _ in range(200):
+        body = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        d = body + str(pii.luhn_digit(body))
+        card = " ".join(d[k : k + 4] for k in range(0, 16, 4))
+        text = f"see {around.format(card)}, there"
+        new, n = pii.pseudonymise(text, KEY)
+        assert n >= 1 and card not in new
+        assert pii.pseudonymise(new, KEY, inverse=True) == (text, n)
+
+
 def test_clean_text_stays():
     clean = ["", "plain words", "4111111111111112", "version 1.2.3", "300.1.1.1", "on 2021-13-45", "000-12-3456", "12345", "10.5.20", "a@b", "1111111111111111", "2021-02-30 x", "id 12345678901234567890123"]
     for t in clean:
