@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -22,33 +24,88 @@ def words_of(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the session's ``spark.checkpoint.dir``; where that is unset (tests) a
-    local folder, which becomes the session's checkpoint folder too."""
+    """Shared folder for intermediate tables: the session's ``spark.checkpoint.dir``. Where that is unset, a session of
+    one machine (``local``) gets a local folder, which becomes its checkpoint folder too; a cluster raises an error, as
+    its machines don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = found or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Scratch tables of this process, oldest first.
+_scratch: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there is deleted by ``scratch_dropped`` or at the end of the process."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that no later plan reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch_dropped(*keep: str) -> Iterator[None]:
+    """Deletes the scratch tables written inside, but for those at the paths in ``keep``. Nothing lazy that reads them may be
+    used afterwards."""
+    first = len(_scratch)
+    try:
+        yield
+    finally:
+        inside = _scratch[first:]
+        _scratch[first:] = [x for x in inside if x[1] in keep]
+        for spark, path in inside:
+            if path not in keep:
+                drop_path(spark, path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        with contextlib.suppress(Exception):  # the gateway may be gone by then
+            drop_path(spark, path)
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What is executed inside goes to Python ``rows`` rows at a time at most; the session's own setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or scratch_path(df.sparkSession, name)
+    with batch_rows(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with marks behind those that ``df`` has as columns already."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,9 +194,3 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
     give_back()
 
-
-def sized_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Sends long texts to Python ``rows`` at a time, unless the session asks for something else than the default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, rows)

@@ -143,7 +143,6 @@ def segmenter(model: bytes) -> Segmenter:
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of its texts as ``out_col``."""
-    common.sized_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<int>")
@@ -161,7 +160,6 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str =
 
 def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids as ``out_col``."""
-    common.sized_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("string")

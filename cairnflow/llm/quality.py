@@ -97,7 +97,6 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
             yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(sizes), flat)], names=out_names)
 
     out_names = ["doc_id", "host", "digest", *(x.split()[0] for x in _COUNTS.split(", ")), "lines"]
-    common.sized_batches(docs.sparkSession)
     src = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(host_col).cast("string").alias("host"),

@@ -69,7 +69,6 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype="<u8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view("<i8"))], names=["doc_id", "digest", "fp"])
 
-    common.sized_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     return src.mapInArrow(run, "doc_id long, digest long, fp long")
