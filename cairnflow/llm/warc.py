@@ -4,9 +4,10 @@ Records are headers and a payload. Headers alone are shuffled by payload digest;
 ``MIN_BYTES`` the one with the smallest id is the response, and the others become revisits that refer to it. Archives are
 written anew with fresh headers, revisits without their payload; reading joins revisits to their responses again.
 
-An archive file is a run of gzip members, one per record, each followed by an empty member (the record separator of
-Spark's text sink, which writes the members' bytes as they are); gzip readers skip empty members. Spark alone writes and
-reads the files, so any store that it reaches serves.
+An archive file is a run of gzip members, one per record. Members are written in runs of about ``RUN_BYTES``, each
+followed by an empty member (the record separator of Spark's text sink, which writes the bytes as they are); gzip readers
+skip empty members. A file has ``FILE_RUNS`` runs at most, so its bytes are bounded but for a record longer than that.
+Spark alone writes and reads the files, so any store that it reaches serves.
 
 Defined results: a null payload is empty; records equal in id and payload are copies of one capture and share its type
 and record id; a null id refers to a response but is one only if all equal payloads have null ids; repeated rows give a
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_BYTES = 100
-RECORDS_PER_FILE = 20_000
+#: Compressed bytes in a run of members, and runs in a file.
+RUN_BYTES, FILE_RUNS = 1 << 20, 64
 #: The fixed profile name of revisits with equal payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A gzip member without content.
@@ -112,7 +114,7 @@ def resolve(records: DataFrame, min_bytes: int = MIN_BYTES, broadcast_rows: int
     return again.select("page_id", "digest", "refers_to").distinct()
 
 
-def write_archives(records: DataFrame, revisits: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> None:
+def write_archives(records: DataFrame, revisits: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", broadcast_rows: int = 200_000, run_bytes: int = RUN_BYTES) -> None:
     """Writes a record for each row of ``records`` (see ``captures``) to archives under ``path``."""
     revisits = common.written(revisits, "warc-revisits").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to", F.lit(True).alias("revisit"))
     if common.size_bounded(revisits, broadcast_rows):
@@ -120,16 +122,23 @@ def write_archives(records: DataFrame, revisits: DataFrame, path: str, date: str
     on = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                rows = zip(*(c.to_pylist() for c in b.slice(at, 500).columns), strict=True)
-                out = [member(record(i, url, date, payload, digest, to, bool(revisit))) for i, url, payload, digest, to, revisit in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+        held: list[bytes] = []
+        size = 0
+        for b in common.slices(batches):
+            for i, url, payload, digest, to, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(member(record(i, url, date, payload, digest, to, bool(revisit))))
+                size += len(held[-1])
+                if size >= run_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["members"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["members"])
 
     joined = records.join(revisits, on, "left").select("page_id", "url", "payload", "digest", "refers_to", "revisit")
-    out = joined.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
+    out = joined.mapInArrow(run, "members binary").select(F.col("members").cast("string").alias("value"))
     sink = out.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin1"))
-    sink.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    with common.batch_rows(records.sparkSession):
+        sink.option("maxRecordsPerFile", FILE_RUNS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:

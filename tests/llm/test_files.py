@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from cairnflow.llm import common, token_files, warc
@@ -54,10 +55,42 @@ def test_token_files(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids) == (i, start, len(ids), ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+    # small frames and files, and a limit of the session's own
+    small = common.scratch_path(spark, "t")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        token_files.write_files(encoded, token_files.id_type(spec), small, frame_ids=50, file_frames=2)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert spark.read.format("binaryFile").load(f"{small}/ids").count() > 10
+    assert sorted(token_files.read_files(spark, small).collect(), key=lambda r: r.start) == got
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()
     assert [r.n for r in ranks] == sorted((r.n for r in ranks), reverse=True)
 
 
+def test_tokenizers_of_another_kind():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    tok, whole = token_files.PartTokenizer(spec), Tokenizer.from_str(spec)
+    assert not tok.by_parts and token_files.PartTokenizer(token_files.tokenizer_spec()).by_parts
+    ids, bounds = tok.encode(texts())
+    assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts()]
+
+
+def test_token_files_of_ties(spark):
+    """Ids of equal frequency rank by id; equal rows stay side by side."""
+    spec = token_files.tokenizer_spec()
+    df = spark.createDataFrame([(k % 2, "a b c") for k in range(40)], "doc_id long, text string").repartition(5)
+    path = common.scratch_path(spark, "t")
+    token_files.write_files(common.written(token_files.encode_texts(df, spec), "t"), token_files.id_type(spec), path)
+    got = sorted(token_files.read_files(spark, path).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start) for r in got] == [(k // 20, 4 * k) for k in range(40)]
+    ranks = [r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()]
+    assert ranks == sorted(ranks)
+
+
 def test_token_files_empty(spark):
     spec = token_files.tokenizer_spec()
     df = spark.createDataFrame([], "doc_id long, text string")
@@ -96,6 +129,16 @@ def test_archives(spark):
         assert sum(gzip.decompress(bytes(f.content)).count(b"WARC/1.1\r\n") for f in files if len(f.content)) == len(rows)
 
 
+def test_archives_of_small_runs_and_long_payloads(spark):
+    rows = [(k, f"http://a/{k}", f"{k} " * 200) for k in range(300)] + [(900, "http://long", "long " * 1_000_000)]
+    records = warc.captures(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    path = common.scratch_path(spark, "w")
+    warc.write_archives(records, warc.resolve(records), path, run_bytes=200)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).count() > 2
+    got = warc.read_archives(spark, path).select("page_id", "n_bytes").collect()
+    assert sorted(map(tuple, got)) == [(i, len(h)) for i, _, h in rows]
+
+
 def test_archives_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     records = warc.captures(df)
@@ -110,3 +153,36 @@ def test_archives_match_sql(spark, sf_dir):
     want = con.sql(warc.ORACLE_OP2).fetchall()
     got = [tuple(r) for r in warc.op2(spark, sf_dir).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_scratch(spark):
+    df = spark.range(10)
+    with common.scratch_dropped():
+        table = common.written(df, "t")
+        kept_by_name = common.scratch_path(spark, "t")
+        path = table.inputFiles()[0].rpartition("/")[0]
+        assert common.written(df, "t", path=kept_by_name).count() == 10
+    hadoop = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    assert not hadoop(path) and not hadoop(kept_by_name)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    common.written(df.mapInArrow(lambda b: b, "id long"), "t")
+    assert spark.conf.get(key) == before
+
+    class Unset:
+        master = "spark://host:7077"
+
+        def get(self, *_):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return self
+
+    class Session:
+        conf = sparkContext = Unset()
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.scratch_dir(Session())
