@@ -1,14 +1,22 @@
 """Format-preserving pseudonyms for personal numbers and dates.
 
-Values are found by form and validated (check digits, number plans, calendar), turned into a number within the domain of
-their form, and permuted by a keyed Feistel network. Steps that leave the valid values are taken again (cycle walking),
-so the permutation stays one-to-one on valid values of one form. Equal values get equal pseudonyms in all documents and in
-all spellings; separators and widths stay as they were. With the key, ``pseudonymise(..., inverse=True)`` restores a text.
-
-Forms: payment cards (Luhn; first digit and length stay), telephone numbers (the ten-digit North American plan; others
-with a plus sign keep their first two digits), IPv4 addresses, social security numbers, IBANs (mod 97; country and
-character classes stay), e-mail addresses (character classes of the local part; the domain stays), and dates with a
-four-digit year (1900 to 2099).
+Values are found by form and validated (check digits, number plans, calendar). Each kind has one canonical value whatever
+its spelling: the digits of a card, ten digits of the North American plan, a day, an address as a number, a local part in
+lower case. That value is permuted within its kind by one keyed Feistel network and written in the spelling found, so
+equal values get equal pseudonyms in all documents and in all spellings; separators, widths and case stay. Steps that
+leave the valid values are taken again (cycle walking), so the permutation stays one-to-one on valid values. With the key,
+``pseudonymise(..., inverse=True)`` restores a text.
+
+Kinds: payment cards (Luhn; first digit and length stay), telephone numbers (ten digits of the North American plan, with or
+without a 1 in front or separators; others with a plus sign keep their first two digits), IPv4 and IPv6 addresses, social
+security numbers, IBANs (mod 97; country and character classes stay), e-mail addresses (character classes of the local part;
+the domain stays) and dates with a four-digit year from 1900 to 2099 (year, month, day; day, month, year; or month, day,
+year, where that alone is a date; whether day and month have one digit and the day exceeds 12 stays, so every spelling
+can be written and read again).
+
+A card is found within a run of digits if it stands there in one block or in groups of 4-4-4-4, 4-4-4-4-3, 4-6-5 or 4-6-4
+digits; other groupings of three digits or more are taken if the whole run is a card. Where 19 digits in groups begin with 16 that are a card, these
+are taken. An IPv6 address that is neither shortened as usual nor written in full comes back in the usual short form.
 
 Defined results: null text stays null; texts without a valid value stay as they are; repeated rows give a row each; an
 empty table gives an empty result; other columns are kept, and one named as the count of replaced values is replaced.
@@ -18,6 +26,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -33,19 +42,28 @@ EXAMPLE_KEY = b"an example key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
-_PATTERN = r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
-    |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-    |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))
-    |(?P<iso>(?<![\w-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w]|-[0-9]))
-    |(?P<dmy>(?<![\w./])[0-9]{1,2}(?P<sep>[./])[0-9]{1,2}(?P=sep)[0-9]{4}(?![\w]|[./][0-9]))
-    |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w]|-[0-9]))
-    |(?P<nanp>(?<![\w])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w]|[.-][0-9]))
-    |(?P<phone>(?<![\w])\+[1-9](?:[ ().-]{0,2}[0-9]){7,14}(?![\w]))
-    |(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9]))"""
-_FORMS = re.compile(_PATTERN, re.VERBOSE)
-#: Each form by itself, in the order of the pattern.
-_EACH = {re.match(r"\s*\|?\(\?P<(\w+)>", line)[1]: re.compile(line.strip().lstrip("|"), re.VERBOSE) for line in _PATTERN.split("\n")}
-_ORDER = list(_EACH)
+_IN_GROUPS = r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19}"
+#: Each form by itself, in the order in which they are tried.
+_EACH = {
+    name: re.compile(pattern)
+    for name, pattern in {
+        "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:))(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{1,4}(?![\w:]|\.[0-9])",
+        "ip": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
+        "ymd": r"(?<![\w./-])[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![\w]|[-/.][0-9])",
+        "dmy": r"(?<![\w./-])[0-9]{1,2}([-/.])[0-9]{1,2}\1[0-9]{4}(?![\w]|[-/.][0-9])",
+        "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w]|-[0-9])",
+        "nanp": r"(?<![\w])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w]|[.-][0-9])",
+        "phone": r"(?<![\w])\+(?:1(?:[ ().-]{0,2}[0-9]){10}|[1-9](?:[ ().-]{0,2}[0-9]){7,14})(?![\w])",
+        "bare": r"(?<![\w.,+-])1?[0-9]{10}(?![\w]|[.,-][0-9])",
+        "card": rf"(?<![\w.])(?:{_IN_GROUPS})(?![\w])",
+        "run": r"(?<![\w.])(?<![0-9][ -])(?=(?:[ -]?[0-9]){13,19}(?![ -]?[0-9]|\w))[0-9]{3,}(?:([ -])[0-9]{3,}(?:\1[0-9]{3,})*)(?![ -]?[0-9]|\w)",
+    }.items()
+}
+#: Every value holds one of these; where a form may begin in the words around.
+_SIGN = re.compile("[0-9@]|::")
+_BEGIN = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}|(?<![\w:.])(?:[A-Fa-f][0-9A-Fa-f]{0,3}:|::)|(?<!\w)[(+]?[0-9]")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -121,11 +139,10 @@ def _in_classes(text: str, tweak: bytes, key: bytes, inverse: bool) -> str:
 
 
 def _is_card(d: str) -> bool:
-    return luhn_digit(d[:-1]) == int(d[-1]) and len(set(d)) > 1
+    return luhn_digit(d[:-1]) == int(d[-1]) and len(set(d[:-1])) > 1
 
 
-def _card(text: str, key: bytes, inverse: bool, fits: Callable[[str], bool] | None = None) -> str | None:
-    """``fits`` narrows the pseudonyms to those it takes; it must take ``text``."""
+def _card(text: str, key: bytes, inverse: bool) -> str | None:
     d = _digits(text)
     if not _is_card(d):
         return None
@@ -137,41 +154,33 @@ def _card(text: str, key: bytes, inverse: bool, fits: Callable[[str], bool] | No
 
     def valid(x: int) -> bool:
         new = whole(x)
-        return len(set(new[:-1])) > 1 and (fits is None or fits(_refill(text, new)))
+        return len(set(new[:-1])) > 1 and (len(d) != 19 or _is_card(new[:16]) == _is_card(d[:16]))
 
     return _refill(text, whole(permute(int(d[1:-1]), 10**n, b"card%d" % len(d), key, inverse, valid)))
 
 
-def _card_spans(text: str, at: int) -> list[tuple[int, int]]:
-    """Runs of 13 to 19 digits that begin and end with digit groups, in the order they are tried: those from each group
-    of the run at ``at``, longest first."""
-    run = _EACH["card"].match(text, at)
-    starts = [at, *(k + 1 for k in range(at, run.end()) if text[k] in " -")] if run else []
-    out = []
-    for a in starts:
-        if m := _EACH["card"].match(text, a):
-            ends = [m.end(), *(k for k in range(m.end() - 1, a, -1) if text[k] in " -")]
-            out += [(a, b) for b in ends if len(_digits(text[a:b])) >= 13]
-    return out
+_THREE_MORE = re.compile(r"[ -][0-9]{3}(?!\w)")
 
 
 def _card_at(text: str, at: int, key: bytes, inverse: bool) -> tuple[int, int, str] | None:
-    """(start, end, pseudonym) of the first valid card in the run of digits at ``at``. Beside other digits the pseudonym
-    must leave the runs tried before invalid, so that the way back finds the same one."""
-    spans = _card_spans(text, at)
-    for k, (a, b) in enumerate(spans):
-        if _is_card(_digits(text[a:b])):
-            before = [(c, d) for c, d in spans[:k] if c < b and d > a]
-            if not before:
-                return a, b, pseudonym("card", text[a:b], key, inverse)
-
-            def fits(new: str) -> bool:
-                return not any(_is_card(_digits(text[c:a] + new[max(c - a, 0) : max(d - a, 0)] + text[b:d])) for c, d in before)  # noqa: B023
-
-            return a, b, _card(text[a:b], key, inverse, fits)
+    """(start, end, pseudonym) of a card in one block or in groups that begins at ``at``."""
+    if m := _EACH["card"].match(text, at):
+        if new := pseudonym("card", m[0], key, inverse):
+            return at, m.end(), new
+        more = _THREE_MORE.match(text, m.end())
+        if more and m[1] == more[0][0] and (new := pseudonym("card", text[at : more.end()], key, inverse)):
+            return at, more.end(), new
     return None
 
 
+_GROUPED = re.compile(rf"(?<![0-9])(?:{_IN_GROUPS})(?![0-9])")
+
+
+def _run(text: str, key: bytes, inverse: bool) -> str | None:
+    """A whole run of digits in other groups."""
+    return None if _GROUPED.search(text) else _card(text, key, inverse)
+
+
 def _in_plan(d: str) -> bool:
     """Whether ten digits are a number of the North American plan."""
     return d[0] > "1" and d[3] > "1" and d[1:3] != "11" and d[4:6] != "11"
@@ -181,7 +190,7 @@ def _nanp(text: str, key: bytes, inverse: bool) -> str | None:
     """Numbers that are none of the plan stay, but with a plus sign they are telephone numbers like others."""
     d = _digits(text)
     lead, d = d[:-10], d[-10:]
-    if not _in_plan(d):
+    if not _in_plan(d) or lead not in ("", "1"):
         return _phone(text, key, inverse) if text[0] == "+" else None
     new = permute(int(d), 10**10, b"nanp", key, inverse, lambda x: _in_plan(f"{x:010d}"))
     return _refill(text, lead + f"{new:010d}")
@@ -197,6 +206,19 @@ def _phone(text: str, key: bytes, inverse: bool) -> str | None:
     return _refill(text, d[:2] + f"{permute(int(d[2:]), 10**n, b'phone' + d[:2].encode(), key, inverse, valid):0{n}d}")
 
 
+def _ip6(text: str, key: bytes, inverse: bool) -> str | None:
+    try:
+        own = ipaddress.IPv6Address(text)
+    except ValueError:
+        return None
+    # the unspecified address and loopback, and what may be a name of a programming language
+    if int(own) < 1 << 16 or ("::" in text and len(text.partition(":")[0]) < 4):
+        return None
+    new = ipaddress.IPv6Address(permute(int(own), 1 << 128, b"ip6", key, inverse, lambda x: x >= 1 << 16))
+    out = new.exploded if text.lower() == own.exploded != own.compressed else new.compressed
+    return out.upper() if text != text.lower() else out
+
+
 def _ip(text: str, key: bytes, inverse: bool) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or str(int(p)) != p for p in parts) or not 0 < int(parts[0]) < 224:
@@ -230,12 +252,8 @@ def _iban(text: str, key: bytes, inverse: bool) -> str | None:
 
 def _email(text: str, key: bytes, inverse: bool) -> str | None:
     local, _, domain = text.rpartition("@")
-    return _in_classes(local, b"email" + domain.lower().encode(), key, inverse) + "@" + domain
-
-
-def _shifted(day: datetime.date, key: bytes, inverse: bool) -> datetime.date:
-    n = (LAST_DAY - FIRST_DAY).days + 1
-    return FIRST_DAY + datetime.timedelta(permute((day - FIRST_DAY).days, n, b"date", key, inverse))
+    new = _in_classes(local.lower(), b"email" + domain.lower().encode(), key, inverse)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, local, strict=True)) + "@" + domain
 
 
 def _day(year: int, month: int, day: int) -> datetime.date | None:
@@ -246,33 +264,43 @@ def _day(year: int, month: int, day: int) -> datetime.date | None:
     return out if FIRST_DAY <= out <= LAST_DAY else None
 
 
-def _iso(text: str, key: bytes, inverse: bool) -> str | None:
-    day = _day(*map(int, text.split("-")))
-    return _shifted(day, key, inverse).isoformat() if day else None
+def _shifted(day: datetime.date, key: bytes, inverse: bool) -> datetime.date:
+    """The pseudonym of a day, of the same kind: numbers of digits, and whether the day exceeds the months."""
+    kind = lambda d: (d.day > 9, d.day > 12, d.month > 9)
+    n = (LAST_DAY - FIRST_DAY).days + 1
+    valid = lambda x: kind(FIRST_DAY + datetime.timedelta(x)) == kind(day)
+    return FIRST_DAY + datetime.timedelta(permute((day - FIRST_DAY).days, n, b"date", key, inverse, valid))
 
 
-def _dmy(text: str, key: bytes, inverse: bool) -> str | None:
-    """Day first. Where the day has no leading zero, none is written; month first stays unread (no valid date)."""
-    sep = "." if "." in text else "/"
-    a, b, year = text.split(sep)
-    day = _day(int(year), int(b), int(a))
+def _ymd(text: str, key: bytes, inverse: bool) -> str | None:
+    sep = text[4]
+    y, m, d = text.split(sep)
+    day = _day(int(y), int(m), int(d))
     if not day:
         return None
-    wide = len(a) == len(b) == 2
-    if not wide and (a[0] == "0" or b[0] == "0"):
-        return None
-    # all-two-digit spellings and bare ones are forms of their own: a date is drawn from those that the form can write
-    n = (LAST_DAY - FIRST_DAY).days + 1
-    if wide and (a[0] != "0" and b[0] != "0"):
-        both = lambda x: (d := FIRST_DAY + datetime.timedelta(x)).day > 9 and d.month > 9
-        new = FIRST_DAY + datetime.timedelta(permute((day - FIRST_DAY).days, n, b"date2", key, inverse, both))
+    new = _shifted(day, key, inverse)
+    return f"{new.year}{sep}{new.month:0{len(m)}d}{sep}{new.day:0{len(d)}d}"
+
+
+def _dmy(text: str, key: bytes, inverse: bool) -> str | None:
+    """Day first where that is a date, else month first."""
+    sep = text[1] if not text[1].isdigit() else text[2]
+    a, b, y = text.split(sep)
+    if day := _day(int(y), int(b), int(a)):
+        new = _shifted(day, key, inverse)
+        parts = new.day, new.month
+    elif day := _day(int(y), int(a), int(b)):
+        new = _shifted(day, key, inverse)
+        parts = new.month, new.day
     else:
-        some = lambda x: (d := FIRST_DAY + datetime.timedelta(x)).day < 10 or d.month < 10
-        new = FIRST_DAY + datetime.timedelta(permute((day - FIRST_DAY).days, n, b"date1", key, inverse, some))
-    return f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year}" if wide else f"{new.day}{sep}{new.month}{sep}{new.year}"
+        return None
+    return f"{parts[0]:0{len(a)}d}{sep}{parts[1]:0{len(b)}d}{sep}{new.year}"
 
 
-_BY_FORM = {"card": _card, "nanp": _nanp, "phone": _phone, "ip": _ip, "ssn": _ssn, "iban": _iban, "email": _email, "iso": _iso, "dmy": _dmy}
+_BY_FORM = {
+    "email": _email, "iban": _iban, "ip6": _ip6, "ip": _ip, "ymd": _ymd, "dmy": _dmy, "ssn": _ssn, "nanp": _nanp, "phone": _phone,
+    "bare": _nanp, "card": _card, "run": _run,
+}
 
 
 @lru_cache(maxsize=100_000)
@@ -284,39 +312,52 @@ def pseudonym(form: str, value: str, key: bytes, inverse: bool = False) -> str |
 def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, int]:
     """(text with pseudonyms, how many)."""
     out, n, done, at = [], 0, 0, 0
-    while m := _FORMS.search(text, at):
-        found = None
-        first = m.lastgroup if m.lastgroup != "sep" else "dmy"
-        for form in _ORDER[_ORDER.index(first) :]:
+    while sign := _SIGN.search(text, at):
+        # from the white space before the sign to that behind it
+        first = max(at, text.rfind(" ", at, sign.start()) + 1, text.rfind("\n", at, sign.start()) + 1)
+        last = text.find(" ", sign.start())
+        last = len(text) if last < 0 else last
+        m = _BEGIN.search(text, first, last)
+        if not m:
+            at = last
+            continue
+        found, begin = None, m.start()
+        for form, pattern in _EACH.items():
             if form == "card":
-                found = _card_at(text, m.start(), key, inverse)
-            elif one := _EACH[form].match(text, m.start()):
+                found = _card_at(text, begin, key, inverse)
+            elif one := pattern.match(text, begin):
                 new = pseudonym(form, one[0], key, inverse)
-                found = None if new is None else (one.start(), one.end(), new)
+                found = None if new is None else (begin, one.end(), new)
             if found:
                 break
         if found:
-            a, at, new = found
-            out += [text[done:a], new]
+            begin, at, new = found
+            out += [text[done:begin], new]
             n, done = n + 1, at
         else:
-            at = m.end()
+            at = begin + 1
     return "".join([*out, text[done:]]), n
 
 
 def pseudonymise_texts(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str = "n_found", inverse: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col``, and the number of values as ``count_col``."""
+    """``docs`` with pseudonyms in ``text_col``, and the number of values as ``count_col``. Of texts of more than about
+    200 KB on average, take fewer at a time (``common.batch_rows`` around what is executed)."""
 
     @F.arrow_udf("text string, n long")
     def run(texts: pa.Array) -> pa.Array:
-        out = [(None, 0) if t is None else pseudonymise(t, key, inverse) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["text", "n"])
+        parts = []
+        for at in range(0, len(texts), 500):
+            out = [(None, 0) if t is None else pseudonymise(t, key, inverse) for t in texts.slice(at, 500).to_pylist()]
+            parts.append(pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["text", "n"]))
+        common.give_back()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("n", pa.int64())]))
 
     keep = [c for c in docs.columns if c != count_col]
-    both = docs.select(*keep, run(F.col(text_col).cast("string")).alias("_both"))
-    return both.select(*[F.col("_both.text").alias(c) if c == text_col else c for c in keep], F.col("_both.n").alias(count_col))
+    (both,) = common.unused(docs, "_both")
+    out = docs.select(*keep, run(F.col(text_col).cast("string")).alias(both))
+    return out.select(*[F.col(f"{both}.text").alias(c) if c == text_col else c for c in keep], F.col(f"{both}.n").alias(count_col))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise_texts(docs, EXAMPLE_KEY)
+    return common.written(pseudonymise_texts(docs, EXAMPLE_KEY), "pseudonyms")
