@@ -1,8 +1,9 @@
 """Line dedup by overlapping windows of consecutive lines. DataFrame functions only.
 
 A text is split at LF. Every run of ``window`` consecutive lines is hashed (two independent 64-bit hashes of the lines'
-own hashes). Tables are broadcast only when counted and below ``broadcast_rows``. The first place of a window is the one with the smallest (doc_id, row digest, line number); at every later
-place all its lines are covered. Covered lines go, so overlapping repeated windows merge into one removed span.
+own hashes). The first place of a window is the one with the smallest (doc_id, row digest, line number); at every later
+place all its lines are covered. Covered lines go, so overlapping repeated windows merge into one removed span. Tables are
+broadcast only when counted and below ``broadcast_rows``.
 
 Defined results: null text stays null (no lines); a text with fewer lines than ``window`` is never changed; an empty text
 has one empty line; equal rows with one id count as one document, and each keeps its row; a null id sorts first; blank
@@ -18,25 +19,26 @@ from . import common
 
 
 def _window_keys(lines: Column, window: int) -> Column:
-    """Array of (pos, h1, h2), one for each run of ``window`` lines."""
+    """Array of (h1, h2), one for each run of ``window`` lines in order. Each step hashes all runs by one line more, so the
+    work grows with the lines."""
     n = F.size(lines)
-    h1 = F.transform(lines, lambda x: F.xxhash64(x))
-    h2 = F.transform(lines, lambda x: F.xxhash64(F.lit("second"), x))
 
-    def at(i: Column) -> Column:
-        first = [F.get(h1, i + k) for k in range(window)]
-        second = [F.get(h2, i + k) for k in reversed(range(window))]
-        return F.struct(i.alias("pos"), F.xxhash64(*first).alias("h1"), F.xxhash64(*second).alias("h2"))
+    def runs(salt: list[Column]) -> Column:
+        own = F.transform(lines, lambda x: F.xxhash64(*salt, x))
+        out = own
+        for k in range(1, window):
+            out = F.zip_with(out, F.slice(own, k + 1, n), lambda a, b: F.xxhash64(*salt, a, b))
+        return F.slice(out, 1, n - window + 1)
 
-    return F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), at))
+    return F.when(n >= window, F.zip_with(runs([]), runs([F.lit("second")]), lambda a, b: F.struct(a.alias("h1"), b.alias("h2"))))
 
 
 def repeated_line_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
     """(doc_id, digest, gone): per document the array of line positions that later occurrences cover. Documents without
     any are absent; ``digest`` tells rows with one id but different texts apart."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), F.split(F.col(text_col), "\n").alias("lines"))
-    w = src.select("doc_id", "digest", F.explode(_window_keys(F.col("lines"), window)).alias("w"))
-    w = w.select("doc_id", "digest", "w.pos", "w.h1", "w.h2")
+    w = src.select("doc_id", "digest", F.posexplode(_window_keys(F.col("lines"), window)).alias("pos", "w"))
+    w = w.select("doc_id", "digest", "pos", "w.h1", "w.h2")
     place = F.struct("doc_id", "digest", "pos")
     seen = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     again = common.written(seen.where("not first <=> last").select("h1", "h2", "first"), "lines-again")
@@ -51,21 +53,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with ``text_col`` less its covered lines, plus ``lines_total`` and ``lines_removed`` (both long)."""
     gone = common.written(repeated_line_positions(docs, id_col, text_col, window, broadcast_rows), "lines-gone")
     small = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 10 * broadcast_rows
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"), F.col("gone").alias("_gone"))
-    on = docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_digest"))
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = docs.join(F.broadcast(gone) if small else gone, on, "left")
+    i, d, g, lines = common.unused(docs, "_gone_id", "_gone_digest", "_gone", "_lines")
+    gone = gone.toDF(i, d, g)
+    on = docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(d))
+    both = docs.join(F.broadcast(gone) if small else gone, on, "left")
+    # lines are a column of their own, so that no step below splits the text again for each line
+    both = both.withColumn(lines, F.split(F.col(text_col), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(g))
+    text = F.when(F.col(g).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda k: F.get(F.col(lines), k)), "\n"))
     new = {
-        "lines_total": total,
-        "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        text_col: text,
+        "lines_total": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"),
+        "lines_removed": F.coalesce(F.size(g), F.lit(0)).cast("long"),
     }
-    drop = [c for c in ("lines_total", "lines_removed") if c in docs.columns]
-    keep = [c for c in docs.columns if c not in drop]
-    return out.select(*[new[c].alias(c) if c == text_col else docs[c] for c in keep], new["lines_total"].alias("lines_total"), new["lines_removed"].alias("lines_removed"))
+    keep = [c for c in docs.columns if c not in new]
+    return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], *[v.alias(c) for c, v in new.items()])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
