@@ -2,10 +2,13 @@
 
 Per text: words, characters in words, symbols, repeated lines and words in repeated three-word windows. Then every
 normalised line (trimmed, lower case, white-space runs as one space; lines without a word are left out) is hashed, and
-for each host the distinct documents holding it are counted; equal texts of one host count as one document. A line held
-by at least ``min_docs`` documents and more than ``max_share`` of its host's documents is boilerplate and removed. A
-document that loses more than ``max_lost`` of its words that way is depleted and rejected; one that fails the base rules
-is rejected too.
+for each host the distinct documents holding it are counted; rows of one id and text are one document. A line is
+boilerplate and removed if it is held by at least ``min_docs`` documents and more than ``max_share`` of its host's documents,
+or by at least ``many_docs`` documents of the host, however large that is. A document that loses more than ``max_lost`` of
+its words that way is depleted and rejected; one that fails the base rules is rejected too.
+
+Counts are summed where lines are hashed, before the shuffle. A document meets its own boilerplate lines only, so no row
+grows with its host.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; repeated rows and ids each give a
 row; an empty table gives an empty result; other columns are ignored or, in ``apply_rules``, carried along.
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -27,6 +30,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 10
 MAX_SHARE = 0.05
+MANY_DOCS = 1000
 MAX_LOST = 0.75
 
 #: Fixed values of the symbol rule.
@@ -106,74 +110,90 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return src.mapInArrow(run, f"doc_id long, host string, digest long, {_COUNTS}, lines array<struct<line:long,words:long>>")
 
 
-def frequent_lines(counted: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a written table), to be broadcast if it has at most ``rows`` rows."""
+    return F.broadcast(df) if common.size_bounded(df, rows) else df
+
+
+_KEY = ["doc_id", "host", "digest"]
+
+
+def _on(left: list[Column], right: list[str]) -> Column:
+    """Whether (id, host, digest) on the left are those in the columns named on the right."""
+    return left[0].eqNullSafe(F.col(right[0])) & left[1].eqNullSafe(F.col(right[1])) & (left[2] == F.col(right[2]))
+
+
+def frequent_lines(
+    counted: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, many_docs: int = MANY_DOCS, broadcast_rows: int = 200_000
+) -> DataFrame:
     """(host, line) of the boilerplate lines."""
-    texts = counted.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    held = counted.select("host", "digest", F.explode("lines.line").alias("line")).distinct()
-    held = held.groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") >= min_docs)
-    held = held.withColumnRenamed("host", "host_")
-    over = held.join(texts, F.col("host_").eqNullSafe(F.col("host"))).where(F.col("held") > max_share * F.col("texts"))
-    return over.select("host", "line")
+    rows = counted.select("host", F.lit(1).alias("n"), "lines.line")
+    again = counted.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1")
+    again = common.written(again.toDF("i", "h", "g", "n"), "quality-again")
+    if not again.isEmpty():  # rows of one document count once: all but one of them are taken off
+        one = counted.select(*_KEY, "lines.line").join(_bounded(again, broadcast_rows), _on([F.col(c) for c in _KEY], ["i", "h", "g"]))
+        rows = rows.unionByName(one.dropDuplicates(_KEY).select("host", (1 - F.col("n")).alias("n"), "line"))
+    held = rows.select("host", "n", F.explode("line").alias("line")).groupBy("host", "line").agg(F.sum("n").alias("held"))
+    held = common.written(held.where(F.col("held") >= min_docs), "quality-held")
+    docs = common.written(rows.groupBy(F.col("host").alias("h")).agg(F.sum("n").alias("docs")), "quality-hosts")
+    over = held.join(_bounded(docs, broadcast_rows), F.col("host").eqNullSafe(F.col("h")))
+    return over.where((F.col("held") > max_share * F.col("docs")) | (F.col("held") >= many_docs)).select("host", "line")
 
 
 def judge(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_lost: float = MAX_LOST, broadcast_rows: int = 200_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_lost: float = MAX_LOST,
+    broadcast_rows: int = 200_000, **limits,
 ) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, boilerplate). verdicts: one row per input row with the counts, base_failed, n_lost_words and kept."""
+    """(verdicts, boilerplate). verdicts: one row per input row with the counts, base_failed, n_lost_words, boilerplate (the
+    hashes of the document's boilerplate lines, null if it has none) and kept. ``limits`` are those of ``frequent_lines``."""
     counted = common.written(_counted(docs, id_col, text_col, host_col), "quality")
-    over = common.written(frequent_lines(counted, min_docs, max_share), "quality-lines")
+    over = common.written(frequent_lines(counted, broadcast_rows=broadcast_rows, **limits), "quality-lines")
     base = counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    cols = ["doc_id", "host", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    keyed = over.select(F.col("host").alias("h"), F.col("line").alias("l"))
-    lines = counted.select("doc_id", "host", "digest", F.explode("lines").alias("x")).select("doc_id", "host", "digest", "x.line", "x.words")
-    small = common.size_bounded(over, broadcast_rows)
-    hit = lines.join(F.broadcast(keyed) if small else keyed, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
-    # Rows with one id, host and text hold the same lines: the largest count of a line is that of one of them.
-    lost = hit.groupBy("doc_id", "host", "digest", "line").agg(F.max("words").alias("words"))
-    lost = lost.groupBy("doc_id", "host", "digest").agg(F.sum("words").alias("n_lost_words"))
-    lost = lost.select(F.col("doc_id").alias("i"), F.col("host").alias("h"), F.col("digest").alias("g"), "n_lost_words")
-    on = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("host").eqNullSafe(F.col("h")) & (F.col("digest") == F.col("g"))
-    out = base.select(*cols).join(lost, on, "left").withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)))
+    cols = [*_KEY, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    keyed = _bounded(over.select(F.col("host").alias("h"), F.col("line").alias("l")), broadcast_rows)
+    lines = counted.select(*_KEY, F.explode("lines").alias("x")).select(*_KEY, "x.line", "x.words")
+    hit = lines.join(keyed, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+    # rows with one id, host and text hold the same lines: the largest count of a line is that of one of them
+    lost = hit.groupBy(*_KEY, "line").agg(F.max("words").alias("words"))
+    lost = lost.groupBy(*_KEY).agg(F.sum("words").alias("n_lost_words"), F.collect_list("line").alias("boilerplate"))
+    lost = lost.select(F.col("doc_id").alias("i"), F.col("host").alias("h"), F.col("digest").alias("g"), "n_lost_words", "boilerplate")
+    out = base.select(*cols).join(lost, _on([F.col(c) for c in _KEY], ["i", "h", "g"]), "left")
+    out = out.withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)))
     kept = ~F.col("base_failed") & ~(F.col("n_lost_words") > max_lost * F.col("n_words"))
-    return out.select(*cols, "n_lost_words", kept.alias("kept")), over
+    return out.select(*cols, "n_lost_words", "boilerplate", kept.alias("kept")), over
 
 
 def apply_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", broadcast_rows: int = 200_000, **limits
 ) -> DataFrame:
-    """``docs`` without the rejected documents and without boilerplate lines; other columns as they are. The rejected
-    keys and the boilerplate lines are broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond."""
-    verdicts, over = judge(docs, id_col, text_col, host_col, broadcast_rows=broadcast_rows, **limits)
-    verdicts = common.written(verdicts, "quality-verdicts")
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("digest").alias("_digest")).distinct()
-    if common.size_bounded(gone, broadcast_rows):
-        gone = F.broadcast(gone)
-    on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[host_col].cast("string").eqNullSafe(F.col("_host")) & (F.xxhash64(docs[text_col]) == F.col("_digest"))
-    kept = docs.join(gone, on, "left_anti")
-    per_host = over.groupBy("host").agg(F.collect_set("line").alias("_lines")).withColumnRenamed("host", "_host")
-    if common.size_bounded(over, broadcast_rows):
-        per_host = F.broadcast(per_host)
-    kept = kept.join(per_host, kept[host_col].cast("string").eqNullSafe(F.col("_host")), "left")
+    """``docs`` without the rejected documents and without boilerplate lines; other columns as they are. What the rules
+    change (one row per document rejected or with boilerplate) is broadcast up to ``broadcast_rows`` documents and ten
+    times as many lines, and joined by a shuffle beyond."""
+    verdicts, _ = judge(docs, id_col, text_col, host_col, broadcast_rows=broadcast_rows, **limits)
+    i, h, g, keep, drop = names = common.unused(docs, "_id", "_host", "_digest", "_kept", "_drop")
+    changed = verdicts.where("not kept or boilerplate is not null").select(*_KEY, "kept", F.when(F.col("kept"), F.col("boilerplate")))
+    changed = common.written(changed.toDF(*names).dropDuplicates([i, h, g]), "quality-changed")
+    small = (changed.agg(F.sum(F.greatest(F.coalesce(F.size(drop), F.lit(0)), F.lit(0)))).first()[0] or 0) <= 10 * broadcast_rows
+    key = [docs[id_col].cast("long"), docs[host_col].cast("string"), F.xxhash64(docs[text_col])]
+    both = docs.join(_bounded(changed, broadcast_rows) if small else changed, _on(key, [i, h, g]), "left")
 
     @F.pandas_udf("string")
     def without(texts, lines):
         out = []
-        for text, drop in zip(texts, lines, strict=True):
-            if text is None or drop is None or not len(drop):
-                out.append(text)
-                continue
-            drop = set(drop.tolist())
+        for text, gone in zip(texts, lines, strict=True):
+            gone = set(gone.tolist())
             keep = []
             for line in text.split("\n"):
                 h = xxhash.xxh3_64_intdigest(normal_line(line.encode("utf-8", "surrogatepass")))
-                if not line.strip() or h - ((h >> 63) << 64) not in drop:
+                if not line.strip() or h - ((h >> 63) << 64) not in gone:
                     keep.append(line)
             out.append("\n".join(keep))
         return type(texts)(out, dtype=object)
 
-    cleaned = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_lines")))
-    return kept.select(*[cleaned.alias(c) if c == text_col else kept[c] for c in docs.columns])
+    both = both.where(F.coalesce(F.col(keep), F.lit(True)))
+    text = F.col(text_col)
+    cleaned = F.when(F.col(drop).isNull(), text).otherwise(without(F.when(F.col(drop).isNull(), "").otherwise(text), F.coalesce(drop, F.array().cast("array<long>"))))
+    return both.select(*[cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -193,10 +213,10 @@ l as (
 dup as (select doc_id, count(*) - count(distinct line) as n from l group by doc_id),
 n as (
   select doc_id, source, text, len(lw) as n, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from l),
-h as (select source, count(distinct text) as texts from documents group by source),
+h as (select source, count(distinct (doc_id, text)) as docs from documents group by source),
 o as (
-  select source, norm from (select source, norm, count(distinct text) as held from n group by source, norm) join h using (source)
-  where held >= 10 and held > 0.05 * texts),
+  select source, norm from (select source, norm, count(distinct (doc_id, text)) as held from n group by source, norm) join h using (source)
+  where held >= 10 and held > 0.05 * docs or held >= 1000),
 lost as (select doc_id, sum(n) as n from n join o using (source, norm) group by doc_id),
 c as (
   select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,

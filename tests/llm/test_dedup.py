@@ -154,6 +154,10 @@ def test_lines_match_sql(spark):
 def test_lines_repeated_and_null_ids(spark):
     t = "1\n2\n3\n4"
     rows = [(None, t), (5, t), (5, t), (6, "0\n" + t)]
+    odd = docs_of(spark, rows).selectExpr("*", "1 as _gone", "2 as _gone_id", "3 as _lines", "4 as gone", "5 as pos")
+    for limit in (100_000, 0):
+        clean = line_dedup.dedup_lines(odd, broadcast_rows=limit)
+        assert clean.columns == [*odd.columns, "lines_total", "lines_removed"] and {(r._gone, r._lines) for r in clean.collect()} == {(1, 3)}
     got = {(r.doc_id, r.text, r.lines_removed) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
     assert got == {(None, t, 0), (5, "", 4), (6, "0", 4)}
     assert line_dedup.dedup_lines(docs_of(spark, rows)).count() == 4
@@ -188,7 +192,8 @@ def test_quality_host_lines(spark):
     rows += [(100 + k, "common line HERE\n" * 30 + f"only {k}", "h1") for k in range(5)]
     rows += [(200 + k, "Common line here\n" + body(), "h2") for k in range(3)]
     rows += [(300, None, "h1"), (301, "", None), (302, body(), None), (None, body(), "h1")] + [(400, "same words\n" + body(), "h3")] * 30
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as line", "2 as host", "3 as digest")
+    extra = ("line", "host", "digest", "_id", "_host", "_digest", "_lines", "_drop", "_kept", "i", "h", "g")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *(f"{k} as {c}" for k, c in enumerate(extra)))
     for rows_limit in (200_000, 0):
         verdicts, over = quality.judge(df, broadcast_rows=rows_limit)
         v = {r.doc_id: r for r in verdicts.collect()}
@@ -203,3 +208,42 @@ def test_quality_host_lines(spark):
         assert "LINE" not in texts[0] and texts[200].startswith("Common line here") and 100 not in texts
         assert clean.where("doc_id = 400").count() == 30
     assert quality.judge(df.limit(0))[0].count() == 0
+    assert quality.apply_rules(df.limit(0)).count() == 0
+
+
+def test_quality_limits_met_exactly(spark):
+    """Ten documents hold a line or nine do, a share of the limit or above it, many documents whatever the share."""
+    rnd = random.Random(7)
+    body = lambda: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(60))
+    rows = [(k, ("ten\n" if k < 10 else "") + ("nine\n" if k < 9 else "") + body(), "a") for k in range(199)] + [(0, None, "a")]
+    rows += [(500 + k, ("share\n" if k < 10 else "") + body(), "b") for k in range(200)]
+    rows += [(800 + k, ("copy of one text\n" + "t " * 3 + "end\n") + " ".join(f"c{j}" for j in range(60)), "c") for k in range(12)] + [(900 + k, body(), "c") for k in range(100)]
+    rows += [(2000 + k, ("many\n" if k < 12 else "") + body(), "d") for k in range(400)] + [(2000, rows[0][1], "d")]
+    rows += [(3000, "same row\n" + body(), "e")] * 15 + [(3001, body(), "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.host: set() for r in quality.judge(df, many_docs=12)[1].collect()}
+    verdicts, over = quality.judge(df, many_docs=12)
+    for r in over.collect():
+        got[r.host].add(r.line)
+    name = lambda t: quality.line_hashes(t)[0][0]
+    assert got["d"] == {name("many")}
+    assert "a" not in got and "b" not in got and "e" not in got  # 10 of 200 is no more than a share of 0.05
+    assert name("copy of one text") in got["c"]  # twelve documents of one text are twelve
+    kept = {(r.doc_id, r.host): r.kept for r in verdicts.collect()}
+    assert not any(kept[800 + k, "c"] for k in range(12)) and kept[2000, "d"] and not kept[0, "a"] is None
+    base = [(1, " ".join(f"w{k}" for k in range(50)), "z"), (2, " ".join(f"w{k}" for k in range(49)), "z"), (3, " ".join(["a b c a b c"] + [f"w{k}" for k in range(6)]), "z")]
+    base += [(4, "x y z x y z " + " ".join(f"q{k}" for k in range(6)) + " " + "r s t r s t r s t r s t r s t r s t r " + " ".join(f"v{k}" for k in range(19)), "z")]
+    v = {r.doc_id: r for r in quality.judge(spark.createDataFrame(base, "doc_id long, text string, source string"))[0].collect()}
+    assert (v[1].base_failed, v[2].base_failed) == (False, True)
+    assert v[4].n_words == 50 and v[4].n_repeat_words == 25 and not v[4].base_failed
+
+
+def test_long_texts(spark):
+    """A text of a megabyte in every operator of this file."""
+    long = "\n".join(f"line {k} of a long text that goes on" for k in range(20_000))
+    df = docs_of(spark, [(1, long), (2, long), (3, "short one")])
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect()} == {1: 180_000, 2: 180_000, 3: 0}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 20_000, 3: 0}
+    v = quality.judge(df.withColumn("source", df.lines))[0].collect()
+    assert sorted((r.doc_id, r.n_words) for r in v) == [(1, 180_000), (2, 180_000), (3, 2)]
