@@ -2,8 +2,9 @@
 
 The pieces and scores come from a model file. For each position the automaton yields, along its output links, every piece
 that ends there, longest first; each relaxes the best score at that position, so a text is segmented in one pass. A
-character that no piece covers costs less than the worst piece and is written as its bytes. Pieces hold the space mark
-only in front (or are runs of it), so a text is cut into parts before each run of marks, and equal parts are looked up.
+character that no piece covers costs less than the worst piece and is written as its bytes, or as one unknown id where the
+model has no pieces for them. If pieces hold the space mark only in front (or are runs of it), a text is cut into parts
+before each run of marks, and equal parts are looked up; else texts are segmented whole.
 
 The scores are used as they stand in the file, as log-probabilities: the result is the best path of the library's own
 lattice (the first of its n-best search) for these pieces with the unigram model type. A file made for merges
@@ -46,6 +47,8 @@ class Segmenter:
         self.byte_ids = [-1] * 256
         self.unknown = sp.unk_id()
         worst = 0.0
+        #: Whether parts of a text may be segmented by themselves.
+        self.by_parts = True
         for i, piece in enumerate(map(sp.id_to_piece, range(sp.get_piece_size()))):
             plain = b""
             if sp.is_byte(i):
@@ -55,13 +58,14 @@ class Segmenter:
                 score = sp.get_score(i)
                 worst = min(worst, score)
                 self.automaton.add_word(piece, (i, len(piece), score))
+                self.by_parts &= MARK not in piece.lstrip(MARK)
                 plain = piece.replace(MARK, " ").encode()
             plain_of.append(plain)
         self.automaton.make_automaton()
         self.unknown_score = worst - 10
         self.bytes_of = np.frombuffer(b"".join(plain_of), np.uint8)
         self.starts = np.cumsum([0, *map(len, plain_of)])
-        self.lists = common.Lists(self._segmented, "int32", MEMO_PARTS)
+        self.lists = common.Lists(self._segmented, "int32", MEMO_PARTS if self.by_parts else 0)
 
     def segment(self, part: str) -> tuple[int, ...]:
         """Ids of the best path through ``part``."""
@@ -86,7 +90,8 @@ class Segmenter:
             if piece[n] >= 0:
                 out.append(piece[n])
             else:
-                out += [self.byte_ids[b] if self.byte_ids[b] >= 0 else self.unknown for b in reversed(part[at:n].encode("utf-8", "surrogatepass"))]
+                raw = [self.byte_ids[b] for b in reversed(part[at:n].encode("utf-8", "surrogatepass"))]
+                out += raw if min(raw) >= 0 else [self.unknown]
             n = at
         return tuple(reversed(out))
 
@@ -99,7 +104,7 @@ class Segmenter:
         parts: list[str] = []
         counts = []
         for t in texts:
-            own = parts_of(t) if t else []
+            own = (parts_of(t) if self.by_parts else [t.replace(" ", MARK)]) if t else []
             parts += own
             counts.append(len(own))
         ids, lengths = self.lists.of(parts, len(parts))
@@ -190,4 +195,4 @@ def model_file(path: str | None = None) -> bytes:
 def op5(spark, sf_dir: str) -> DataFrame:
     model = model_file()
     out = decode(encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return common.written(out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")), "pieces")

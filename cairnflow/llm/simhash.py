@@ -89,7 +89,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2, max_bucket: int = 64) -
     if not 0 <= max_bits <= 2:
         raise ValueError("the exact way for full buckets holds for at most two bits")
     filed = fps.select("fp", F.explode(_block_keys(max_bits)).alias("k")).select("fp", "k.which", "k.key")
-    sizes = filed.groupBy("which", "key").count().where("count > 1")
+    # written, so that the join has plain exchanges on both sides and adaptive execution can split a hot block
+    sizes = common.written(filed.groupBy("which", "key").count().where("count > 1"), "simhash-sizes")
     filed = common.written(filed.join(sizes, ["which", "key"]), "simhash-blocks")
     small = filed.where(F.col("count") <= max_bucket).select("which", "key", "fp")
     pairs = (
@@ -106,6 +107,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2, max_bucket: int = 64) -
     elif max_bits == 2:
         near = full.select("fp", F.explode(flips).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("at"))
         hubs = near.groupBy("at").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("at", "a")
+        hubs = common.written(hubs, "simhash-hubs")
         stars = near.join(hubs, "at").where("a < fp").select("a", F.col("fp").alias("b"))
     else:
         return pairs.distinct()
@@ -113,18 +115,23 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 2, max_bucket: int = 64) -
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label): label is the smallest node reachable. Large-star and small-star steps until nothing changes."""
+    """(node, label): label is the smallest node reachable. Large-star and small-star steps until nothing changes. The least
+    neighbours of each step are written before they are joined, so that adaptive execution can split a hub's edges."""
+    spark, kept = edges.sparkSession, common.scratch_path(edges.sparkSession, "cc")
     both = edges.where("a <> b")
-    now = common.written(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    now = common.written(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", kept)
     before = None
     for _ in range(max_rounds):
-        sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = common.written(star.select("e.u", "e.v").where("u <> v").distinct(), "cc")
+        last, kept = kept, common.scratch_path(spark, "cc")
+        with common.scratch_dropped():
+            sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = common.written(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+            large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = common.written(large, "cc-large")
+            low = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+            star = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+            now = common.written(star.select("e.u", "e.v").where("u <> v").distinct(), "cc", kept)
+        common.drop_path(spark, last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -154,22 +161,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", br
     rows = find(docs, id_col, text_col, **options)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     keys = common.written(rows.groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n")), "simhash-keys")
-    first = keys.groupBy("label").agg(F.min(key).alias("k")).select(F.col("label").alias("_label"), "k")
-    first = common.written(first, "simhash-first")
-    marked = keys.join(first, F.col("label") == F.col("_label")).withColumn("stays", key.eqNullSafe(F.col("k")))
-    marked = common.written(marked.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "n", "stays"), "simhash-stays")
-    on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_digest"))
+    first = common.written(keys.groupBy("label").agg(F.min(key).alias("k")).select(F.col("label").alias("of"), "k"), "simhash-first")
+    i, d, mine = common.unused(docs, "_id", "_digest", "_mine")
+    marked = keys.join(first, F.col("label") == F.col("of")).withColumn("stays", key.eqNullSafe(F.col("k")))
+    marked = common.written(marked.select(F.col("doc_id").alias(i), F.col("digest").alias(d), F.col("n").alias("copies"), "stays"), "simhash-stays")
+    digest = F.xxhash64(docs[text_col].cast("string"))
+    on = docs[id_col].cast("long").eqNullSafe(F.col(i)) & (digest == F.col(d))
 
     def sized(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if common.size_bounded(df, broadcast_rows) else df
 
-    gone = marked.where("not stays").select("_id", "_digest")
-    twice = marked.where("stays and n > 1").select("_id", "_digest")
+    gone = marked.where("not stays").select(i, d)
+    twice = marked.where("stays and copies > 1").select(i, d)
     if twice.isEmpty():
         return docs.join(sized(gone), on, "left_anti")
     once = docs.join(sized(gone.unionByName(twice)), on, "left_anti")
-    extra = docs.join(sized(twice), on, "left_semi").withColumn("_digest", F.xxhash64(F.col(text_col).cast("string")))
-    return once.unionByName(extra.dropDuplicates([id_col, "_digest"]).drop("_digest"))
+    extra = docs.join(sized(twice), on, "left_semi").withColumn(mine, digest)
+    return once.unionByName(extra.dropDuplicates([id_col, mine]).drop(mine))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

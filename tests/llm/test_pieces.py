@@ -109,3 +109,20 @@ def test_memo_bound(model):
     for _ in range(3):
         ids, bounds = seg.encode(["the of the Hello world the", None, "x y z w v u t"])
         assert ids[: bounds[1]].tolist() == [i for w in want for i in w] and bounds[1] == bounds[2] < bounds[3]
+
+
+def test_whole_texts(model):
+    """Models with marks within pieces have texts segmented whole; with this model that comes to the same."""
+    seg, whole = pieces.Segmenter(model), pieces.Segmenter(model)
+    assert seg.by_parts
+    whole.by_parts = False
+    for t in texts():
+        assert whole.encode([t])[0].tolist() == seg.encode([t])[0].tolist()
+
+
+def test_unknown_characters(model):
+    """A model without byte pieces writes one unknown id for each character that it lacks."""
+    seg = pieces.Segmenter(model)
+    assert len(seg.segment("\U0001fae8")) == 4
+    seg.byte_ids = [-1] * 256
+    assert seg.segment("\U0001fae8") == (seg.unknown,)

@@ -61,3 +61,29 @@ def test_pipeline_empty(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows, extra columns with the names used inside, an empty benchmark."""
+    docs, items = make(spark)
+    names = "_id _host _digest _lines _gone _drop _kept _both ids n_ids decoded label stays copies i h g key".split()
+    rows = docs.selectExpr("case when doc_id % 2 = 0 then null else doc_id end as doc_id", "text", "lang", "source", "n_chars", *(f"{k} as {c}" for k, c in enumerate(names)))
+    rows.unionByName(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    items.limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*rows.columns, "n_ids_", "ids_"]
+    got = out.collect()
+    assert all(r[c] == k for r in got for k, c in enumerate(names))
+    texts = [r.text for r in got]
+    assert len(texts) == len(set(texts)) == 25  # one of each group of copies, leaks stay
+    assert {r.doc_id for r in got} == {None, *range(1, 20, 2), 31, 41}
+
+
+def test_pipeline_leaves_little_behind(spark, tmp_path):
+    docs, items = make(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, tables = spark.conf.get(key), len(common._scratch)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert spark.conf.get(key) == before and len(common._scratch) <= tables + len(corpus_pipeline.STAGES)
