@@ -1,15 +1,16 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, neighbouring pairs and pairs with one word between, hashed into ``BUCKETS``. Labelled
-rows are dealt to shards of about ``SHARD_ROWS``; each shard runs FTRL-proximal over its rows with a rate for every
-coordinate, leaves out coordinates seen in fewer than ``MIN_SEEN`` rows, and L1 leaves few weights. The shards' weights
+Features are the distinct words, neighbouring pairs and pairs with one word between, and the words' stems (their first
+letters, ``STEMS`` of them), hashed into ``BUCKETS``. Labelled rows are dealt to shards of about ``SHARD_ROWS`` rows or
+``SHARD_BYTES`` of text; each shard runs FTRL-proximal over its rows with a rate for every coordinate, leaves out coordinates seen in fewer than ``MIN_SEEN`` rows, and L1 leaves few weights. The shards' weights
 are averaged (a weight that few shards hold counts for less), and the non-zero ones, at most ``BUCKETS``, are broadcast to
 score all texts.
 
-Training takes at most about ``MAX_LABELLED`` labelled rows, chosen by a hash of the id. All texts are scored in full.
+Training takes at most about ``MAX_LABELLED`` labelled rows, chosen by a hash of id and text. All texts are scored in full.
 
 Defined results: null and empty texts have the constant feature only; without labelled rows every score is 0.5; labels
-that are null do not count, and of several labels of one id the largest does; repeated rows give a row each; a null id is
+that are null do not count, and of several labels of one id the largest does; repeated rows are learned from once and
+scored each; a null id is
 never held out and never labelled; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,25 +28,41 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, SHARD_ROWS, MAX_LABELLED, EPOCHS, MIN_SEEN = 1 << 20, 10_000, 40_000, 8, 5
+BUCKETS, SHARD_ROWS, SHARD_BYTES, MAX_LABELLED, EPOCHS, MIN_SEEN = 1 << 20, 10_000, 64 << 20, 40_000, 8, 5
+#: Letters of the stems of a word.
+STEMS = (3, 4, 5)
 #: Rates and penalties of FTRL-proximal, chosen by training on one half of the rows that are not held out (ids
 #: with remainder 0) and looking at the other half (remainder 2); see the README.
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.1
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
 
-class _Codes(dict):
-    """Word to 64-bit hash, remembered up to a bound."""
+class Words:
+    """Hashes of words and of their stems, remembered up to a bound."""
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 300_000:
-            self[word] = h
-        return h
+    def __init__(self, most: int = 300_000):
+        self.at: dict[str, int] = {}
+        self.most = most
+        self.rows = np.empty((1 << 12, 1 + len(STEMS)), np.uint64)
 
+    def _place(self, word: str) -> int:
+        place = self.at[word] = len(self.at)
+        if place == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        digest = xxhash.xxh3_64_intdigest
+        self.rows[place] = [digest(word.encode("utf-8", "surrogatepass")), *(digest(f"stem{k} {word[:k]}".encode("utf-8", "surrogatepass")) for k in STEMS)]
+        return place
 
-_memo = _Codes()
+    def of(self, text: str | None) -> np.ndarray:
+        """A row for each word of a text: its hash, and those of its stems."""
+        if len(self.at) > self.most:
+            self.at.clear()
+        words, known = _WORD.findall((text or "").lower()), self.at
+        return self.rows[[known[w] if w in known else self._place(w) for w in words]] if words else np.empty((0, 1 + len(STEMS)), np.uint64)
+
+
+_words = Words()
 
 
 def _bucket(x: np.ndarray) -> np.ndarray:
@@ -54,12 +71,12 @@ def _bucket(x: np.ndarray) -> np.ndarray:
 
 
 def hashed(text: str | None) -> np.ndarray:
-    """Buckets of all n-grams and skip-grams of one text, repeats included; bucket 0 is the constant."""
-    words = _WORD.findall((text or "").lower())
-    c = np.fromiter(map(_memo.__getitem__, words), np.uint64, len(words))
+    """Buckets of all n-grams, skip-grams and stems of one text, repeats included; bucket 0 is the constant."""
+    rows = _words.of(text)
+    c = rows[:, 0]
     first, second, skip = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
     pairs, skips = c[:-1] * first ^ c[1:] * second, c[:-2] * skip ^ c[2:] * first
-    return np.concatenate([np.zeros(1, np.int32), _bucket(c), _bucket(pairs), _bucket(skips)])
+    return np.concatenate([np.zeros(1, np.int32), _bucket(rows.ravel()), _bucket(pairs), _bucket(skips)])
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
@@ -96,14 +113,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
     ids = ids.where("_id is not null and _label is not null").where(~held_out(F.col("_id")))
     ids = ids.groupBy("_id").agg((F.max("_label") > 0).cast("int").alias("_label"))
-    n = ids.count()
-    if n > max_labelled:  # a share by the id's hash, of about the bound
-        ids = ids.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
-    shards = max(1, -(-min(n, max_labelled) // SHARD_ROWS))
-    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = src.join(F.broadcast(ids), "_id")
-    # by the text's hash as well, so that copies of one labelled row don't meet in one shard
-    rows = rows.withColumn("_order", F.xxhash64("_id", "_text", F.lit("order"))).withColumn("_shard", F.pmod("_order", F.lit(shards)))
+    # the hash of id and text stands for a row, so that only the rows chosen carry their texts
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.xxhash64(F.col(id_col).cast("long"), text, F.lit("order")).alias("_order"))
+    marks = src.select("_id", "_order", F.octet_length("_text").alias("_bytes")).join(common.written(ids, "toxic-ids"), "_id").distinct()
+    marks = common.written(marks, "toxic-rows")
+    n, size = marks.agg(F.count("*"), F.sum("_bytes")).first()
+    share = min(1.0, max_labelled / max(n, 1))
+    shards = max(1, -(-min(n, max_labelled) // SHARD_ROWS), -(-int((size or 0) * share) // SHARD_BYTES))
+    if share < 1:
+        marks = marks.where(F.pmod("_order", F.lit(1_000_000)) < int(1_000_000 * share))
+    rows = src.drop("_id").join(F.broadcast(marks), "_order")  # about max_labelled rows
+    # shards by the text's hash as well, so that copies of one labelled row don't meet in one
+    rows = rows.dropDuplicates(["_order"]).withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards)))
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_order", kind="stable")
