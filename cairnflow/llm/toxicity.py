@@ -59,7 +59,8 @@ class Words:
         if len(self.at) > self.most:
             self.at.clear()
         words, known = _WORD.findall((text or "").lower()), self.at
-        return self.rows[[known[w] if w in known else self._place(w) for w in words]] if words else np.empty((0, 1 + len(STEMS)), np.uint64)
+        places = np.array([known[w] if w in known else self._place(w) for w in words], np.int64)
+        return self.rows[places]
 
 
 _words = Words()

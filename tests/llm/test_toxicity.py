@@ -64,7 +64,8 @@ def test_features():
     assert len(np.unique(toxicity.hashed("alpha beta gamma"))) == 1 + 3 + 2 + 1 + 9
     a, b = set(toxicity.hashed("running").tolist()), set(toxicity.hashed("runner").tolist())
     assert len(a & b) == 1 + 2
-    few = toxicity.Words(most=2)
+    few, many = toxicity.Words(most=2), " ".join(map(str, range(10_000)))
+    assert (toxicity.Words().of(many) == toxicity._words.of(many)).all() and len(np.unique(toxicity._words.of(many)[:, 0])) == 10_000
     assert all((few.of(t) == toxicity._words.of(t)).all() for t in ["a b c d", "c d e", "a b", "x " * 50] * 2)
 
 
