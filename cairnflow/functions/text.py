@@ -134,13 +134,23 @@ def kb_id(name: Column) -> Column:
     return F.when(out != "", out)
 
 
+#: White space, and characters that no font maps: private use, replacement, control, unassigned and lone surrogates.
+_SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+_GARBLED = r"\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFF}\x{FFFD}\x00-\x08\x0E-\x1B\x{80}-\x{84}\x{86}-\x{9F}"
+
+
 def garbled_share(text: Column) -> Column:
-    """Share of characters from private-use areas, replacement or control characters; null for empty text."""
-    n = F.length(text)
-    bad = F.regexp_count(text, F.lit(r"[\x{E000}-\x{F8FF}\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]"))
+    """Share of garbled characters among those that are no white space; null for blank text."""
+    n = F.length(F.regexp_replace(text, f"[{_SPACE}]", ""))
+    bad = F.regexp_count(text, F.lit(rf"[{_GARBLED}\p{{Cn}}\p{{Cs}}]"))
     return F.when(n > 0, bad / n)
 
 
+def is_garbled(text: Column, threshold: float = 0.5) -> Column:
+    """Whether a text holds a placeholder of an unmapped glyph, or garbled characters from ``threshold`` on."""
+    return F.coalesce(text.rlike(r"\(cid\s*:\s*[0-9]+\s*\)") | (garbled_share(text) >= threshold), F.lit(False))
+
+
 def is_bullet_like(text: Column) -> Column:
     """Starts like a number or a run of dots and so is no heading bullet."""
     return text.rlike(r"^(0|[0-9]+ +[0-9~个只-]|[0-9]+\.{2,})")

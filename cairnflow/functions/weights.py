@@ -26,13 +26,18 @@ def kind_weight(token: Column, classes: Column | None = None) -> Column:
     return F.when(token.rlike("^[0-9,.]{2,}$"), F.lit(2.0)).when(token.rlike("^[a-z]{1,2}$"), F.lit(0.01)).otherwise(rest)
 
 
+def part_weight(token: Column, weights: Column | None = None) -> Column:
+    """Part of speech: numbers 2, others by ``weights`` (of a dictionary's tags), else 1."""
+    return F.when(token.rlike("^[0-9]+$"), F.lit(2.0)).otherwise(F.lit(1.0) if weights is None else F.coalesce(weights, F.lit(1.0)))
+
+
 def idf(frequency: Column, total: Column | int = TOTAL) -> Column:
     n = F.lit(total) if isinstance(total, int) else total
     return F.log10(F.lit(10) + (n - frequency + 0.5) / (frequency + 0.5))
 
 
 def raw_weight(token: Column) -> Column:
-    return idf(frequency(token)) * kind_weight(token)
+    return idf(frequency(token)) * kind_weight(token) * part_weight(token)
 
 
 def query_weights(tokens: list[str]) -> list[tuple[str, float]]:
@@ -41,7 +46,8 @@ def query_weights(tokens: list[str]) -> list[tuple[str, float]]:
     for t in tokens:
         freq = NUMBER_FREQ if re.match("[0-9. -]{2,}$", t) else LATIN_FREQ if re.match("[a-z. -]+$", t) else LEAST_FREQ
         kind = 2.0 if re.match("[0-9,.]{2,}$", t) else 0.01 if re.match("[a-z]{1,2}$", t) else 1.0
-        raw.append(kind * math.log10(10 + (TOTAL - freq + 0.5) / (freq + 0.5)))
+        part = 2.0 if re.fullmatch("[0-9]+", t) else 1.0
+        raw.append(kind * part * math.log10(10 + (TOTAL - freq + 0.5) / (freq + 0.5)))
     total = sum(raw)
     return [(t, w / total if total else 1 / len(tokens)) for t, w in zip(tokens, raw, strict=True)]
 

@@ -24,7 +24,7 @@ PACKED_TOKENS = 218
 
 def sections(docs: DataFrame, id_col: str, text_col: str, separator: str = r"\n\s*\n") -> DataFrame:
     """(id, pos, section): trimmed, without empty ones."""
-    parts = F.filter(F.transform(F.split(F.col(text_col), separator), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.col(text_col), separator), lambda x: F.trim(x)), lambda s: s != "")
     return docs.select(F.col(id_col), F.posexplode(parts).alias("pos", "section"))
 
 
@@ -46,7 +46,7 @@ def merged_sections(parts: Column, budget: int) -> Column:
 
 def naive_chunks(docs: DataFrame, id_col: str, text_col: str, budget: int = 512, separator: str = r"\n\s*\n") -> DataFrame:
     """(id, pos, chunk)"""
-    parts = F.filter(F.transform(F.split(F.col(text_col), separator), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.col(text_col), separator), lambda x: F.trim(x)), lambda s: s != "")
     return docs.select(F.col(id_col), F.posexplode(merged_sections(parts, budget)).alias("pos", "chunk"))
 
 
@@ -62,24 +62,24 @@ def backticked(spec: str) -> list[str]:
     return re.findall(r"`([^`]+)`", spec)
 
 
-def parent_child_chunks(docs: DataFrame, name_col: str, text_col: str, parent_budget: int = 1024, child_chars: int = 512) -> DataFrame:
-    """(id, parent_id, kind, pos, child_pos, chunk): parents, and their children cut behind sentence marks and packed up
-    to ``child_chars`` characters. Ids are salted by kind, so a first child never hides its parent."""
-    parents = naive_chunks(docs, name_col, text_col, parent_budget).withColumn("id", text.chunk_id(F.col(name_col), F.col("pos"), F.col("chunk"), F.lit("parent")))
-    pieces = F.filter(F.split("chunk", "(?<=[。；！？])"), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"))
+def child_texts(parent: Column, child_chars: int, marks: str = "。；！？") -> Column:
+    """Children of a parent's text: cut behind every sentence mark, and before the mark where the text in front of it has
+    ``child_chars`` characters or more; trimmed, without blank ones."""
+    pattern = f"[^{marks}]{{{child_chars},}}|[^{marks}]*[{marks}]|[^{marks}]+"
+    return F.filter(F.transform(F.regexp_extract_all(parent, F.lit(pattern), F.lit(0)), lambda s: F.regexp_replace(s, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda s: s != "")
 
-    def step(state: Column, piece: Column) -> Column:
-        full = F.length(state["last"]) >= child_chars
-        done = F.when(full, F.concat(state["done"], F.array(state["last"]))).otherwise(state["done"])
-        return F.struct(done.alias("done"), F.when(full, piece).otherwise(F.concat(state["last"], piece)).alias("last"))
 
-    cut = F.aggregate(pieces, start, step, lambda s: F.concat(s["done"], F.array(s["last"])))
-    children = parents.select(F.col("id").alias("parent_id"), name_col, "pos", F.posexplode(cut).alias("child_pos", "chunk")).where("chunk <> ''")
+def parent_child_chunks(docs: DataFrame, name_col: str, text_col: str, parent_budget: int = 1024, child_chars: int = 512) -> DataFrame:
+    """(id, parent_id, kind, pos, child_pos, chunk, mom_with_weight): parents and their children (see ``child_texts``), which
+    carry their parent's text. Ids are salted by kind, so a first child never hides its parent."""
+    parents = naive_chunks(docs, name_col, text_col, parent_budget).withColumn("id", text.chunk_id(F.col(name_col), F.col("pos"), F.col("chunk"), F.lit("parent")))
+    cut = F.posexplode(child_texts(F.col("chunk"), child_chars)).alias("child_pos", "child")
+    children = parents.select(F.col("id").alias("parent_id"), name_col, "pos", F.col("chunk").alias("mom_with_weight"), cut).withColumnRenamed("child", "chunk")
     own = text.chunk_id(F.col(name_col), F.concat_ws("-", "pos", "child_pos"), F.col("chunk"), F.lit("child"))
-    cols = ["id", "parent_id", "kind", name_col, "pos", "child_pos", "chunk"]
+    cols = ["id", "parent_id", "kind", name_col, "pos", "child_pos", "chunk", "mom_with_weight"]
     children = children.withColumns({"id": own, "kind": F.lit("child")}).select(*cols)
-    parents = parents.withColumns({"parent_id": F.lit(None).cast("string"), "kind": F.lit("parent"), "child_pos": F.lit(None).cast("int")}).select(*cols)
+    none = F.lit(None).cast("string")
+    parents = parents.withColumns({"parent_id": none, "kind": F.lit("parent"), "child_pos": F.lit(None).cast("int"), "mom_with_weight": none}).select(*cols)
     return parents.unionByName(children)
 
 
@@ -242,7 +242,7 @@ def tree_chunks(docs: DataFrame, id_col: str, text_col: str, family_col: str, de
 
 def voted_families(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with the heading family that most lines vote for, -1 for none. Within the row, nothing is shuffled."""
-    lines = F.transform(F.split(F.col(text_col), "\n"), F.trim)
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(x))
     fits = lambda family: F.size(F.filter(lines, lambda x: ~text.is_bullet_like(x) & x.rlike("^(?:" + "|".join(family) + ")")))
     votes = F.array(*[fits(f) for f in BULLETS])
     most = F.array_max("_votes")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import text, vectors
 
 BOX = ("x0", "x1", "top", "bottom")
 
@@ -116,18 +116,34 @@ def table_grid(cells: DataFrame, keys: list[str], row_gap: float, column_gap: fl
     return t.withColumns({"R": F.sum("_r").over(rows), "C": F.sum("_c").over(cols)}).drop("_r", "_c")
 
 
-def cell_kind(text: Column) -> Column:
-    """Dt date, Nu number, Ca code, En words, NE mixed, Sg one character; else Tx or Lx by length."""
-    t = F.trim(text)
-    return (
-        F.when(t.rlike(r"^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-]?([0-9]{1,2}日?)?$"), "Dt")
-        .when(t.rlike(r"^[0-9.,+%/ -]+$"), "Nu")
-        .when(t.rlike(r"^[0-9A-Z/\._~-]+$"), "Ca")
-        .when(t.rlike(r"^[A-Z]*[a-z' -]+$"), "En")
-        .when(t.rlike(r"^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()' -]+$"), "NE")
-        .when(F.length(t) == 1, "Sg")
-        .otherwise(F.when(F.size(F.split(t, r"\s+")) > 12, "Lx").otherwise("Tx"))
-    )
+#: Forms of table cells, in the order in which they are tried.
+CELL_FORMS = [
+    ("^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-][0-9]{1,2}日*$", "Dt"),
+    ("^(20|19)[0-9]{2}年$", "Dt"),
+    ("^(20|19)[0-9]{2}[年-][0-9]{1,2}月*$", "Dt"),
+    ("^[0-9]{1,2}[月-][0-9]{1,2}日*$", "Dt"),
+    ("^第*[一二三四1-4]季度$", "Dt"),
+    ("^(20|19)[0-9]{2}年*[一二三四1-4]季度$", "Dt"),
+    ("^(20|19)[0-9]{2}[ABCDE]$", "Dt"),
+    ("^[0-9.,+%/ -]+$", "Nu"),
+    (r"^[0-9A-Z/\._~-]+$", "Ca"),
+    ("^[A-Z]*[a-z' -]+$", "En"),
+    ("^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()' -]+$", "NE"),
+    ("^.{1}$", "Sg"),
+]
+
+
+def cell_kind(cell: Column, name_tagged: Column | None = None) -> Column:
+    """Dt date, Nu number, Ca code, En words, NE mixed, Sg one character; else by the tokens of more than one character: Tx
+    text of four to eleven, Lx of more, Nr a single one that a dictionary tags as a name (``name_tagged``), Ot the rest."""
+    trimmed = F.trim(cell)
+    n = F.size(F.filter(text.tokens(cell), lambda t: F.length(t) > 1))
+    name = F.lit(False) if name_tagged is None else name_tagged
+    rest = F.when(n >= 12, "Lx").when(n > 3, "Tx").when((n == 1) & name, "Nr").otherwise("Ot")
+    out = F.when(trimmed.rlike(CELL_FORMS[0][0]), CELL_FORMS[0][1])
+    for pattern, kind in CELL_FORMS[1:]:
+        out = out.when(trimmed.rlike(pattern), kind)
+    return out.otherwise(rest)
 
 
 def table_html(cells: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,49 @@ def vector_topk(df: DataFrame, query: list[float], k: int, vector_col: str = "em
     return out.orderBy(F.desc(score_col), id_col).limit(k)
 
 
+def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "id", query_block: int = 1000) -> DataFrame:
+    """(query_id, id, sim): the k rows nearest to each of the ``queries`` (query_id, vector) by cosine to nine digits, ties by
+    id. Queries are taken in blocks, of which one is broadcast at a time against all rows; each batch of rows sends on no
+    more than k for a query. A zero vector is at 0 from all; rows and queries without a vector are left out."""
+    spark = rows.sparkSession
+    kind = dict(rows.dtypes)[id_col]
+    schema = f"query_id long, {id_col} {kind}, sim double"
+    src = rows.select(id_col, F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+
+    def best_of(block: list[tuple[int, list[float]]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([i for i, _ in block], _units(np.array([v for _, v in block], float))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, units = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                sims = np.round(_units(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)) @ units.T, 9)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                order = np.lexsort((np.broadcast_to(ids[:, None], sims.shape), -sims), axis=0)[:k]
+                at = order.T.ravel()
+                query = np.repeat(np.arange(len(names)), len(order))
+                cols = [pa.array(np.array(names)[query]), b.column(0).take(pa.array(at)), pa.array(sims[at, query])]
+                yield pa.RecordBatch.from_arrays(cols, names=["query_id", id_col, "sim"])
+
+        return src.mapInArrow(run, schema)
+
+    out, block = spark.createDataFrame([], schema), []
+    for r in queries.where("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == query_block:
+            out, block = out.unionByName(best_of(block)), []
+    if block:
+        out = out.unionByName(best_of(block))
+    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), id_col)
+    return out.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+
+
+def _units(vectors_: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors_, axis=1, keepdims=True)
+    return vectors_ / np.where(norms == 0, 1, norms)
+
+
 def term_frequencies(docs: DataFrame, tokens: Column, id_col: str) -> DataFrame:
     """(id, term, tf, n_tokens)"""
     t = docs.select(F.col(id_col), tokens.alias("tokens"))
@@ -71,9 +116,11 @@ def best_per_parent(df: DataFrame, parent_col: str, id_col: str, score_col: str
 
 
 def with_parent_text(hits: DataFrame, parents: DataFrame, parent_col: str, text_col: str, id_col: str = "id") -> DataFrame:
-    """Hits with their parents' text where there is one. Join after the limit, so that few parents are read."""
-    p = parents.select(F.col(id_col).alias("_parent"), F.col(text_col).alias("_text"))
-    out = checked_broadcast(hits).join(p, F.col(parent_col) == F.col("_parent"), "left")
+    """Hits with their parents' text where there is one. For a written page of hits: their ids are broadcast, so that few
+    parents are read and nothing is shuffled."""
+    wanted = hits.select(F.col(parent_col).alias("_parent")).where("_parent is not null").distinct()
+    p = parents.select(F.col(id_col).alias("_parent"), F.col(text_col).alias("_text")).join(checked_broadcast(wanted), "_parent", "left_semi")
+    out = hits.join(p, F.col(parent_col) == F.col("_parent"), "left")
     return out.withColumn(text_col, F.coalesce("_text", text_col)).drop("_parent", "_text")
 
 

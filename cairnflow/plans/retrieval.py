@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, weights
 from ..operators import aggregates, filters, ranking
+from ..shared import written
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ def retrieve(chunks: DataFrame, search: Search, text_col: str = "content_with_we
         hits = ranking.hybrid_scores(rows, search.vector, search.tokens, vector_col, bag, 1 - search.vector_weight, search.vector_weight)
         hits = ranking.above(hits, search.threshold, search.vector_weight)
     hits = ranking.best_per_parent(hits, "parent_id_kwd", "id")
-    hits = ranking.page(hits, search.page, search.size, F.desc("sim"), "id")
+    hits = written(ranking.page(hits, search.page, search.size, F.desc("sim"), "id"), "page")  # a page, looked up twice below
     return ranking.with_parent_text(hits, chunks.where("chunk_type_kwd = 'parent'"), "parent_id_kwd", text_col)
 
 

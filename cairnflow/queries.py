@@ -25,7 +25,7 @@ ASKED_SQL = """
   t(i, t) as (values (1, 'the'), (2, 'thing'), (3, 'of'), (4, 'and'), (5, 'ention'), (6, '42')),
   raw as (
     select i, t, (case when regexp_full_match(t, '[0-9,.]{2,}') then 2.0::double when regexp_full_match(t, '[a-z]{1,2}') then 0.01::double else 1.0::double end)
-      * log10(10 + (10000000 - f + 0.5::double) / (f + 0.5::double)) as w
+      * (case when regexp_full_match(t, '[0-9]+') then 2.0::double else 1.0::double end) * log10(10 + (10000000 - f + 0.5::double) / (f + 0.5::double)) as w
     from (select i, t, case when regexp_full_match(t, '[0-9. -]{2,}') then 3 when regexp_full_match(t, '[a-z. -]+') then 300 else 10 end as f from t)),
   q1 as (select i, t, w / sum(w) over () as w, lead(t) over (order by i) as t2, lead(w / s) over (order by i) as w2 from (select *, sum(w) over () as s from raw)),
   q as (select k, sum(w) as w from (select t as k, 0.4 * w as w from q1 union all select t || t2, 0.6 * greatest(w, w2) from q1 where t2 is not null) group by k)"""
@@ -59,10 +59,14 @@ def txt_sections(spark, d):
     return chunking.sections(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("fullwidth_fold", """
-select doc_id, translate(substr(text, 1, 80) || '　ＡＢ１２！', '　ＡＢ１２！', ' AB12!') as folded from documents""")
+_FULL, _HALF = "　" + "".join(map(chr, range(0xFF01, 0xFF5F))), " " + "".join(map(chr, range(0x21, 0x7F)))
+
+
+@query("fullwidth_fold", f"""
+select doc_id, translate(text || '　ＡＢ１２！' || translate(substr(text, 1, 200), '{_HALF.replace("'", "''")}', '{_FULL}'), '{_FULL}', '{_HALF.replace("'", "''")}') as folded from documents""")
 def fullwidth_fold(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.fold_width(F.concat(F.substring("text", 1, 80), F.lit("　ＡＢ１２！"))).alias("folded"))
+    wide = F.translate(F.substring("text", 1, 200), _HALF, _FULL)
+    return table(spark, d, "documents").select("doc_id", text.fold_width(F.concat("text", F.lit("　ＡＢ１２！"), wide)).alias("folded"))
 
 
 @query("lang_ratio", r"""
@@ -105,7 +109,7 @@ def latin_tokens(spark, d):
 with t as (select item_id, unnest({TOKENS_SQL}) as term from benchmark),
 w as (select item_id, term, count(*) as n,
   any_value((case when regexp_full_match(term, '[0-9,.]{{2,}}') then 2.0::double when regexp_full_match(term, '[a-z]{{1,2}}') then 0.01::double else 1.0::double end)
-  * log10(10 + (10000000 - f + 0.5::double) / (f + 0.5::double))) as w
+  * (case when regexp_full_match(term, '[0-9]+') then 2.0::double else 1.0::double end) * log10(10 + (10000000 - f + 0.5::double) / (f + 0.5::double))) as w
   from (select *, case when regexp_full_match(term, '[0-9. -]{{2,}}') then 3 when regexp_full_match(term, '[a-z. -]+') then 300 else 10 end as f from t) group by item_id, term)
 select item_id, term, n, round(w / sum(w * n) over (partition by item_id), 6) as weight from w""")
 def term_weights(spark, d):
@@ -117,10 +121,10 @@ def term_weights(spark, d):
 
 @query("clean_query", r"""
 select item_id, trim(regexp_replace(text || ' (a|b)* "c": x/y', '([:\{\}/\[\]\-\*"\(\)\|\+~\^])', '\\\1', 'g'), ' ') as escaped,
-  regexp_replace(regexp_replace('GPU4中文 and 中A ' || substr(text, 1, 30), '([A-Za-z]+[0-9]*)([\x{4e00}-\x{9fff}])', '\1 \2', 'g'), '([\x{4e00}-\x{9fff}])([A-Za-z])', '\1 \2', 'g') as spaced from benchmark""")
+  regexp_replace(regexp_replace('GPU4中文 and 中A ' || text, '([A-Za-z]+[0-9]*)([\x{4e00}-\x{9fff}])', '\1 \2', 'g'), '([\x{4e00}-\x{9fff}])([A-Za-z])', '\1 \2', 'g') as spaced from benchmark""")
 def clean_query(spark, d):
     t = table(spark, d, "benchmark")
-    return t.select("item_id", text.escaped_query(F.concat("text", F.lit(' (a|b)* "c": x/y'))).alias("escaped"), text.spaced_scripts(F.concat(F.lit("GPU4中文 and 中A "), F.substring("text", 1, 30))).alias("spaced"))
+    return t.select("item_id", text.escaped_query(F.concat("text", F.lit(' (a|b)* "c": x/y'))).alias("escaped"), text.spaced_scripts(F.concat(F.lit("GPU4中文 and 中A "), F.col("text"))).alias("spaced"))
 
 
 @query("between_tags", r"""
@@ -141,19 +145,22 @@ def position_tags(spark, d):
 
 
 @query("garbled_share", r"""
-select doc_id, round(len(regexp_extract_all(substr(text, 1, 100) || repeat(chr(65533), (doc_id % 5)::int), '[\x{e000}-\x{f8ff}\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f]')) / (length(substr(text, 1, 100)) + doc_id % 5)::double, 6) as share
-from documents where text <> ''""")
+select doc_id, round(len(regexp_extract_all(t, '[\x{e000}-\x{f8ff}\x{f0000}-\x{10ffff}\x{fffd}\x00-\x08\x0e-\x1b\x{80}-\x{84}\x{86}-\x{9f}]')) / length(regexp_replace(t, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]', '', 'g'))::double, 6) as share,
+  regexp_matches(t, '\(cid\s*:\s*[0-9]+\s*\)') as placeholder
+from (select doc_id, text || repeat(chr(65533) || chr(1048577) || chr(130), (doc_id % 50)::int) || case when doc_id % 7 = 0 then '(cid: 12)' else '' end as t from documents where trim(text) <> '')""")
 def garbled_share(spark, d):
-    t = F.concat(F.substring("text", 1, 100), F.repeat(F.lit("�"), (F.col("doc_id") % 5).cast("int")))
-    return table(spark, d, "documents").where("text <> ''").select("doc_id", F.round(text.garbled_share(t), 6).alias("share"))
+    i = F.col("doc_id")
+    t = F.concat("text", F.repeat(F.lit("\ufffd\U00100001\x82"), (i % 50).cast("int")), F.when(i % 7 == 0, "(cid: 12)").otherwise(""))
+    out = table(spark, d, "documents").where("trim(text) <> ''").select("doc_id", t.alias("t"))
+    return out.select("doc_id", F.round(text.garbled_share(F.col("t")), 6).alias("share"), text.is_garbled(F.col("t"), 2.0).alias("placeholder"))
 
 
 @query("title_like", r"""
-select doc_id, line, regexp_matches(line, '^第[零一二三四五六七八九十百0-9]+条') or (len(string_split_regex(trim(line, ' '), '\s+')) <= 12 and not (position(' ' in line) = 0 and length(line) >= 32) and not regexp_matches(line, '[,;，。；！!]')) as is_title
-from (select doc_id, string_split(text, chr(10))[1] as line from documents where text is not null)""")
+select doc_id, i - 1 as pos, line, regexp_matches(line, '^第[零一二三四五六七八九十百0-9]+条') or (len(string_split_regex(trim(line, ' '), '\s+')) <= 12 and not (position(' ' in line) = 0 and length(line) >= 32) and not regexp_matches(line, '[,;，。；！!]')) as is_title
+from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null)""")
 def title_like(spark, d):
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
-    return t.select("doc_id", "line", text.is_title_like(F.col("line")).alias("is_title"))
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return t.select("doc_id", F.col("pos").cast("long").alias("pos"), "line", text.is_title_like(F.col("line")).alias("is_title"))
 
 
 @query("folder_paths", r"""
@@ -179,10 +186,14 @@ def highlights(spark, d):
 _COS = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1))"
 
 
-@query("vector_topk", f"select vec_id, round({_COS}, 4) as sim from embeddings order by {_COS} desc, vec_id limit 50")
+@query("vector_topk", """
+with s as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) as sim
+  from embeddings q, embeddings e where q.vec_id % 20 = 0)
+select query_id, vec_id, round(sim, 4) as sim from (select *, row_number() over (partition by query_id order by sim desc, vec_id) as n from s) where n <= 50""")
 def vector_topk(spark, d):
-    t = ranking.vector_topk(table(spark, d, "embeddings"), first_vector(spark, d), 50, id_col="vec_id")
-    return t.select("vec_id", F.round("sim", 4).alias("sim"))
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return ranking.vector_topk_many(rows, asked, 50, id_col="vec_id").withColumn("sim", F.round("sim", 4))
 
 
 @query("vector_topk_filtered", f"select vec_id, label, round({_COS}, 4) as sim from embeddings where label in (1, 3, 5) and {_COS} >= 0.0 order by {_COS} desc, vec_id limit 20")
@@ -382,12 +393,12 @@ def point_lookup(spark, d):
 
 
 @query("folder_prefix", r"""
-with p as (select page_id, '/' || regexp_extract(url, '^https?://([^/]+)', 1) || '/' || regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) as folder from pages)
-select page_id, folder, folder = '/' as tool_root from p where folder = '/tionsh.example.net' or starts_with(folder, '/tionsh.example.net/')""")
+with p as (select page_id, '/kb' || page_id % 7 || '/' || regexp_extract(url, '^https?://([^/]+)', 1) as folder from pages)
+select page_id, folder, folder = '/' as tool_root from p where folder = '/kb3' or starts_with(folder, '/kb3/')""")
 def folder_prefix(spark, d):
-    folder = F.concat(F.lit("/"), F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("/"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)", 1))
+    folder = F.concat(F.lit("/kb"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.regexp_extract("url", "^https?://([^/]+)", 1))
     t = table(spark, d, "pages").select("page_id", folder.alias("folder"))
-    return filters.under_folder(t, "tionsh.example.net/").withColumn("tool_root", F.col("folder") == "/")
+    return filters.under_folder(t, "kb3/").withColumn("tool_root", F.col("folder") == "/")
 
 
 @query("upsert", """
@@ -482,7 +493,8 @@ def json_flatten(spark, d):
 
 @query("parent_child_chunks")
 def parent_child_chunks(spark, d):
-    return chunking.parent_child_chunks(table(spark, d, "documents"), "source", "text", 256, 200)
+    marked = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[.] ", "。"))
+    return chunking.parent_child_chunks(marked, "source", "text", 256, 200)
 
 
 def _headed(spark, d):
@@ -674,13 +686,23 @@ def table_html(spark, d):
     return layout.table_html(layout.table_grid(_boxes(spark, d), ["page"], 5, 5), ["page"])
 
 
-@query("cell_kinds", r"""
-select event_id, case when regexp_matches(t, '^(20|19)[0-9]{2}[年/-][0-9]{1,2}[月/-]?([0-9]{1,2}日?)?$') then 'Dt' when regexp_matches(t, '^[0-9.,+%/ -]+$') then 'Nu' when regexp_matches(t, '^[0-9A-Z/\._~-]+$') then 'Ca'
-  when regexp_matches(t, '^[A-Z]*[a-z'' -]+$') then 'En' when regexp_matches(t, '^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()'' -]+$') then 'NE' when length(t) = 1 then 'Sg' when len(string_split_regex(t, '\s+')) > 12 then 'Lx' else 'Tx' end as kind
-from (select event_id, case event_id % 5 when 0 then event_type when 1 then '2024-' || (event_id % 12 + 1) when 2 then event_id || '%' when 3 then event_id || ' kg' else upper(event_type) || '_' || event_id end as t from events)""")
+_CELLS = ["2024年", "第三季度", "2023A", "12-25", "2024/12", "2024-1-5", "1999年7月3日", "2021年二季度", "12.5%", "AB-12/X", "Total sum", "12 kg (net)", "x", "one, two", "one, two, three, four", "一二", "", "3月4日", "2024-07"]
+
+
+@query("cell_kinds", rf"""
+select event_id, case
+  when regexp_matches(t, '^(20|19)[0-9]{{2}}[年/-][0-9]{{1,2}}[月/-][0-9]{{1,2}}日*$') or regexp_matches(t, '^(20|19)[0-9]{{2}}年$') or regexp_matches(t, '^(20|19)[0-9]{{2}}[年-][0-9]{{1,2}}月*$')
+    or regexp_matches(t, '^[0-9]{{1,2}}[月-][0-9]{{1,2}}日*$') or regexp_matches(t, '^第*[一二三四1-4]季度$') or regexp_matches(t, '^(20|19)[0-9]{{2}}年*[一二三四1-4]季度$') or regexp_matches(t, '^(20|19)[0-9]{{2}}[ABCDE]$') then 'Dt'
+  when regexp_matches(t, '^[0-9.,+%/ -]+$') then 'Nu' when regexp_matches(t, '^[0-9A-Z/\._~-]+$') then 'Ca'
+  when regexp_matches(t, '^[A-Z]*[a-z'' -]+$') then 'En' when regexp_matches(t, '^[0-9.,+-]+[0-9A-Za-z/$￥%<>（）()'' -]+$') then 'NE' when length(t) = 1 then 'Sg'
+  when n >= 12 then 'Lx' when n > 3 then 'Tx' else 'Ot' end as kind
+from (select event_id, trim(c, ' ') as t, len(list_filter(regexp_extract_all(lower(c), '{{WORDS}}', 1), lambda w: length(w) > 1)) as n from (
+  select event_id, case when event_id % 23 < 19 then ([{", ".join("'" + c + "'" for c in _CELLS)}])[event_id % 23 + 1] when event_id % 23 = 19 then event_type when event_id % 23 = 20 then repeat(event_type || ', ', (event_id % 17)::int)
+    when event_id % 23 = 21 then event_id || ' kg' else upper(event_type) || '_' || event_id end as c from events))""".replace("{WORDS}", WORDS))
 def cell_kinds(spark, d):
     i = F.col("event_id")
-    t = F.when(i % 5 == 0, F.col("event_type")).when(i % 5 == 1, F.concat(F.lit("2024-"), (i % 12 + 1).cast("string"))).when(i % 5 == 2, F.concat(i.cast("string"), F.lit("%"))).when(i % 5 == 3, F.concat(i.cast("string"), F.lit(" kg"))).otherwise(F.concat(F.upper("event_type"), F.lit("_"), i.cast("string")))
+    t = F.when(i % 23 < 19, F.get(F.array(*map(F.lit, _CELLS)), (i % 23).cast("int"))).when(i % 23 == 19, F.col("event_type"))
+    t = t.when(i % 23 == 20, F.repeat(F.concat("event_type", F.lit(", ")), (i % 17).cast("int"))).when(i % 23 == 21, F.concat(i.cast("string"), F.lit(" kg"))).otherwise(F.concat(F.upper("event_type"), F.lit("_"), i.cast("string")))
     return table(spark, d, "events").select("event_id", layout.cell_kind(t).alias("kind"))
 
 

@@ -285,7 +285,7 @@ def parse(path: str, data: bytes) -> list[Section]:
     """Sections by the file's extension; unknown ones as text, files that can't be read give none."""
     try:
         return PARSERS.get(extension(path), parse_text)(data)
-    except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError):
+    except Exception:  # noqa: BLE001  whatever a damaged file brings about, it must not fail the job
         return []
 
 

@@ -188,3 +188,71 @@ def test_schema(spark):
         schema.as_chunks(spark.range(1).withColumn("odd", F.lit(1)))
     with pytest.raises(TypeError):
         schema.checked_types(spark.range(1).select(F.lit("x").alias("n_int")))
+
+
+def test_children_close_at_every_mark(spark):
+    """Against a plain loop over texts and marks."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from cairnflow.operators import chunking
+
+    def plain(parent, limit):
+        out, last = [], ""
+        for part in re.split("([。；！？])", parent):
+            if part:
+                last += part
+                if re.fullmatch("[。；！？]", part) or len(last) >= limit:
+                    out.append(last.strip())
+                    last = ""
+        return [x for x in [*out, last.strip()] if x]
+
+    texts = ["", "。", "short。", "one。two；three！？four", "no mark", "x" * 30 + "。tail", "a" * 9 + "。" + "b" * 10 + "。。" + "c" * 11, "  。 y。", "\n\u3000a b \n。"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("c", chunking.child_texts(F.col("t"), 10))
+    assert [(r.t, r.c) for r in df.collect()] == [(t, plain(t, 10)) for t in texts]
+
+
+def test_cell_kinds_by_form(spark):
+    from pyspark.sql import functions as F
+
+    from cairnflow.operators import layout
+
+    want = {"2024年": "Dt", "第三季度": "Dt", "2023A": "Dt", "12-25": "Dt", "2024/12": "Nu", "12": "Nu", "A-1": "Ca", "Some words": "En", "12 kg": "NE", "é": "Sg", "One, two": "Ot", "Aa, bb, cc, dd": "Tx", "Ab, " * 12: "Lx"}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.k for r in df.select("t", layout.cell_kind(F.col("t")).alias("k")).collect()} == want
+
+
+def test_many_queries_against_all_pairs(spark):
+    import numpy as np
+
+    from cairnflow.operators import ranking
+
+    rnd = np.random.default_rng(3)
+    vectors = rnd.normal(size=(60, 5)).round(3).tolist() + [[0.0] * 5, None]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, vectors[k]) for k in (0, 7, 60)] + [(99, None)], "query_id long, vector array<double>")
+    unit = {k: np.array(v) / (np.linalg.norm(v) or 1) for k, v in enumerate(vectors) if v is not None}
+    want = set()
+    for q in (0, 7, 60):
+        best = sorted((-round(float(unit[q] @ u), 9) + 0.0, i) for i, u in unit.items())[:4]
+        want |= {(q, i, round(-s, 6) + 0.0) for s, i in best}
+    for block in (1, 1000):
+        got = ranking.vector_topk_many(rows, asked, 4, query_block=block).collect()
+        assert {(r.query_id, r.id, round(r.sim, 6) + 0.0) for r in got} == want
+    assert ranking.vector_topk_many(rows.limit(0), asked, 4).count() == 0
+
+
+def test_damaged_files_never_fail(spark):
+    from cairnflow.sources import parsers
+
+    files = [("a.json", b"[" * 100_000), ("b.docx", b"PK\x03\x04 broken"), ("c.html", b"<![foo[ <p>x"), ("d.xlsx", b""), ("e.txt", b"fine\n\nhere")]
+    df = spark.createDataFrame(files, "path string, content binary")
+    assert {r.path for r in parsers.parsed(df).collect()} >= {"e.txt"}
+
+
+def test_sections_keep_digits_at_their_ends(spark):
+    from cairnflow.operators import chunking
+
+    df = spark.createDataFrame([(1, "0 first 0\n\n 1 second 1\n\n2")], "id long, t string")
+    assert [r.section for r in chunking.sections(df, "id", "t").orderBy("pos").collect()] == ["0 first 0", "1 second 1", "2"]
