@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,6 +165,12 @@ def is_title_like(text: Column) -> Column:
     return text.rlike("^第[零一二三四五六七八九十百0-9]+条") | plain
 
 
+def looks_like_title(line: str) -> bool:
+    """``is_title_like`` of one string, for folds over lines."""
+    plain = len(line.split()) <= 12 and (" " in line or len(line) < 32) and not re.search("[,;，。；！!]", line)
+    return bool(re.match("第[零一二三四五六七八九十百0-9]+条", line)) or plain
+
+
 def without_qa_prefix(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"(?i)^(问题|答案|回答|user|assistant|Q|A|Question|Answer|问|答)[\t:： ]+", "")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,32 +148,38 @@ def row_sentence(headers: dict[str, Column], sheet: str = "") -> Column:
     return F.concat(line, F.lit(f" ——{sheet}")) if sheet and "sheet" not in sheet.lower() else line
 
 
-def _levels(lines: list[str], family: int) -> list[int]:
-    """Level of each line in the family: 0 the highest heading; body lines come last, short title-like ones before."""
+def _levels(lines: list[str], family: int, tags: list[str] | None = None) -> list[int]:
+    """Level of each line: headings of the family from 0 down, then title-like lines tagged as title or head, then body."""
     patterns = [re.compile(p) for p in BULLETS[family]]
-    return [next((k for k, p in enumerate(patterns) if p.match(line.strip())), len(patterns)) for line in lines]
+    titles, body = len(patterns), len(patterns) + 1
 
+    def level(line: str, tag: str) -> int:
+        rest = titles if re.search("title|head", tag or "") and text.looks_like_title(line) else body
+        return next((k for k, p in enumerate(patterns) if p.match(line.strip())), rest)
 
-def hierarchy_paths(lines: list[str], family: int, depth: int) -> list[list[str]]:
-    """Each line of the ``depth`` deepest levels below the nearest heading above of every higher level; headings used in
-    a path are not emitted alone."""
-    level = _levels(lines, family)
-    deepest = sorted(set(range(len(BULLETS[family]) + 1)), reverse=True)[:depth]
+    return [level(line, tag) for line, tag in zip(lines, tags or [""] * len(lines), strict=True)]
+
+
+def hierarchy_paths(lines: list[str], family: int, depth: int, tags: list[str] | None = None) -> list[list[str]]:
+    """Each line of the ``depth`` deepest levels (body, title-like, lowest headings and so on) below the nearest heading above
+    of every higher level. A heading that stands before the next higher one takes that one's place; headings used in a path
+    are not emitted alone. Lines of the second highest level have no path."""
+    level = _levels(lines, family, tags)
+    body = len(BULLETS[family]) + 1
     used: set[int] = set()
     out = []
-    for wanted in deepest:
+    for wanted in range(body, max(body - depth, -1), -1):
         above: dict[int, int] = {}
         for k, own in enumerate(level):
             if own == wanted and k not in used:
-                chain: list[int] = []
-                for higher in range(own - 1, -1, -1):
-                    at = above.get(higher, -1)
-                    while at >= 0 and chain and chain[-1] < at:  # that heading stands in an earlier section
-                        chain.pop()
-                    if at >= 0:
-                        chain.append(at)
-                used.update(chain, [k])
-                out.append([lines[i] for i in [*reversed(chain), k]])
+                chain = [k]
+                for higher in range(own - 1, -1, -1) if own != 1 else ():
+                    if higher in above:
+                        if chain[-1] < above[higher]:  # found in an earlier section
+                            chain.pop()
+                        chain.append(above[higher])
+                used.update(chain)
+                out.append([lines[i] for i in reversed(chain)])
             above[own] = k
     return out
 
@@ -193,58 +200,117 @@ def packed_paths(paths: list[list[str]], budget: int = PACKED_TOKENS) -> list[st
     return ["\n".join(x) for x in out]
 
 
-def tree_chunks_of(lines: list[str], family: int, depth: int) -> list[str]:
-    """Body text under its path of headings down to ``depth`` levels; deeper headings count as body."""
-    level = _levels(lines, family)
-    path: dict[int, str] = {}
-    body: list[str] = []
+def tree_chunks_of(lines: list[str], family: int, depth: int, tags: list[str] | None = None) -> list[str]:
+    """Every lowest heading with its lines, below its higher headings and theirs. Headings count down to the ``depth``-th level
+    that the text has (body only where there is nothing else); deeper lines belong to the heading above. Lines before the
+    first heading are a chunk."""
+    level = _levels(lines, family, tags)
+    present = sorted(set(level))
+    if not present:
+        return []
+    limit = present[min(depth, len(present)) - 1]
+    if limit > len(BULLETS[family]) and len(present) > 1:
+        limit = present[-2]
+    path: list[tuple[int, list[str]]] = [(-1, [])]  # lines before all headings, dropped at the first one
     out: list[str] = []
 
     def close() -> None:
-        if body:
-            out.append("\n".join([*(path[k] for k in sorted(path)), *body]))
-            body.clear()
+        if held := [x for _, part in path for x in part]:
+            out.append("\n".join(held))
 
     for line, own in zip(lines, level, strict=True):
-        if own < min(depth, len(BULLETS[family])):
+        if own > limit:
+            path[-1][1].append(line)
+            continue
+        if path[-1][0] == -1 or own <= path[-1][0]:
             close()
-            for k in [k for k in path if k >= own]:
-                del path[k]
-            path[own] = line
-        else:
-            body.append(line)
+            path = [node for node in path if -1 < node[0] < own]
+        path.append((own, [line]))
     close()
     return out
 
 
-def _per_document(docs: DataFrame, id_col: str, text_col: str, chunks_of: Callable[[list[str], int], list[str]], family_col: str) -> DataFrame:
+def _per_document(docs: DataFrame, id_col: str, lines: Column, chunks_of: Callable[[list[str], int], list[str]], family_col: str) -> DataFrame:
+    """(id, pos, chunk) of the lines of each document, without those of one character or only digits."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, body, family in zip(b.iloc[:, 0], b.iloc[:, 1], b.iloc[:, 2], strict=True):
-                lines = [x for x in (body or "").split("\n") if len(x.strip()) > 1 and not x.strip().isdigit()]
-                chunks = chunks_of(lines, int(family)) if family >= 0 else []
-                rows += [(i, k, c) for k, c in enumerate(chunks)]
+            for i, own, family in zip(b.iloc[:, 0], b.iloc[:, 1], b.iloc[:, 2], strict=True):
+                rows += [(i, k, c) for k, c in enumerate(chunks_of(list(own), int(family)))]
             yield pd.DataFrame(rows, columns=[id_col, "pos", "chunk"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col, family_col).mapInPandas(run, f"{id_col} {kind}, pos int, chunk string")
+    shown = lambda x: F.trim(F.split_part(x, F.lit("@"), F.lit(1)))
+    held = F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: (F.length(shown(x)) > 1) & ~shown(x).rlike("^[0-9]+$"))
+    return docs.where(F.col(family_col) >= 0).select(id_col, held.alias("_lines"), family_col).mapInPandas(run, f"{id_col} {kind}, pos int, chunk string")
+
+
+def _lines_of(text_col: str) -> Column:
+    return F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(x))
 
 
 def hierarchical_chunks(docs: DataFrame, id_col: str, text_col: str, family_col: str, depth: int = 3) -> DataFrame:
-    """(id, pos, chunk) of texts with a heading family (see ``aggregates.family_votes``); none for family -1."""
-    return _per_document(docs, id_col, text_col, lambda lines, family: packed_paths(hierarchy_paths(lines, family, depth)), family_col)
+    """(id, pos, chunk) of texts with a heading family (see ``voted_families``); none for family -1."""
+    return _per_document(docs, id_col, _lines_of(text_col), lambda lines, family: packed_paths(hierarchy_paths(lines, family, depth)), family_col)
 
 
 def tree_chunks(docs: DataFrame, id_col: str, text_col: str, family_col: str, depth: int = 3) -> DataFrame:
-    return _per_document(docs, id_col, text_col, lambda lines, family: tree_chunks_of(lines, family, depth), family_col)
+    return _per_document(docs, id_col, _lines_of(text_col), lambda lines, family: tree_chunks_of(lines, family, depth), family_col)
 
 
-def voted_families(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def voted_families(docs: DataFrame, id_col: str, text_col: str, lines: Column | None = None) -> DataFrame:
     """``docs`` with the heading family that most lines vote for, -1 for none. Within the row, nothing is shuffled."""
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.trim(x))
+    lines = _lines_of(text_col) if lines is None else lines
     fits = lambda family: F.size(F.filter(lines, lambda x: ~text.is_bullet_like(x) & x.rlike("^(?:" + "|".join(family) + ")")))
     votes = F.array(*[fits(f) for f in BULLETS])
     most = F.array_max("_votes")
     out = docs.withColumn("_votes", votes)
     return out.withColumn("family", F.when(most > 0, F.array_position("_votes", most) - 1).otherwise(-1).cast("int")).withColumnRenamed("_votes", "votes")
+
+
+STRATEGIES = ("naive", "laws", "book", "table", "presentation", "one", "qa")
+
+
+def strategy_of(name: Column, wanted: Column) -> Column:
+    """The strategy a document is cut by: slides always by page, an unknown one as ``naive``."""
+    known = F.coalesce(F.when(wanted.isin(*STRATEGIES), wanted), F.lit("naive"))
+    return F.when(F.lower(name).rlike(r"[.]pptx?$"), F.lit("presentation")).otherwise(known)
+
+
+def page_chunks(parts: DataFrame, doc_col: str, pos_col: str, text_col: str, tag_col: str) -> DataFrame:
+    """(doc, pos, chunk): a chunk a page; the page's number stands in the part's tag. Parts without one come last, each
+    for itself."""
+    tag = F.coalesce(F.col(tag_col), F.lit(""))
+    found = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for t, p in ((tag, r"'page_number'\s*:\s*([0-9]+)"), (F.lower(tag), "pn[=:_]?([0-9]+)"))]
+    number = F.coalesce(*found).cast("long")
+    t = parts.where(F.trim(text_col) != "").select(doc_col, pos_col, text_col, F.coalesce(number.isNull().cast("int"), F.lit(1)).alias("_last"), F.coalesce(number, F.col(pos_col).cast("long")).alias("_page"))
+    items = F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(text_col).alias("t"))))
+    pages = t.groupBy(doc_col, "_last", "_page").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("chunk"))
+    at = F.row_number().over(Window.partitionBy(doc_col).orderBy("_last", "_page")) - 1
+    return pages.select(doc_col, at.alias("pos"), "chunk")
+
+
+def chunked(parts: DataFrame, name_col: str, pos_col: str, text_col: str, tag_col: str, strategy_col: str, budget: int = 512, depth: int = 3) -> DataFrame:
+    """(name, kind, pos, chunk) of parsed parts, each document by its own strategy (see ``strategy_of``). Parts tagged
+    ``table`` are chunks of kind ``table`` as they are; positions count within a kind. Laws go by paths of headings, books by
+    the tree of headings, both by the budget where no heading family is found. A document's parts meet in one row."""
+    t = parts.where(F.trim(text_col) != "").withColumn("_strategy", strategy_of(F.col(name_col), F.col(strategy_col)))
+    is_table = F.coalesce(F.col(tag_col) == "table", F.lit(False))
+    body, tables = t.where(~is_table), t.where(is_table)
+    by = Window.partitionBy(name_col).orderBy(pos_col)
+    outs = [tables.select(name_col, F.lit("table").alias("kind"), (F.row_number().over(by) - 1).alias("pos"), F.col(text_col).alias("chunk"))]
+    flat = lambda df: df.select(name_col, F.lit("text").alias("kind"), "pos", "chunk")
+    outs.append(flat(page_chunks(body.where("_strategy = 'presentation'"), name_col, pos_col, text_col, tag_col)))
+    outs.append(flat(whole_chunks(body.where("_strategy = 'one'"), name_col, pos_col, text_col).withColumn("pos", F.lit(0))))
+    lines = body.where("_strategy = 'qa'").select(name_col, pos_col, F.posexplode(F.split(text_col, "\n")).alias("_line", "_text"))
+    pairs = qa_pairs(lines, name_col, [pos_col, "_line"], "_text")
+    outs.append(flat(pairs.select(name_col, (F.col("pair") - 1).cast("int").alias("pos"), qa_chunk(F.col("question"), F.col("answer")).alias("chunk"))))
+    items = F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.trim(text_col).alias("t"))))
+    held = body.where("_strategy in ('naive', 'table', 'laws', 'book')").groupBy(name_col, "_strategy").agg(F.transform(items, lambda x: x["t"]).alias("_parts"))
+    held = voted_families(held, name_col, text_col, F.col("_parts"))
+    plain = held.where("_strategy in ('naive', 'table') or family < 0").select(name_col, F.posexplode(merged_sections(F.col("_parts"), budget)).alias("pos", "chunk"))
+    outs.append(flat(plain))
+    for strategy, cut in (("laws", lambda own, family: packed_paths(hierarchy_paths(own, family, depth))), ("book", lambda own, family: tree_chunks_of(own, family, depth))):
+        outs.append(flat(_per_document(held.where(F.col("_strategy") == strategy), name_col, F.col("_parts"), cut, "family")))
+    return reduce(DataFrame.unionByName, outs)

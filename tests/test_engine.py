@@ -77,8 +77,65 @@ def test_parent_child_ids(spark):
 def test_hierarchy():
     lines = ["# A", "a1", "## B", "b1", "b2", "# C", "c1"]
     assert chunking.hierarchy_paths(lines, 4, 1) == [["# A", "a1"], ["# A", "## B", "b1"], ["# A", "## B", "b2"], ["# C", "c1"]]
-    assert chunking.tree_chunks_of(lines, 4, 2) == ["# A\na1", "# A\n## B\nb1\nb2", "# C\nc1"]
-    assert chunking.tree_chunks_of(["x", "y"], 4, 2) == ["x\ny"]
+    # the title-like level lies between body and the lowest headings, so depth 2 takes no heading of a family
+    tagged = chunking.hierarchy_paths(["# A", "Some title", "x, y", "Other title"], 4, 2, ["", "title", "", "head"])
+    assert tagged == [["# A", "Some title", "x, y"], ["# A", "Other title"]]
+    # only one heading gives way to a higher one found later
+    assert chunking.hierarchy_paths(["### c", "## b", "# a", "xx"], 4, 1) == [["# a", "xx"]]
+    assert chunking.hierarchy_paths(["## b", "### c", "# a", "xx"], 4, 1) == [["# a", "### c", "xx"]]
+    assert chunking.hierarchy_paths([], 4, 3) == []
+
+
+def plain_tree(lines, level, limit):
+    """Chunks of a tree that is built as such and walked."""
+    root = {"level": -1, "text": [], "below": []}
+    stack = [root]
+    for line, own in zip(lines, level, strict=True):
+        if own > limit:
+            stack[-1]["text"].append(line)
+            continue
+        while len(stack) > 1 and stack[-1]["level"] >= own:
+            stack.pop()
+        stack[-1]["below"].append({"level": own, "text": [line], "below": []})
+        stack.append(stack[-1]["below"][-1])
+
+    def walk(node, above):
+        here = above + node["text"]
+        if not node["below"]:
+            return [here]
+        return [x for n in node["below"] for x in walk(n, here)]
+
+    return (["\n".join(root["text"])] if root["text"] else []) + ["\n".join(x) for n in root["below"] for x in walk(n, [])]
+
+
+def test_tree_against_a_built_tree():
+    assert chunking.tree_chunks_of(["# A", "a1", "## B", "b1", "b2", "# C", "c1"], 4, 2) == ["# A\na1\n## B\nb1\nb2", "# C\nc1"]
+    assert chunking.tree_chunks_of(["xx", "yy"], 4, 2) == ["xx", "yy"] and chunking.tree_chunks_of([], 4, 2) == []
+    rnd = random.Random(5)
+    for _ in range(300):
+        lines = [rnd.choice(["# a", "## b", "### c", "body, of it", "more"]) + str(k) for k in range(rnd.randint(1, 14))]
+        depth = rnd.randint(1, 4)
+        level = [{"# ": 0, "##": 1}.get(x[:2], 9) if not x.startswith("###") else 2 for x in lines]
+        present = sorted(set(level))
+        limit = present[min(depth, len(present)) - 1]
+        if limit == 9 and len(present) > 1:
+            limit = present[-2]
+        assert chunking.tree_chunks_of(lines, 4, depth) == plain_tree(lines, level, limit)
+
+
+def test_strategies(spark):
+    rows = [
+        ("a.pptx", 0, "p2", "pn=2", "laws"), ("a.pptx", 1, "p1", "{'page_number': 1}", "laws"), ("a.pptx", 2, "own", None, "laws"), ("a.pptx", 3, "p2b", "PN_2", "laws"),
+        ("b", 0, "# A", "", "laws"), ("b", 1, "one, two", "", "laws"), ("b", 2, "<table/>", "table", "laws"), ("c", 0, "# A", "", "book"), ("c", 1, "xx", "", "book"), ("c", 2, "# B", "", "book"),
+        ("d", 0, "plain words", "", "book"), ("d", 1, "more", "", "book"), ("e", 0, "Q: why\nA: so", "", "qa"), ("f", 0, "x", "", "one"), ("f", 1, "y", "", "one"), ("g", 0, "x", "", "odd"), ("g", 1, " ", "", None), ("h", 0, "x", None, None),
+    ]
+    df = spark.createDataFrame(rows, "name string, pos int, section string, tag string, strategy string")
+    got = {(r.name, r.kind, r.pos): r.chunk for r in chunking.chunked(df, "name", "pos", "section", "tag", "strategy").collect()}
+    assert got == {
+        ("a.pptx", "text", 0): "p1", ("a.pptx", "text", 1): "p2\np2b", ("a.pptx", "text", 2): "own", ("b", "text", 0): "# A\none, two", ("b", "table", 0): "<table/>",
+        ("c", "text", 0): "# A\nxx", ("c", "text", 1): "# B", ("d", "text", 0): "\nplain words\nmore", ("e", "text", 0): "Question: why\tAnswer: so", ("f", "text", 0): "x\n\ny", ("g", "text", 0): "\nx", ("h", "text", 0): "\nx",
+    }
+    assert chunking.chunked(df.limit(0), "name", "pos", "section", "tag", "strategy").count() == 0
 
 
 def test_qa_machine(spark):
