@@ -196,11 +196,16 @@ def vector_topk(spark, d):
     return ranking.vector_topk_many(rows, asked, 50, id_col="vec_id").withColumn("sim", F.round("sim", 4))
 
 
-@query("vector_topk_filtered", f"select vec_id, label, round({_COS}, 4) as sim from embeddings where label in (1, 3, 5) and {_COS} >= 0.0 order by {_COS} desc, vec_id limit 20")
+@query("vector_topk_filtered", """
+with s as (select q.vec_id as query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) as sim
+  from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.label in (1, 3, 5))
+select query_id, vec_id, label, round(sim, 4) as sim from (select *, row_number() over (partition by query_id order by sim desc, vec_id) as n from s where sim >= 0) where n <= 20""")
 def vector_topk_filtered(spark, d):
-    t = filters.by_conditions(table(spark, d, "embeddings"), {"label": [1, 3, 5], "vec_id": None})
-    t = ranking.vector_topk(t, first_vector(spark, d), 20, id_col="vec_id", least=0.0)
-    return t.select("vec_id", "label", F.round("sim", 4).alias("sim"))
+    all_rows = table(spark, d, "embeddings")
+    rows = filters.by_conditions(all_rows, {"label": [1, 3, 5], "vec_id": None})
+    asked = all_rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = ranking.vector_topk_many(rows, asked, 20, id_col="vec_id").where("sim >= 0")
+    return hits.join(rows.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", F.round("sim", 4).alias("sim"))
 
 
 _TOK_SQL = f"""
@@ -217,18 +222,18 @@ def token_similarity(spark, d):
 
 
 def _hybrid(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    docs = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
     bag = ranking.token_bag(text.tokens(F.col("text")))
     return ranking.hybrid_scores(docs, first_vector(spark, d), ASKED, "embedding", bag)
 
 
 #: The bag's distinct tokens keep the order of their first places, so its neighbours are others than the text's.
 _HYBRID_SQL = f"""with {ASKED_SQL},
-  s as (select doc_id, unnest(ts) as x, unnest(range(1, len(ts) + 1)) as i from (select doc_id, {TOKENS_SQL} as ts from documents join embeddings on doc_id = vec_id)),
+  s as (select doc_id, unnest(ts) as x, unnest(range(1, len(ts) + 1)) as i from (select doc_id, {TOKENS_SQL} as ts from documents)),
   d as (select doc_id, list(x order by i) as t from (select doc_id, x, min(i) as i from s group by doc_id, x) group by doc_id),
-  k as (select doc_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) as keys from d),
+  k as (select doc_id, list_concat(coalesce(t, []), list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) as keys from documents left join d using (doc_id)),
   tok as (select doc_id, (1e-9 + coalesce(sum(w) filter (where list_contains(keys, k)), 0)) / (1e-9 + sum(w)) as tok from (select doc_id, keys, q.k, q.w from k as a, q) group by doc_id),
-  h0 as (select doc_id, source, {_COS} as cos, tok from tok join documents using (doc_id) join embeddings on doc_id = vec_id),
+  h0 as (select doc_id, source, coalesce({_COS}, 0) as cos, tok from tok join documents using (doc_id) left join embeddings on doc_id = vec_id),
   h as (select *, case when sum(cos) over () = 0 then tok else 0.3 * cos + 0.7 * tok end as sim from h0)"""
 
 
@@ -515,6 +520,14 @@ def tree_chunks(spark, d):
     return chunking.tree_chunks(t, "doc_id", "text", "family")
 
 
+@query("strategy_chunks")
+def strategy_chunks(spark, d):
+    """Every document's sections by the strategy its source is given."""
+    parts = chunking.sections(_headed(spark, d), "doc_id", "text", r"\n").withColumns({"name": F.col("doc_id").cast("string"), "tag": F.lit("")})
+    strategies = F.array(*map(F.lit, chunking.STRATEGIES))
+    return chunking.chunked(parts.withColumn("strategy", F.get(strategies, (F.col("doc_id") % len(chunking.STRATEGIES)).cast("int"))), "name", "pos", "section", "tag", "strategy")
+
+
 # --- graph ------------------------------------------------------------------------------------------------------------
 
 
