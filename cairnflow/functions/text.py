@@ -165,6 +165,19 @@ def is_title_like(text: Column) -> Column:
     return text.rlike("^第[零一二三四五六七八九十百0-9]+条") | plain
 
 
+#: Web addresses within a text. Fixed value.
+URL = r"(?:https?://|www\.)[a-zA-Z0-9./?#&=_%+-]+"
+
+
+def without_urls(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, URL, ""))
+
+
+def without_urls_in(question: str) -> str:
+    """``without_urls`` of one question, on the driver."""
+    return re.sub(URL, "", question).strip()
+
+
 def looks_like_title(line: str) -> bool:
     """``is_title_like`` of one string, for folds over lines."""
     plain = len(line.split()) <= 12 and (" " in line or len(line) < 32) and not re.search("[,;，。；！!]", line)

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 #: Documents that the dictionary counts are out of; counts of numbers, of unknown Latin words and the least one.
 TOTAL, NUMBER_FREQ, LATIN_FREQ, LEAST_FREQ = 10_000_000, 3, 300, 10
 
+#: Words that questions are asked with and that say nothing. Fixed values.
+STOP_WORDS = ["请问", "您", "你", "我", "他", "是", "的", "就", "有", "于", "及", "即", "在", "为", "最", "从", "以", "了", "将", "与", "吗", "吧", "中", "#", "什么", "怎么", "哪个", "哪些", "啥", "相关"]
+#: A token that begins with one of these is no word. Fixed values.
+MARKS = "~—\t @#%!<>,.?\\\":';{}[]_=()|,。?》•●○↓《;‘’:“”【¥ 】…￥!、·()×`&\\/「」"
+
 
 def frequency(token: Column, known: Column | None = None) -> Column:
     """Dictionary frequency; where the dictionary has none, numbers and Latin words have fixed ones."""
@@ -40,6 +45,63 @@ def raw_weight(token: Column) -> Column:
     return idf(frequency(token)) * kind_weight(token) * part_weight(token)
 
 
+def tag_weight(tag: Column) -> Column:
+    """Weight of a part-of-speech tag: pronouns, conjunctions and adverbs little, names of places and bodies most."""
+    return F.when(tag.isin("r", "c", "d"), 0.3).when(tag.isin("ns", "nt"), 3.0).when((tag == "n") | tag.rlike("^[0-9-]+"), 2.0).otherwise(1.0)
+
+
+def kept_tokens(tokens: Column, digits: bool = False, stop_words: bool = True) -> Column:
+    """Tokens without stop words, single digits (unless ``digits``) and those that begin with a mark."""
+
+    def kept(t: Column) -> Column:
+        word = (t != "") & ~F.contains(F.lit(MARKS), F.substring(t, 1, 1))
+        word = word & ~t.isin(STOP_WORDS) if stop_words else word
+        return word if digits else word & ~t.rlike("^[0-9]$")
+
+    return F.filter(tokens, kept)
+
+
+def merged_terms(tokens: Column) -> Column:
+    """Runs of short tokens (one character, or one or two digits and small letters; no stop words) as terms: up to four
+    as one, of longer runs pairs from the front until less than five are left. A short first token joins a longer second one
+    that doesn't begin with a Latin letter or digit. A fold within the row."""
+    none = F.array().cast("array<string>")
+    short = lambda t: (F.length(t) == 1) | t.rlike("^[0-9a-z]{1,2}$")
+
+    def terms_of(run: Column) -> Column:
+        pairs = F.when(F.size(run) < 5, 0).otherwise(F.floor((F.size(run) - 3) / 2)).cast("int")
+        numbers = F.when(pairs > 0, F.sequence(F.lit(1), pairs)).otherwise(F.array().cast("array<int>"))
+        front = F.transform(numbers, lambda i: F.array_join(F.slice(run, 2 * i - 1, F.lit(2)), " "))
+        return F.concat(front, F.array(F.array_join(F.slice(run, 2 * pairs + 1, F.size(run)), " ")))
+
+    def step(state: Column, t: Column) -> Column:
+        joins = short(t) & ~t.isin(STOP_WORDS)
+        out = F.when(joins, state["out"]).otherwise(F.concat(state["out"], terms_of(state["run"]), F.array(t)))
+        return F.struct(out.alias("out"), F.when(joins, F.concat(state["run"], F.array(t))).otherwise(none).alias("run"))
+
+    start = F.struct(none.alias("out"), none.alias("run"))
+    fold = lambda a: F.aggregate(a, start, step, lambda s: F.concat(s["out"], terms_of(s["run"])))
+    first, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
+    head = F.coalesce(short(first) & (F.length(second) > 1) & ~second.rlike("^[0-9a-zA-Z]"), F.lit(False))
+    whole = F.when(head, F.concat(F.array(F.concat_ws(" ", first, second)), fold(F.slice(tokens, 3, F.size(tokens))))).otherwise(fold(tokens))
+    return F.filter(whole, lambda t: t != "")
+
+
+def joined_latin(text: Column, function_words: list[str] | None = None) -> Column:
+    """Parts of a text between white space, neighbours joined where both end in a Latin letter and neither is a function
+    word."""
+    func = lambda t: t.isin(function_words) if function_words else F.lit(False)
+
+    def step(out: Column, t: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joins = F.coalesce(last.rlike("[a-zA-Z]$") & t.rlike("[a-zA-Z]$") & ~func(last) & ~func(t), F.lit(False))
+        head = F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.when(joins, F.concat(head, F.array(F.concat_ws(" ", last, t)))).otherwise(F.concat(out, F.array(t)))
+
+    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
 def query_weights(tokens: list[str]) -> list[tuple[str, float]]:
     """Weights of the few tokens of one query, on the driver."""
     raw = []

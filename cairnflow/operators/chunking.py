@@ -29,17 +29,24 @@ def sections(docs: DataFrame, id_col: str, text_col: str, separator: str = r"\n\
     return docs.select(F.col(id_col), F.posexplode(parts).alias("pos", "section"))
 
 
-def merged_sections(parts: Column, budget: int) -> Column:
+def merged_sections(parts: Column, budget: int, overlap: int = 0) -> Column:
     """Greedy merge of an array of sections: a new chunk opens where the last one already exceeds ``budget`` tokens, so
-    chunks overshoot. Each section starts with a line feed. A fold within the row: nothing is shuffled."""
+    chunks overshoot. Each section starts with a line feed. With an ``overlap`` in percent the limit is that much lower and
+    a chunk begins with as large a tail of the one before, without position tags and not counted. A fold within the row:
+    nothing is shuffled."""
+    limit = budget * (100 - overlap) / 100
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("last"), F.lit(0).alias("n"))
 
     def step(state: Column, part: Column) -> Column:
         line = F.concat(F.lit("\n"), part)
         size = text.token_count(line)
-        opens = (state["last"] != "") & (state["n"] > budget)
+        opens = (state["last"] != "") & (state["n"] > limit)
         done = F.when(opens, F.concat(state["done"], F.array(state["last"]))).otherwise(state["done"])
-        last = F.when(opens, line).otherwise(F.concat(state["last"], line))
+        opened = line
+        if overlap:
+            before = text.without_tags(state["last"])
+            opened = F.concat(F.substring(before, F.floor(F.length(before) * (100 - overlap) / 100).cast("int") + 1, F.length(before)), line)
+        last = F.when(opens, opened).otherwise(F.concat(state["last"], line))
         return F.struct(done.alias("done"), last.alias("last"), F.when(opens, size).otherwise(state["n"] + size).cast("int").alias("n"))
 
     return F.aggregate(parts, start, step, lambda s: F.when(s["last"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))

@@ -136,3 +136,9 @@ def reranked(hits: DataFrame, scorer: Callable[[Column], Column] | None, text_co
     graph = F.coalesce(F.col(graph_flag), F.lit(False)) if graph_flag else F.lit(False)
     out = hits.withColumn("_graph", graph).withColumn("rerank_score", F.when(F.col("_graph"), F.lit(1.0)).otherwise(score))
     return out.orderBy(F.desc("_graph"), F.desc("rerank_score"), id_col).limit(k).drop("_graph")
+
+
+def overfetched(hits: DataFrame, scorer: Callable[[Column], Column] | None, text_col: str, k: int, times: int = 3, id_col: str = "id", score_col: str = "sim") -> DataFrame:
+    """The k best by the scorer of the ``times`` * k best hits: no more rows are scored."""
+    best = hits.orderBy(F.desc(score_col), id_col).limit(times * k)
+    return reranked(best, scorer, text_col, k, id_col, score_col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -86,11 +87,11 @@ def query_tokens(question: str) -> list[str]:
     return re.findall(r"\w+", question.translate(str.maketrans(text.FULL_WIDTH, text.HALF_WIDTH)).lower())
 
 
-def query_string(question: str) -> str:
-    """The question in the query language: words with their weights, neighbours as phrases with twice the larger."""
-    own = weights.query_weights(query_tokens(question))
-    words = [f"({t}^{w:.4f})" for t, w in own]
+def query_string(question: str, synonyms: Mapping[str, list[str]] | None = None) -> str:
+    """The question in the query language: words with their weights, their synonyms as phrases with a quarter of it,
+    neighbours as phrases with twice the larger."""
+    own = weights.query_weights(query_tokens(text.without_urls_in(question)))
+    also = lambda t, w: "".join(f' "{s}"^{w / 4:.4f}' for s in (synonyms or {}).get(t, []) if s.strip())
+    words = [f"({t}^{w:.4f}{also(t, w)})" for t, w in own]
     pairs = [f'"{a} {b}"^{2 * max(v, w):.4f}' for (a, v), (b, w) in zip(own, own[1:], strict=False)]
     return " ".join(words + pairs)
-
-

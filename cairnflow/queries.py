@@ -627,6 +627,38 @@ def graph_expand(spark, d):
     return graph.expanded(edges, ranks, seeds, 2, 2, 20)
 
 
+@query("entity_topk", """
+with e as (select n_name, n_nationkey, embedding from nation join embeddings on vec_id = n_nationkey),
+s as (select q.vec_id as query_id, n_name as name, n_nationkey, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) as sim from embeddings q, e where q.vec_id % 20 = 0)
+select query_id, name, round((1 + sim) / 2, 4) as sim from (select *, row_number() over (partition by query_id order by sim desc, n_nationkey) as n from s) where n <= 5""")
+def entity_topk(spark, d):
+    vectors_ = table(spark, d, "embeddings")
+    rows = table(spark, d, "nation").join(vectors_, F.col("n_nationkey") == F.col("vec_id"))
+    asked = vectors_.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    hits = ranking.vector_topk_many(rows, asked, 5, id_col="n_nationkey").join(F.broadcast(table(spark, d, "nation")), "n_nationkey")  # 25 nations
+    return hits.select("query_id", F.col("n_name").alias("name"), F.round((1 + F.col("sim")) / 2, 4).alias("sim"))
+
+
+@query("overlapped_chunks")
+def overlapped_chunks(spark, d):
+    parts = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.merged_sections(parts, 64, 20)).alias("pos", "chunk"))
+
+
+@query("merged_terms")
+def merged_terms(spark, d):
+    kept = weights.kept_tokens(text.tokens(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", F.array_join(weights.merged_terms(kept), "|").alias("terms"))
+
+
+@query("joined_latin", r"""
+select item_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), x -> x <> ''), ' ') as text from benchmark where regexp_full_match(text, '[a-zA-Z\\s]*')""")
+def joined_latin(spark, d):
+    """Texts of Latin letters alone are one part each."""
+    t = table(spark, d, "benchmark").where(F.col("text").rlike(r"^[a-zA-Z\s]*$"))
+    return t.select("item_id", F.array_join(weights.joined_latin(F.col("text")), "|").alias("text"))
+
+
 @query("graph_context")
 def graph_context(spark, d):
     _, edges, ranks, hits = _graph_hits(spark, d)

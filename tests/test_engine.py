@@ -313,3 +313,82 @@ def test_sections_keep_digits_at_their_ends(spark):
 
     df = spark.createDataFrame([(1, "0 first 0\n\n 1 second 1\n\n2")], "id long, t string")
     assert [r.section for r in chunking.sections(df, "id", "t").orderBy("pos").collect()] == ["0 first 0", "1 second 1", "2"]
+
+
+def test_overlap_against_a_loop(spark):
+    def plain(parts, budget, percent):
+        out, n = [], 0
+        for x in parts:
+            size = len("\n" + x) // 4
+            if out and n <= budget * (100 - percent) / 100:
+                out[-1] += "\n" + x
+                n += size
+            else:
+                out.append((out[-1][int(len(out[-1]) * (100 - percent) / 100) :] if out and percent else "") + "\n" + x)
+                n = size
+        return out
+
+    rnd = random.Random(7)
+    rows = [[rnd.choice("abcd") * 4 * rnd.randint(1, 9) + "xyz" for _ in range(rnd.randint(0, 12))] for _ in range(40)]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "i int, p array<string>")
+    for percent in (0, 10, 35):
+        got = {r.i: r.c for r in df.select("i", chunking.merged_sections(F.col("p"), 12, percent).alias("c")).collect()}
+        assert got == {k: plain(r, 12, percent) for k, r in enumerate(rows)}
+
+
+def plain_terms(tokens):
+    """Short runs taken off the front of the list, one at a time."""
+    import re
+
+    short = lambda t: len(t) == 1 or re.fullmatch("[0-9a-z]{1,2}", t)
+    out, rest = [], list(tokens)
+    if len(rest) > 1 and short(rest[0]) and len(rest[1]) > 1 and not re.match("[0-9a-zA-Z]", rest[1]):
+        out, rest = [" ".join(rest[:2])], rest[2:]
+    while rest:
+        run = 0
+        while run < len(rest) and short(rest[run]) and rest[run] not in weights.STOP_WORDS:
+            run += 1
+        take = max(1, run if run < 5 else 2)
+        out.append(" ".join(rest[:take]))
+        rest = rest[take:]
+    return out
+
+
+def test_merged_terms_against_a_loop(spark):
+    rnd = random.Random(9)
+    words = ["a", "b1", "7", "word", "中", "书", "的", "中文", "A", "Ab", "x9"]
+    rows = [[rnd.choice(words[:3] if k % 3 else words) for _ in range(rnd.randint(0, 13))] for k in range(300)]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "i int, t array<string>")
+    got = {r.i: r.m for r in df.select("i", weights.merged_terms(F.col("t")).alias("m")).collect()}
+    assert got == {k: plain_terms(r) for k, r in enumerate(rows)}
+
+
+def test_kept_and_joined_tokens(spark):
+    df = spark.createDataFrame([(["的", "7", "77", "", "_x", "\\y", "ok", "中", "书"],)], "t array<string>")
+    assert df.select(weights.kept_tokens(F.col("t"))).first()[0] == ["77", "ok", "书"]
+    assert df.select(weights.kept_tokens(F.col("t"), True, False)).first()[0] == ["的", "7", "77", "ok", "中", "书"]
+    joined = lambda t, *w: one(spark, weights.joined_latin(F.col("v"), *w), t)
+    assert joined("big data 中文 a1 of  it") == ["big data", "中文", "a1", "of it"] and joined("big of it", ["of"]) == ["big", "of", "it"] and joined(None) == [] and joined(" ") == []
+    assert [one(spark, weights.tag_weight(F.col("v")), t) for t in ("r", "ns", "n", "12", "v")] == [0.3, 3.0, 2.0, 2.0, 1.0]
+    assert one(spark, text.without_urls(F.col("v")), "see https://a.b/c?d=1 now") == "see  now"
+    assert retrieval.query_string("big www.x.org", {"big": ["large", " "]}) == '(big^1.0000 "large"^0.2500)'
+
+
+def test_overfetch(spark):
+    df = spark.createDataFrame([(k, "x" * k, 1 - k / 100) for k in range(20)], "id int, t string, sim double")
+    assert [r.id for r in ranking.overfetched(df, lambda t: F.length(t), "t", 2).collect()] == [5, 4]
+
+
+def test_graph_search(spark):
+    from cairnflow.plans import graph_search
+
+    kinds = "id string, knowledge_graph_kwd string, entity_name_kwd string, entity_type_kwd string, target_entity_kwd string, content_with_weight string, pagerank_flt double, embedding array<float>"
+    rows = [("1", "entity", "Acme", "ORG", None, "a firm", 1.0, [1.0, 0.0]), ("2", "entity", "Bob", "PERSON", None, "a man", 0.5, [0.0, 1.0]), ("3", "entity", "Zed", "PLACE", None, "", None, None)]
+    rows += [("4", "relation", "acme", None, "bob", "hires", 0.2, [1.0, 0.0]), ("5", "relation", "bob", None, "zed", "lives in", 0.1, [-1.0, 0.0]), ("6", None, None, None, None, "text", None, [1.0, 0.0])]
+    df = schema.as_chunks(spark.createDataFrame(rows, kinds))
+    hits = graph_search.search(df, [1.0, 0.0], ["person"])
+    assert [(r.name, round(r.score, 3)) for r in hits.entities.orderBy(F.desc("score")).collect()] == [("Acme", 1.0), ("Bob", 0.25)]
+    assert [(r.source, round(r.sim, 3)) for r in hits.relations.orderBy(F.desc("score")).collect()] == [("acme", 1.0), ("bob", 0.0)]
+    assert {(r.seed, r.key, r.hop) for r in hits.paths.collect()} >= {("acme", "bob", 1), ("acme", "zed", 2), ("bob", "acme", 1)}
+    assert hits.context.first()[0].startswith("Acme|ORG|1.000|a firm")
+    assert graph_search.search(df, None, []).entities.count() == 0
