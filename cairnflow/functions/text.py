@@ -165,6 +165,12 @@ def is_title_like(text: Column) -> Column:
     return text.rlike("^第[零一二三四五六七八九十百0-9]+条") | plain
 
 
+def is_caption(text: Column, layout: Column | None = None) -> Column:
+    """A line that begins as captions do, or whose layout class says so."""
+    begins = F.coalesce(F.trim(text).rlike("^[图表]+[ 0-9:：]{2,}"), F.lit(False))
+    return begins if layout is None else begins | F.coalesce(layout.contains("caption"), F.lit(False))
+
+
 #: Web addresses within a text. Fixed value.
 URL = r"(?:https?://|www\.)[a-zA-Z0-9./?#&=_%+-]+"
 

@@ -21,6 +21,8 @@ BULLETS: list[list[str]] = [
     ["#[^#]", "##[^#]", "###", "####", "#####", "######"],
 ]
 PACKED_TOKENS = 218
+#: How numbered questions begin. Fixed values.
+QUESTIONS = ["第([零一二三四五六七八九十百0-9]+)问", "第([零一二三四五六七八九十百0-9]+)条", "[\\(（]([零一二三四五六七八九十百]+)[\\)）]", "第([0-9]+)问", "第([0-9]+)条", "([0-9]{1,2})[\\. 、]", "([零一二三四五六七八九十百]+)[ 、]", "[\\(（]([0-9]{1,2})[\\)）]", "QUESTION (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)", "QUESTION (I+V?|VI*|XI|IX|X)", "QUESTION ([0-9]+)"]
 
 
 def sections(docs: DataFrame, id_col: str, text_col: str, separator: str = r"\n\s*\n") -> DataFrame:
@@ -148,6 +150,14 @@ def row_pages(rows: DataFrame, order: list[str], cells: list[str], group: list[s
     return t.groupBy(*group, "page").agg(F.count("*").alias("n_rows"), html.alias("html"))
 
 
+def row_batches(rows: DataFrame, order: list[str], line_col: str, group: list[str], size: int = 10, english: bool = True) -> DataFrame:
+    """(group, batch, chunk): lines of ``size`` rows each, joined by semicolons."""
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    items = F.sort_array(F.collect_list(F.struct("_n", F.col(line_col).alias("line"))))
+    t = rows.withColumn("_n", at).withColumn("batch", F.floor(F.col("_n") / size).cast("int"))
+    return t.groupBy(*group, "batch").agg(F.array_join(F.transform(items, lambda x: x["line"]), "; " if english else "； ").alias("chunk"))
+
+
 def row_sentence(headers: dict[str, Column], sheet: str = "") -> Column:
     """``header：value; ...`` of the values that are neither null, empty nor zero, and the sheet's name behind."""
     parts = [F.when(v.isNotNull() & ~v.cast("string").isin("", "0", "0.0", "false"), F.concat(F.lit(h + "："), v.cast("string"))) for h, v in headers.items()]
@@ -276,6 +286,13 @@ def voted_families(docs: DataFrame, id_col: str, text_col: str, lines: Column |
     return out.withColumn("family", F.when(most > 0, F.array_position("_votes", most) - 1).otherwise(-1).cast("int")).withColumnRenamed("_votes", "votes")
 
 
+def question_family(lines: Column) -> Column:
+    """Number of the first form of question that a line of the array has; -1 for none."""
+    has = lambda p: F.exists(lines, lambda x: ~text.is_bullet_like(x) & x.rlike("^" + p))
+    found = F.coalesce(*[F.when(has(p), k) for k, p in enumerate(QUESTIONS)], F.lit(-1))
+    return F.coalesce(F.when(lines.isNull(), -1), found)
+
+
 STRATEGIES = ("naive", "laws", "book", "table", "presentation", "one", "qa")
 
 

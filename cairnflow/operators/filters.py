@@ -66,6 +66,23 @@ def deleted(df: DataFrame, conditions: dict) -> DataFrame:
     return df.where(~F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))) if parts else df
 
 
+def deleted_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``df`` without the rows that meet the condition; rows for which it is null stay."""
+    return df.where(~F.coalesce(condition, F.lit(False)))
+
+
+def with_total(df: DataFrame, total_col: str = "total") -> DataFrame:
+    """``df`` with the number of its rows, which is one row, broadcast."""
+    return df.crossJoin(F.broadcast(df.agg(F.count("*").alias(total_col))))
+
+
+def moved_folder(df: DataFrame, old: str, new: str, col: str = "folder") -> DataFrame:
+    """``df`` with the folder ``old`` and those below it under the path ``new``."""
+    old, new = "/" + old.strip("/"), "/" + new.strip("/")
+    below = (F.col(col) == old) | F.col(col).startswith(old + "/")
+    return df.withColumn(col, F.when(below, F.concat(F.lit(new), F.substring(col, len(old) + 1, 1_000_000))).otherwise(F.col(col)))
+
+
 def projected(df: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
     """The id and the listed fields, without rows in which all of them are null."""
     return df.select(id_col, *fields).dropna("all", subset=fields)

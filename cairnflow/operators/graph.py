@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import checked_broadcast, written
@@ -114,3 +114,14 @@ def graph_rows(nodes: DataFrame, edges: DataFrame, kb: str) -> DataFrame:
     rid = F.substring(F.md5(F.concat_ws("_", "src", "dst", "description")), 1, 16)
     rel = edges.select(F.concat(F.lit("relation_"), rid).alias("id"), F.lit("relation").alias("knowledge_graph_kwd"), F.col("src").alias("entity_name_kwd"), F.lit(None).cast("string").alias("entity_type_kwd"), F.col("dst").alias("target_entity_kwd"), F.col("description").alias("content_with_weight"), F.lit(None).cast("double").alias("pagerank_flt"))
     return ent.unionByName(rel).withColumn("kb_id", F.lit(kb))
+
+
+def save(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Writes nodes and edges as JSON lines below ``path``."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def load(spark: SparkSession, path: str, node_schema: str, edge_schema: str = "src string, dst string, description string") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of what ``save`` wrote."""
+    return spark.read.schema(node_schema).json(f"{path}/nodes"), spark.read.schema(edge_schema).json(f"{path}/edges")

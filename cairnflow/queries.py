@@ -528,6 +528,19 @@ def strategy_chunks(spark, d):
     return chunking.chunked(parts.withColumn("strategy", F.get(strategies, (F.col("doc_id") % len(chunking.STRATEGIES)).cast("int"))), "name", "pos", "section", "tag", "strategy")
 
 
+@query("row_batches", """
+with r as (select p_brand, p_name, p_partkey, row_number() over (partition by p_brand order by p_partkey) - 1 as n from part)
+select p_brand, (n // 10)::int as batch, string_agg(p_name, '; ' order by p_partkey) as chunk from r group by p_brand, n // 10""")
+def row_batches(spark, d):
+    return chunking.row_batches(table(spark, d, "part"), ["p_partkey"], "p_name", ["p_brand"])
+
+
+@query("deleted_by_condition", "select l_orderkey, l_linenumber from lineitem where not (l_quantity < 20 or l_shipdate is null)")
+def deleted_by_condition(spark, d):
+    rows = filters.deleted_where(table(spark, d, "lineitem"), (F.col("l_quantity") < 20) | F.col("l_shipdate").isNull())
+    return rows.select("l_orderkey", "l_linenumber")
+
+
 # --- graph ------------------------------------------------------------------------------------------------------------
 
 
@@ -652,7 +665,7 @@ def merged_terms(spark, d):
 
 
 @query("joined_latin", r"""
-select item_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), x -> x <> ''), ' ') as text from benchmark where regexp_full_match(text, '[a-zA-Z\\s]*')""")
+select item_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ') as text from benchmark where regexp_full_match(text, '[a-zA-Z\s]*')""")
 def joined_latin(spark, d):
     """Texts of Latin letters alone are one part each."""
     t = table(spark, d, "benchmark").where(F.col("text").rlike(r"^[a-zA-Z\s]*$"))

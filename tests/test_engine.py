@@ -392,3 +392,24 @@ def test_graph_search(spark):
     assert {(r.seed, r.key, r.hop) for r in hits.paths.collect()} >= {("acme", "bob", 1), ("acme", "zed", 2), ("bob", "acme", 1)}
     assert hits.context.first()[0].startswith("Acme|ORG|1.000|a firm")
     assert graph_search.search(df, None, []).entities.count() == 0
+
+
+def test_question_forms_and_captions(spark):
+    df = spark.createDataFrame([(["x", "QUESTION 4 why"],), (["1. so", "第二问 x"],), (["none"],), ([],), (None,)], "l array<string>")
+    assert [r[0] for r in df.select(chunking.question_family(F.col("l"))).collect()] == [10, 0, -1, -1, -1]
+    assert [one(spark, text.is_caption(F.col("v")), t) for t in ("图 1: x", "表面", None)] == [True, False, False]
+    assert one(spark, text.is_caption(F.col("v"), F.lit("figure caption")), "x")
+
+
+def test_folders_totals_and_deletes(spark):
+    df = spark.createDataFrame([("a", "/x"), ("b", "/x/y"), ("c", "/xy"), ("d", None)], "id string, folder string")
+    assert {r.id: r.folder for r in filters.moved_folder(df, "x/", "/z/w").collect()} == {"a": "/z/w", "b": "/z/w/y", "c": "/xy", "d": None}
+    assert {r.id for r in filters.deleted_where(df, F.col("folder") == "/x").collect()} == {"b", "c", "d"}
+    assert {(r.id, r.total) for r in filters.with_total(df).collect()} == {(k, 4) for k in "abcd"}
+
+
+def test_graph_save_and_load(spark, tmp_path):
+    nodes, edges = spark.createDataFrame([("a", "A", None)], "key string, name string, pagerank double"), spark.createDataFrame([("a", "b", "x")], "src string, dst string, description string")
+    graph.save(nodes, edges, f"file://{tmp_path}/g")
+    got = graph.load(spark, f"file://{tmp_path}/g", "key string, name string, pagerank double")
+    assert got[0].collect() == nodes.collect() and got[1].collect() == edges.collect()
