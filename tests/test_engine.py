@@ -71,7 +71,9 @@ def test_parent_child_ids(spark):
     parents = {r.id: r.chunk for r in rows if r.kind == "parent"}
     children = [r for r in rows if r.kind == "child"]
     assert len({r.id for r in rows}) == len(rows) and {r.parent_id for r in children} == set(parents)
-    assert "".join(r.chunk for r in sorted(children, key=lambda r: r.child_pos)) == next(iter(parents.values()))
+    whole = next(iter(parents.values()))
+    assert "".join(r.chunk for r in sorted(children, key=lambda r: r.child_pos)) == whole.strip()  # children are trimmed
+    assert {r.mom_with_weight for r in children} == {whole}
 
 
 def test_hierarchy():
