@@ -229,9 +229,10 @@ def _hybrid(spark, d):
 
 #: The bag's distinct tokens keep the order of their first places, so its neighbours are others than the text's.
 _HYBRID_SQL = f"""with {ASKED_SQL},
-  s as (select doc_id, unnest(ts) as x, unnest(range(1, len(ts) + 1)) as i from (select doc_id, {TOKENS_SQL} as ts from documents)),
+  cand as (select * from documents),
+  s as (select doc_id, unnest(ts) as x, unnest(range(1, len(ts) + 1)) as i from (select doc_id, {TOKENS_SQL} as ts from cand)),
   d as (select doc_id, list(x order by i) as t from (select doc_id, x, min(i) as i from s group by doc_id, x) group by doc_id),
-  k as (select doc_id, list_concat(coalesce(t, []), list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) as keys from documents left join d using (doc_id)),
+  k as (select doc_id, list_concat(coalesce(t, []), list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) as keys from cand left join d using (doc_id)),
   tok as (select doc_id, (1e-9 + coalesce(sum(w) filter (where list_contains(keys, k)), 0)) / (1e-9 + sum(w)) as tok from (select doc_id, keys, q.k, q.w from k as a, q) group by doc_id),
   h0 as (select doc_id, source, coalesce({_COS}, 0) as cos, tok from tok join documents using (doc_id) left join embeddings on doc_id = vec_id),
   h as (select *, case when sum(cos) over () = 0 then tok else 0.3 * cos + 0.7 * tok end as sim from h0)"""
@@ -788,7 +789,7 @@ def _chunk_table(spark, d):
     ))
 
 
-@query("retrieve_page", f"""{_HYBRID_SQL.replace("from documents join embeddings on doc_id = vec_id)", "from documents join embeddings on doc_id = vec_id where doc_id % 10 <> 0)")},
+@query("retrieve_page", f"""{_HYBRID_SQL.replace("cand as (select * from documents)", "cand as (select * from documents where doc_id in (select vec_id from embeddings) and doc_id % 10 <> 0)")},
 b as (select *, row_number() over (partition by doc_id // 10 order by sim desc, doc_id) as rn from h where sim >= 0.2)
 select printf('%09d', doc_id) as id, round(sim, 4) as sim, length(coalesce(p.text, c.text)) as n_chars from (select * from b where rn = 1 order by sim desc, doc_id limit 10) b
 join documents c using (doc_id) left join (select doc_id as pid, text from documents where doc_id % 10 = 0 and doc_id in (select vec_id from embeddings)) p on pid = doc_id // 10 * 10""")
