@@ -9,8 +9,8 @@ segment size are first thinned by a condition that any such window meets: of its
 ``n - g + 1 - g * edits`` are also in a segment of this size, since one edit breaks g runs. The CGK walk copies the
 current word and steps on by a random bit of (step, word), so that few edits lead to few differing steps; each repetition
 samples some steps as its key, and window and segment are candidates if they agree on a key. The number of repetitions
-is chosen by trials with k random edits, so that an item is found with probability ``recall``; if no number reaches it,
-this is an error. An item without edits is always found. Around each candidate the exact word edit distance of the whole
+is chosen by trials on one segment with as many edits as the worst spread of k edits leaves it, so that an item is found with
+probability ``recall`` wherever its edits are; if no number reaches it, this is an error. An item without edits is always found. Around each candidate the exact word edit distance of the whole
 item to the best span is computed.
 
 Items are taken in blocks of about ``BLOCK_WORDS`` words. ``PASS_BLOCKS`` blocks at most are broadcast at a time, and
@@ -111,11 +111,16 @@ def walk_keys(windows: np.ndarray, repeats: int, first: int = 0, sampled: int =
     return keys
 
 
-def edited(codes: np.ndarray, k: int, rnd: np.random.Generator, kinds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """``codes`` after k random edits (replacements only if ``kinds`` is 1), and each word's place before (-1: new)."""
+def edited(codes: np.ndarray, k: int, rnd: np.random.Generator, kinds: int = 3, only: int | None = None, places: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``codes`` after k random edits, and each word's place before (-1: new). An edit is a replacement, a deletion or an insertion;
+    of these the first ``kinds``, or the one numbered ``only``. ``places`` are those of the edits in ``codes``, else random ones."""
     out = list(zip(codes.tolist(), range(len(codes)), strict=True))
-    for _ in range(k):
-        at, kind = int(rnd.integers(len(out))), int(rnd.integers(kinds))
+    for i in range(k):
+        if places is None:
+            at = int(rnd.integers(len(out)))
+        else:
+            at = next((j for j, (_, p) in enumerate(out) if p >= places[i]), len(out) - 1)
+        kind = int(rnd.integers(kinds)) if only is None else only
         new = (int(rnd.integers(1, 1 << 63)), -1)
         if kind == 0:
             out[at] = new
@@ -134,43 +139,32 @@ def _shared_runs(windows: np.ndarray, own: np.ndarray, g: int) -> np.ndarray:
 @lru_cache(maxsize=10_000)
 def _repeats(n: int, k: int, recall: float, trials: int) -> int:
     rnd = np.random.default_rng((7, n, k))
-    parts = segments(n, k)
-    own, windows, trial_of = defaultdict(list), defaultdict(list), defaultdict(list)
-    for t in range(trials):
-        item = rnd.integers(1, 1 << 63, n).astype(np.uint64)
-        text, place = edited(item, k, rnd, 3 if t % 2 else 1)
-        text = np.concatenate([text, rnd.integers(1, 1 << 63, n).astype(np.uint64)])
-        for offset, size in parts:
-            inside = np.flatnonzero((place >= offset) & (place < offset + size))
-            if len(inside):  # the window from the first word of the segment that is left
-                at = int(inside[0])
-                own[size].append(item[offset : offset + size])
-                windows[size].append(text[at : at + size])
-                trial_of[size].append(t)
-    kept = {}
-    for size in own:
-        a, b, t = np.stack(windows[size]), np.stack(own[size]), np.array(trial_of[size])
-        needs = runs_needed(size, k // len(parts))
-        thin = np.logical_and.reduce([_shared_runs(a, b, g) >= need for g, need in needs.items() if need > 0])
-        kept[size] = (a[thin], b[thin], t[thin])
-    found = np.zeros(trials, bool)
+    own, windows = [], []
+    for t in range(3 * trials):
+        segment, after = rnd.integers(1, 1 << 63, n).astype(np.uint64), rnd.integers(1, 1 << 63, n).astype(np.uint64)
+        text, place = edited(segment, k, rnd, only=t % 3)
+        left = np.flatnonzero(place >= 0)  # the window from the first word of the segment that is left
+        text = np.concatenate([text[int(left[0]) if len(left) else 0 :], after])
+        own.append(segment)
+        windows.append(text[:n])
+    own, windows, kind = np.stack(own), np.stack(windows), np.arange(3 * trials) % 3
+    thin = np.logical_and.reduce([np.ones(3 * trials, bool), *[_shared_runs(windows, own, g) >= need for g, need in runs_needed(n, k).items() if need > 0]])
+    found = np.zeros(3 * trials, bool)
     for r in range(MOST_REPEATS):
-        for a, b, t in kept.values():
-            found[t[(walk_keys(a, r + 1, r) == walk_keys(b, r + 1, r))[:, 0]]] = True
-        if found.mean() >= recall:
+        found |= thin & (walk_keys(windows, r + 1, r) == walk_keys(own, r + 1, r))[:, 0]
+        if min(found[kind == x].mean() for x in range(3)) >= recall:
             return r + 1
-    raise ValueError(f"items of {n} words with {k} edits aren't found with probability {recall} in {MOST_REPEATS} repetitions")
+    raise ValueError(f"segments of {n} words with {k} edits aren't found with probability {recall} in {MOST_REPEATS} repetitions")
 
 
 def repeats_for(n: int, recall: float = RECALL, similarity: float = SIMILARITY, trials: int = 200) -> int:
-    """Repetitions that find items of n words after k random edits with probability ``recall``."""
+    """Repetitions that find items of n words after k edits with probability ``recall``, wherever the edits are: enough for the
+    worst case, in which the one segment that must have few edits has as many as that allows and all others more. Replacements, deletions and
+    insertions are tried each by themselves."""
     k = edits_allowed(n, similarity)
-    if not k:
-        return 1
-    if k > 12:  # of many segments, sizes of about the same share of edits behave alike
-        k = -(-k // 8) * 8
-    shortest = next(m for m in range(max(1, int(k / (1 - similarity)) - 1), 1 << 40) if edits_allowed(m, similarity) >= k)
-    return _repeats(shortest, k, recall, trials)
+    parts = segments(n, k)
+    edits = k // len(parts)
+    return max((_repeats(size, edits, recall, trials) for size in {size for _, size in parts}), default=1) if edits else 1
 
 
 def best_spans(items: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -142,6 +142,22 @@ def test_recall_at_the_limit(n, kind):
     assert hits >= 0.95 * trials
 
 
+@pytest.mark.parametrize("n", [10, 25, 40, 59, 100, 150, 200, 300, 400])
+def test_recall_with_edits_evenly_spread(n):
+    """Every segment holds edits, of one kind or mixed."""
+    rnd = np.random.default_rng((4, n))
+    k, fresh = dc.edits_allowed(n), lambda m: rnd.integers(1, 1 << 63, m).astype(np.uint64)
+    item = fresh(n)
+    block, trials = dc.Block([(0, item)], dc.RECALL, dc.SIMILARITY), 60
+    for only in (0, 1, 2, None):
+        hits = 0
+        for _ in range(trials):
+            places = [int((i + rnd.random()) * n / k) for i in range(k)]
+            text = np.concatenate([fresh(30), dc.edited(item, k, rnd, only=only, places=places)[0], fresh(30)])
+            hits += len(block.found(text, np.array([0, len(text)])))
+        assert hits >= 0.95 * trials, (only, hits)
+
+
 def test_recall_out_of_reach():
     with pytest.raises(ValueError, match="aren't found"):
         dc.repeats_for(5, recall=1.1, trials=20)
