@@ -3,12 +3,13 @@
 Values are found by form and validated (check digits, number plans, calendar). Each kind has one canonical value whatever
 its spelling: the digits of a card, ten digits of the North American plan, a day, an address as a number, a local part in
 lower case. That value is permuted within its kind by one keyed Feistel network and written in the spelling found, so
-equal values get equal pseudonyms in all documents and in all spellings; separators, widths and case stay. Steps that
+equal values get equal pseudonyms in all documents and in all spellings listed below; separators, widths and case stay. Steps that
 leave the valid values are taken again (cycle walking), so the permutation stays one-to-one on valid values. With the key,
 ``pseudonymise(..., inverse=True)`` restores a text.
 
 Kinds: payment cards (Luhn; first digit and length stay), telephone numbers (ten digits of the North American plan, with or
-without a 1 in front or separators; others with a plus sign keep their first two digits), IPv4 and IPv6 addresses, social
+without a 1 in front or separators; others with a plus sign keep their first two digits, and a trunk zero in brackets is no part
+of them), IPv4 and IPv6 addresses, social
 security numbers, IBANs (mod 97; country and character classes stay), e-mail addresses (character classes of the local part;
 the domain stays) and dates with a four-digit year from 1900 to 2099 (year, month, day; day, month, year; or month, day,
 year, where that alone is a date; whether day and month have one digit and the day exceeds 12 stays, so every spelling
@@ -65,6 +66,11 @@ _EACH = {
 _SIGN = re.compile("[0-9@]|::")
 _BEGIN = re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}|(?<![\w:.])(?:[A-Fa-f][0-9A-Fa-f]{0,3}:|::)|(?<!\w)[(+]?[0-9]")
 _DIGIT = re.compile("[0-9]")
+_GAP = re.compile("[\\x20\\x09-\\x0D]")
+#: Where no white space follows, a value around a sign is looked for in so many characters behind it: more than any form has.
+_FAR = 1000
+#: Fewest characters of a value, but for IPv6 addresses.
+_SHORTEST = 6
 
 
 def luhn_digit(body: str) -> int:
@@ -197,6 +203,9 @@ def _nanp(text: str, key: bytes, inverse: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, inverse: bool) -> str | None:
+    if "(0)" in text:  # a trunk zero, which is not part of the number
+        new = _phone(text.replace("(0)", "()", 1), key, inverse)
+        return new and new.replace("()", "(0)", 1)
     d = _digits(text)
     n, valid = len(d) - 2, None
     if len(d) == 11 and d[0] == "1":
@@ -314,9 +323,12 @@ def pseudonymise(text: str, key: bytes, inverse: bool = False) -> tuple[str, int
     out, n, done, at = [], 0, 0, 0
     while sign := _SIGN.search(text, at):
         # from the white space before the sign to that behind it
-        first = max(at, text.rfind(" ", at, sign.start()) + 1, text.rfind("\n", at, sign.start()) + 1)
-        last = text.find(" ", sign.start())
-        last = len(text) if last < 0 else last
+        first = max(at, *(text.rfind(c, at, sign.start()) + 1 for c in " \n\t"))
+        gap = _GAP.search(text, sign.start(), sign.start() + _FAR)
+        last = gap.start() if gap else min(len(text), sign.start() + _FAR)
+        if last - first < _SHORTEST and gap and gap[0] != " " and text.find("::", first, last) < 0:
+            at = last  # no form has other white space inside, nor so few characters
+            continue
         m = _BEGIN.search(text, first, last)
         if not m:
             at = last
