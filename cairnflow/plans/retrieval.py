@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text, weights
-from ..operators import aggregates, filters, ranking
-from ..shared import written
+from ..functions import text, vectors, weights
+from ..operators import aggregates, filters, fulltext, ranking
+from ..shared import checked_broadcast, written
 
 
 @dataclass(frozen=True)
@@ -95,3 +95,25 @@ def query_string(question: str, synonyms: Mapping[str, list[str]] | None = None)
     words = [f"({t}^{w:.4f}{also(t, w)})" for t, w in own]
     pairs = [f'"{a} {b}"^{2 * max(v, w):.4f}' for (a, v), (b, w) in zip(own, own[1:], strict=False)]
     return " ".join(words + pairs)
+
+
+def hybrid_many(index: fulltext.Index, field: str, questions: DataFrame, rows: DataFrame, topk: int = 1024, token_weight: float = 0.7, vector_weight: float = 0.3) -> DataFrame:
+    """(query_id, id, cos, tok, sim) for many ``questions`` (query_id, text, vector) over ``rows`` (id, embedding) and the ``field``
+    of an index. Candidates of a question are its ``topk`` nearest rows and all that hold some of its words; a row without a vector
+    has cosine 0. Where no candidate has any cosine, sim is the token similarity alone."""
+    keys = fulltext.similarity_keys(questions, "query_id", "text")
+    least = keys.groupBy("query_id").agg((1e-9 / (1e-9 + F.sum("weight"))).alias("least"))  # no word at all
+    near = ranking.vector_topk_many(rows, questions, topk).select("query_id", "id")
+    tokens = fulltext.token_similarities(index, keys, field)
+    both = near.withColumn("near", F.lit(True)).join(tokens, ["query_id", "id"], "full")
+    vector = lambda c: F.col(c).cast("array<double>")
+    both = both.join(rows.select("id", vector("embedding").alias("e")), "id", "left")
+    asked = questions.select("query_id", vector("vector").alias("q")).join(least, "query_id", "left")
+    both = both.join(checked_broadcast(asked), "query_id")
+    cos = F.coalesce(vectors.cosine(F.col("e"), F.col("q")), F.lit(0.0))
+    scored = both.select("query_id", "id", cos.alias("cos"), F.coalesce("tok", "least", F.lit(1.0)).alias("tok"))
+    scored = written(scored, "hybrid")
+    total = scored.groupBy("query_id").agg(F.sum("cos").alias("total"))
+    fused = F.col("cos") * vector_weight + F.col("tok") * token_weight
+    out = scored.join(checked_broadcast(total), "query_id")
+    return out.withColumn("sim", F.when(F.col("total") == 0, F.col("tok")).otherwise(fused)).drop("total")

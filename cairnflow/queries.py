@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text, vectors, weights
 from .operators import aggregates, chunking, filters, graph, layout, ranking
 from .plans import retrieval, routing
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .schema import as_chunks
 from .shared import table
 from .sources import parsers
 from .streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 WORDS = r"([\p{L}\p{N}_]+)"
 #: The tokens of the example query, and its SQL: (k, w) of words and joined neighbours.
 ASKED = ["the", "thing", "of", "and", "ention", "42"]
@@ -32,16 +28,6 @@ ASKED_SQL = """
 TOKENS_SQL = f"regexp_extract_all(lower(coalesce(text, '')), '{WORDS}', 1)"
 
 
-def query(name: str, sql: str | None = None):
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
 def first_vector(spark: SparkSession, d: str) -> list[float]:
     """The example query vector: that of the smallest id. One row."""
     row = table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()
@@ -208,72 +194,6 @@ def vector_topk_filtered(spark, d):
     return hits.join(rows.select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label", F.round("sim", 4).alias("sim"))
 
 
-_TOK_SQL = f"""
-  d as (select doc_id, source, text, {TOKENS_SQL} as t from documents),
-  k as (select doc_id, list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1]))) as keys from d),
-  tok as (select doc_id, (1e-9 + coalesce(sum(w) filter (where list_contains(keys, k.k)), 0)) / (1e-9 + sum(w)) as tok
-          from (select k.doc_id, k.keys, q.k, q.w from k, q) k group by doc_id)"""
-
-
-@query("token_similarity", f"with {ASKED_SQL}, {_TOK_SQL} select doc_id, round(tok, 6) as tok from tok")
-def token_similarity(spark, d):
-    sim = weights.token_similarity(text.tokens(F.col("text")), weights.query_terms(ASKED))
-    return table(spark, d, "documents").select("doc_id", F.round(sim, 6).alias("tok"))
-
-
-def _hybrid(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
-    bag = ranking.token_bag(text.tokens(F.col("text")))
-    return ranking.hybrid_scores(docs, first_vector(spark, d), ASKED, "embedding", bag)
-
-
-#: The bag's distinct tokens keep the order of their first places, so its neighbours are others than the text's.
-_HYBRID_SQL = f"""with {ASKED_SQL},
-  cand as (select * from documents),
-  s as (select doc_id, unnest(ts) as x, unnest(range(1, len(ts) + 1)) as i from (select doc_id, {TOKENS_SQL} as ts from cand)),
-  d as (select doc_id, list(x order by i) as t from (select doc_id, x, min(i) as i from s group by doc_id, x) group by doc_id),
-  k as (select doc_id, list_concat(coalesce(t, []), list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) as keys from cand left join d using (doc_id)),
-  tok as (select doc_id, (1e-9 + coalesce(sum(w) filter (where list_contains(keys, k)), 0)) / (1e-9 + sum(w)) as tok from (select doc_id, keys, q.k, q.w from k as a, q) group by doc_id),
-  h0 as (select doc_id, source, coalesce({_COS}, 0) as cos, tok from tok join documents using (doc_id) left join embeddings on doc_id = vec_id),
-  h as (select *, case when sum(cos) over () = 0 then tok else 0.3 * cos + 0.7 * tok end as sim from h0)"""
-
-
-@query("hybrid_fusion", f"{_HYBRID_SQL} select doc_id, round(cos, 4) as cos, round(tok, 4) as tok, round(sim, 4) as sim from h where sim >= 0.2")
-def hybrid_fusion(spark, d):
-    t = ranking.above(_hybrid(spark, d), 0.2, 0.3)
-    return t.select("doc_id", *[F.round(c, 4).alias(c) for c in ("cos", "tok", "sim")])
-
-
-@query("hybrid_page", f"""{_HYBRID_SQL}, b as (select *, row_number() over (partition by source order by round(sim, 9) desc, doc_id) as rn from h)
-select doc_id, source, round(sim, 4) as sim from b where rn = 1 order by round(b.sim, 9) desc, doc_id limit 5 offset 5""")
-def hybrid_page(spark, d):
-    t = _hybrid(spark, d).withColumn("sim", F.round("sim", 9))
-    t = ranking.best_per_parent(t, "source", "doc_id")
-    return ranking.page(t, 2, 5, F.desc("sim"), "doc_id").select("doc_id", "source", F.round("sim", 4).alias("sim"))
-
-
-@query("scripted_idf", f"""
-with t as (select distinct doc_id, unnest({TOKENS_SQL}) as term from documents), n as (select count(*) as n from documents)
-select term, count(*) as df, round(any_value(ln(1 + (n.n - c + 0.5::double) / (c + 0.5::double)) / ln(1 + (n.n - 0.5::double) / 1.5::double)), 6) as score
-from (select term, count(*) over (partition by term) as c from t), n group by term""")
-def scripted_idf(spark, d):
-    docs = table(spark, d, "documents")
-    t = docs.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    return t.crossJoin(F.broadcast(n)).select("term", "df", F.round(weights.scripted_similarity(F.col("df"), F.col("n")), 6).alias("score"))
-
-
-@query("bm25", f"""
-with d as (select doc_id, {TOKENS_SQL} as t from documents), c as (select count(*) as n, avg(len(t)) as a from d),
-h as (select doc_id, len, term, count(*) as tf from (select doc_id, len(t) as len, unnest(t) as term from d) where term in ('the', 'thing', 'ention', 'erly') group by all),
-f as (select term, count(*) as df from h group by term)
-select doc_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf / (tf + 1.2::double * (0.25::double + 0.75::double * len / a))), 6) as score, count(*) as n_matched
-from h join f using (term), c group by doc_id having count(*) >= 2""")
-def bm25(spark, d):
-    t = ranking.bm25(table(spark, d, "documents"), text.tokens(F.col("text")), ["the", "thing", "ention", "erly"], "doc_id", min_match=0.5)
-    return t.select("doc_id", F.round("score", 6).alias("score"), "n_matched")
-
-
 @query("parent_dedupe", """
 select l_orderkey, l_linenumber, l_extendedprice from (select *, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as rn from lineitem) where rn = 1""")
 def parent_dedupe(spark, d):
@@ -716,14 +636,6 @@ def nearest_join(spark, d):
     return layout.nearest_join(b.where("id % 2 = 1"), b.where("id % 2 = 0"), ["page"], "id", "id").withColumn("distance", F.round("distance", 6))
 
 
-@query("horizontal_merge", f"""
-with {_BOXES_SQL}, l as (select *, coalesce((not abs(top - lag(top) over w) < (bottom - top) / 3)::int, 1) as n from b window w as (partition by page order by top, x0, id)),
-g as (select *, sum(n) over (partition by page order by top, x0, id rows unbounded preceding) as line from l)
-select page, line::bigint as line, min(x0) as x0, max(x1) as x1, min(top) as top, max(bottom) as bottom from g group by page, line""")
-def horizontal_merge(spark, d):
-    return layout.horizontal_merge(_boxes(spark, d), ["page"]).drop("text")
-
-
 @query("page_offsets", """
 select o_custkey, o_orderkey, coalesce(sum(round(o_totalprice)) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as "offset" from orders""")
 def page_offsets(spark, d):
@@ -789,6 +701,17 @@ def _chunk_table(spark, d):
     ))
 
 
+#: The bag's distinct tokens keep the order of their first places, so its neighbours are others than the text's.
+_HYBRID_SQL = f"""with {ASKED_SQL},
+  cand as (select * from documents),
+  s as (select doc_id, unnest(ts) as x, unnest(range(1, len(ts) + 1)) as i from (select doc_id, {TOKENS_SQL} as ts from cand)),
+  d as (select doc_id, list(x order by i) as t from (select doc_id, x, min(i) as i from s group by doc_id, x) group by doc_id),
+  k as (select doc_id, list_concat(coalesce(t, []), list_transform(range(1, len(t)), lambda i: t[i] || t[i + 1])) as keys from cand left join d using (doc_id)),
+  tok as (select doc_id, (1e-9 + coalesce(sum(w) filter (where list_contains(keys, k)), 0)) / (1e-9 + sum(w)) as tok from (select doc_id, keys, q.k, q.w from k as a, q) group by doc_id),
+  h0 as (select doc_id, source, coalesce({_COS}, 0) as cos, tok from tok join documents using (doc_id) left join embeddings on doc_id = vec_id),
+  h as (select *, case when sum(cos) over () = 0 then tok else 0.3 * cos + 0.7 * tok end as sim from h0)"""
+
+
 @query("retrieve_page", f"""{_HYBRID_SQL.replace("cand as (select * from documents)", "cand as (select * from documents where doc_id in (select vec_id from embeddings) and doc_id % 10 <> 0)")},
 b as (select *, row_number() over (partition by doc_id // 10 order by sim desc, doc_id) as rn from h where sim >= 0.2)
 select printf('%09d', doc_id) as id, round(sim, 4) as sim, length(coalesce(p.text, c.text)) as n_chars from (select * from b where rn = 1 order by sim desc, doc_id limit 10) b
@@ -816,3 +739,6 @@ s as (select *, sum(n) over (partition by user_id order by ts) as k from g)
 select user_id, min(ts) as session_start, max(ts) + interval '30 minutes' as session_end, count(*) as n from s group by user_id, k""")
 def user_sessions(spark, d):
     return ingest.stage_sessions(table(spark, d, "events"), "ts", "user_id")
+
+
+from . import layout_queries, search_queries  # noqa: E402, F401  (they register their queries)

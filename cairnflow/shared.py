@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -21,9 +23,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch tables of this process.
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder; what is written there is deleted at the end of the process."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def _drop_scratch() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        with contextlib.suppress(Exception):  # the gateway may be gone by then
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the scratch folder and reads it back: cuts the lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
