@@ -115,6 +115,7 @@ def with_columns(boxes: DataFrame, keys: list[str]) -> DataFrame:
         column = columns_of(page["x0"].to_numpy(float), page["x1"].to_numpy(float))
         return page.assign(col_id=column, n_columns=np.int32(column.max() + 1))
 
+    boxes = boxes.drop("col_id", "n_columns")
     return per_group(boxes, keys, ["x0"], fold, _schema(boxes, "col_id int", "n_columns int"))
 
 
