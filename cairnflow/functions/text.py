@@ -21,30 +21,10 @@ def fold_width(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores after width folding. Text without spaces between words needs a
-    dictionary; see ``dictionary_cut``."""
+    dictionary; see ``operators.segmentation``."""
     return F.regexp_extract_all(F.lower(fold_width(F.coalesce(text, F.lit("")))), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
-def dictionary_cut(words: frozenset[str], longest: int = 8):
-    """A UDF that cuts runs of Han characters by longest match against ``words``; other tokens stay."""
-
-    @F.udf("array<string>")
-    def cut(items):
-        out = []
-        for t in items or ():
-            if not all("一" <= c <= "鿿" for c in t):
-                out.append(t)
-                continue
-            at = 0
-            while at < len(t):
-                size = next((n for n in range(min(longest, len(t) - at), 1, -1) if t[at : at + n] in words), 1)
-                out.append(t[at : at + size])
-                at += size
-        return out
-
-    return cut
-
-
 def han_share(text: Column) -> Column:
     """Share of characters in U+4E00 to U+9FFF; null for empty text."""
     n = F.length(text)

@@ -41,20 +41,6 @@ def tolerance_order(top: Column, x0: Column, threshold: float) -> list[Column]:
     return [F.floor(top / threshold), x0]
 
 
-def horizontal_merge(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, line, text, x0, x1, top, bottom): neighbours along the page merge while their tops differ by less than a
-    third of their height. Gaps and islands over the reading order."""
-    w = Window.partitionBy(*keys).orderBy("top", "x0")
-    near = F.abs(F.col("top") - F.lag("top").over(w)) < (F.col("bottom") - F.col("top")) / 3
-    t = lines.withColumn("_new", F.coalesce((~near).cast("int"), F.lit(1)))
-    t = t.withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    items = F.sort_array(F.collect_list(F.struct("x0", "top", "text")))
-    return t.groupBy(*keys, "line").agg(
-        F.array_join(F.transform(items, lambda x: x["text"]), " ").alias("text"),
-        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
-    )
-
-
 def kept_boxes(boxes: np.ndarray, scores: np.ndarray, most: float) -> list[int]:
     """Places of the boxes (x0, x1, top, bottom) that overlap no better one by more than ``most``."""
     area = (boxes[:, 1] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 2])
@@ -101,13 +87,6 @@ def page_offsets(pages: DataFrame, doc_col: str, page_col: str, height_col: str)
     return pages.withColumn("offset", F.coalesce(F.sum(height_col).over(w), F.lit(0.0)))
 
 
-def column_count(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
-    """(keys, n_columns): left edges of a page that lie within ``gap`` of the one before count as one column."""
-    w = Window.partitionBy(*keys).orderBy("x0")
-    far = F.col("x0") - F.lag("x0").over(w) > gap
-    return boxes.withColumn("_new", F.coalesce(far.cast("int"), F.lit(1))).groupBy(*keys).agg(F.sum("_new").alias("n_columns"))
-
-
 def table_grid(cells: DataFrame, keys: list[str], row_gap: float, column_gap: float) -> DataFrame:
     """``cells`` with the row and column that their tops and left edges fall in, from 0."""
     rows, cols = Window.partitionBy(*keys).orderBy("top"), Window.partitionBy(*keys).orderBy("x0")

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text, weights
-from .operators import fulltext, ranking
+from .operators import fulltext, ranking, segmentation
 from .plans import retrieval
 from .registry import query
-from .shared import scratch_path, table
+from .shared import scratch_path, table, written
 
 WORDS = r"([\p{L}\p{N}_]+)"
 TOKENS_SQL = f"regexp_extract_all(lower(coalesce(text, '')), '{WORDS}', 1)"
@@ -186,3 +186,77 @@ def hybrid_page(spark, d):
     best = ranking.best_per_parent(t, "parent", "id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
     return best.withColumn("place", place).where("place between 6 and 10").select("query_id", F.col("id").alias("doc_id"), "source", F.round("sim", 4).alias("sim"))
+
+
+# --- segmentation -----------------------------------------------------------------------------------------------------
+
+#: No table holds text without spaces: the Latin letters stand for Han characters, and words of the documents' own pieces
+#: of two to four letters (held 200 times or more, and 1 in 3 of those) are the dictionary.
+_LATIN, _HAN = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + k) for k in range(26))
+_TAGS = "case length(word) when 2 then 'n' when 3 then 'ns' else 'd' end"
+_HAN_SQL = f"""
+  src as (select item_id as id, translate(lower(text), '{_LATIN}', '{_HAN}') as text from benchmark),
+  wd as (select translate(w, '{_LATIN}', '{_HAN}') as w, n from (select w, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) group by w)),
+  dic as (
+    select word, freq, {_TAGS} as tag from (
+      select substr(w, i, l) as word, sum(n)::bigint as freq from wd, (select unnest(range(1, 40)) as i), (select unnest([2, 3, 4]) as l) where i + l - 1 <= length(w) group by word)
+    where freq >= 200 and (freq + length(word)) % 3 > 0),
+  tot as (select ln(sum(freq)::double) as lt from dic),
+  run as (select id, pos, run, regexp_matches(run, '^[\\x{{4E00}}-\\x{{9FFF}}]+$') as han from (
+    select id, unnest(r) as run, generate_subscripts(r, 1) as pos from (select id, regexp_extract_all(text, '[\\x{{4E00}}-\\x{{9FFF}}]+|[^\\P{{L}}\\x{{4E00}}-\\x{{9FFF}}]+|[\\p{{N}}_]+') as r from src))),
+  dist as (select distinct run, length(run)::int as n from run where han),
+  edge as (
+    select run, i, list(struct_pack(l := l, p := ln(coalesce(freq, 1)::double) - lt, known := freq is not null) order by l) as e from (
+      select run, i::int as i, l::int as l, substr(run, i::int + 1, l::int) as word from dist, lateral (select unnest(range(0, n)) as i), (select unnest([1, 2, 3, 4]) as l) where i + l <= n) x
+    left join dic using (word), tot where l = 1 or freq is not null group by run, i),
+  best as (
+    select run, n as i, [0.0::double] as score, []::int[] as len from dist
+    union all
+    select b.run, b.i - 1, [pick.s] || b.score, [pick.l] || b.len from best b join edge e on e.run = b.run and e.i = b.i - 1,
+      lateral (select list_sort(list_transform(e.e, lambda x: struct_pack(s := x.p + b.score[x.l], l := x.l)), 'DESC')[1] as pick) y),
+  path as (
+    select run, 0 as a, len[1] as l, len from best where i = 0
+    union all select run, a + l, len[a + l + 1], len from path where a + l < length(run)),
+  word as (select run, a, substr(run, a + 1, l) as w, l from path),
+  sub as (select w.run, w.a, e.i, x.l from word w join edge e on e.run = w.run and e.i >= w.a, lateral (select unnest(e.e) as x) z where w.l > x.l and x.l in (2, 3) and x.known and e.i + x.l <= w.a + w.l),
+  fine as (select run, a, l, i, substr(run, i + 1, l) as w from (select run, a, l, i from sub union all select run, a, 9, a from word) order by run, a, l, i),
+  cut as (select run, list(w order by a) as words from word group by run),
+  fin as (select f.run, list(case when f.l = 9 then word.w else f.w end order by f.a, f.l, f.i) as fine from fine f join word on word.run = f.run and word.a = f.a group by f.run)"""
+
+
+def _han_source(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    src = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.translate(F.lower("text"), _LATIN, _HAN).alias("text"))
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    pieces = words.select("n", F.translate("w", _LATIN, _HAN).alias("w"), F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("l")).where(F.length("w") >= F.col("l"))
+    pieces = pieces.where(F.length("w") < 40).select("n", "l", "w", F.explode(F.sequence(F.lit(1), F.length("w") - F.col("l") + 1)).alias("i"))
+    counted = pieces.groupBy(F.substring("w", F.col("i"), F.col("l")).alias("word")).agg(F.sum("n").alias("freq"))
+    counted = counted.where("freq >= 200 and (freq + length(word)) % 3 > 0").select("word", "freq", F.expr(_TAGS).alias("tag"))
+    return src, written(segmentation.dictionary(counted), "dictionary")
+
+
+@query("segmented_tokens", f"""with recursive {_HAN_SQL}
+select id, array_to_string(flatten(list(coalesce(words, [run]) order by pos)), ' ') as tokens, array_to_string(flatten(list(coalesce(fine, [run]) order by pos)), ' ') as fine
+from run left join cut using (run) left join fin using (run) group by id""")
+def segmented_tokens(spark, d):
+    src, known = _han_source(spark, d)
+    out = segmentation.tokenized(src, known, "id", "text")
+    return out.select("id", F.array_join("tokens", " ").alias("tokens"), F.array_join("fine", " ").alias("fine"))
+
+
+@query("term_frequencies", f"""with recursive {_HAN_SQL},
+pr as (select f.run, case when regexp_full_match(p, '[0-9. -]{{{{2,}}}}') then 3 else greatest(coalesce(freq, 0), 10) end as fq from (select run, unnest(fine) as p from fin) f left join dic on word = p where length(p) > 1),
+rr as (select run, count(*) as n, min(fq) as rarest from pr group by run),
+t as (select distinct run as term, han from run),
+f as (
+  select term, case when regexp_full_match(term, '[0-9. -]{{{{2,}}}}') then 3 when freq is not null then greatest(freq, 10) when han and length(term) >= 4 and n > 1 then greatest(rarest / 6.0::double, 10)
+    when regexp_full_match(term, '[a-z. -]+') then 300 else 10 end::double as freq,
+    case when not han and regexp_full_match(term, '[0-9]+') then 'm' when not han and regexp_full_match(term, '[a-z0-9_]+') then 'eng' when not han then 'x' else coalesce((select tag from dic x where x.word = cut.words[1]), 'x') end as tag
+  from t left join dic on word = term left join rr on rr.run = term left join cut on cut.run = term)
+select term, round(freq, 4) as freq, tag, round(log10(10 + (10000000 - freq + 0.5::double) / (freq + 0.5::double))
+  * (case when regexp_full_match(term, '[0-9,.]{{{{2,}}}}') then 2.0::double when regexp_full_match(term, '[a-z]{{{{1,2}}}}') then 0.01::double else 1 end)
+  * (case when tag in ('r', 'c', 'd') then 0.3::double when tag in ('ns', 'nt') then 3 when tag = 'n' then 2 else 1 end), 6) as weight from f""".replace("{{", "{").replace("}}", "}"))
+def term_frequencies(spark, d):
+    src, known = _han_source(spark, d)
+    terms = src.select(F.explode(segmentation.runs(F.col("text"))).alias("term")).distinct()
+    out = segmentation.with_frequency(terms, known)
+    return out.select("term", F.round("freq", 4).alias("freq"), "tag", F.round("weight", 6).alias("weight"))

@@ -30,11 +30,6 @@ def test_text(spark, f, value, want):
     assert one(spark, f(F.col("v")), value) == want
 
 
-def test_dictionary_cut(spark):
-    cut = text.dictionary_cut(frozenset({"中文", "中文书"}))
-    assert one(spark, cut(text.tokens(F.col("v"))), "中文书好 ok") == ["中文书", "好", "ok"]
-
-
 def test_query_terms():
     terms = weights.query_terms(["big", "data"])
     assert abs(sum(w for _, w in weights.query_weights(["big", "data"])) - 1) < 1e-9
