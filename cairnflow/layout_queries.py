@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import pages
+from .operators import pages, tables
 from .registry import query
-from .shared import table
+from .shared import table, written
 
 #: The boxes of pages, in expressions that Spark and the SQL share.
 _BOX = {
@@ -139,3 +139,88 @@ def without_contents(spark, d):
     lines = docs.select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "text"))
     lines = lines.select("doc_id", F.col("pos").cast("long").alias("pos"), "text", F.floor(F.col("pos") / 20).alias("page"))
     return pages.without_contents(lines, ["doc_id"], ["pos"], "page").select("doc_id", "pos", "text")
+
+
+# --- tables -----------------------------------------------------------------------------------------------------------
+
+_CELL = {
+    "page": "cast(floor(l_orderkey / 4) as bigint)",
+    "id": "cast(((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey as bigint)",
+    "x0": "cast(50 * (l_partkey % 5) + l_suppkey % 7 as double)",
+    "x1": "cast(50 * (l_partkey % 5) + l_suppkey % 7 + 30 + l_partkey % 3 * 10 as double)",
+    "top": "cast(14 * (l_linenumber % 6) + l_partkey % 4 as double)",
+    "bottom": "cast(14 * (l_linenumber % 6) + l_partkey % 4 + 10 as double)",
+    "text": "case when l_partkey % 3 = 0 then l_returnflag when l_partkey % 17 = 0 then '' else cast(cast(l_quantity as int) as string) end",
+}
+#: Six rows (the first a header on even pages), five columns, and a span of two columns and two rows on every third page.
+_BAND = {
+    "kind": "case when k < 6 then case when k = 0 and page % 2 = 0 then 'header' else 'row' end when k < 11 then 'column' else 'span' end",
+    "band_id": "k",
+    "x0": "cast(case when k < 6 then k when k < 11 then 50 * (k - 6) else 40 end as double)",
+    "x1": "cast(case when k < 6 then 260 - k when k < 11 then 50 * (k - 6) + 48 else 160 end as double)",
+    "top": "cast(case when k < 6 then 14 * k when k < 11 then k - 6 else 14 * (page % 4) end as double)",
+    "bottom": "cast(case when k < 6 then 14 * k + 13 when k < 11 then 80 + k else 14 * (page % 4) + 28 end as double)",
+}
+_NAMED = lambda d: ", ".join(f"{e} as {n}" for n, e in d.items())
+_TABLES_SQL = f"""
+  c as (select {_NAMED(_CELL)} from lineitem),
+  b0 as (select page, {_NAMED(_BAND)} from (select distinct page from c), (select unnest(range(0, 12)) as k) where k < 11 or page % 3 = 0),
+  b as (
+    select page, kind, band_id, case when kind in ('row', 'header') then least(x0, m.rl) else x0 end as x0, case when kind in ('row', 'header') then greatest(x1, m.rr) else x1 end as x1,
+      case when kind = 'column' then least("top", m.ct) else "top" end as "top", case when kind = 'column' then greatest(bottom, m.cb) else bottom end as bottom
+    from b0 join (select page, case when count(*) filter (where kind in ('row', 'header')) > 4 then avg(x0) filter (where kind in ('row', 'header')) else min(x0) filter (where kind in ('row', 'header')) end as rl,
+      case when count(*) filter (where kind in ('row', 'header')) > 4 then avg(x1) filter (where kind in ('row', 'header')) else max(x1) filter (where kind in ('row', 'header')) end as rr,
+      median("top") filter (where kind = 'column') as ct, median(bottom) filter (where kind = 'column') as cb from b0 group by page) m using (page)),
+  r as (select c.page, c.id, b.band_id as "R", b."top" as r_low, b.bottom as r_high, row_number() over (partition by c.page, c.id order by
+      case when greatest(least(c.bottom, b.bottom) - greatest(c."top", b."top"), 0) / (c.bottom - c."top") >= 0.3::double then -greatest(least(c.bottom, b.bottom) - greatest(c."top", b."top"), 0) / (c.bottom - c."top") else 0 end,
+      abs(c."top" + c.bottom - b."top" - b.bottom), b.band_id) as n from c join b using (page) where kind in ('row', 'header')),
+  k as (select c.page, c.id, b.band_id as "C", b.x0 as c_low, b.x1 as c_high, row_number() over (partition by c.page, c.id order by
+      least(abs(c.x0 - b.x0), abs(c.x1 - b.x1), abs(c.x0 + c.x1 - b.x0 - b.x1) / 2), b.band_id) as n from c join b using (page) where kind = 'column'),
+  o as (select c.page, c.id, kind, band_id, greatest(least(c.x1, b.x1) - greatest(c.x0, b.x0), 0) * greatest(least(c.bottom, b.bottom) - greatest(c."top", b."top"), 0) / ((c.x1 - c.x0) * (c.bottom - c."top")) as share
+    from c join b using (page) where kind in ('header', 'span')),
+  g as (select c.*, r_low, r_high, c_low, c_high, dense_rank() over (partition by c.page order by r_low, "R") - 1 as rn, dense_rank() over (partition by c.page order by c_low, "C") - 1 as cn,
+      exists (select 1 from o where o.page = c.page and o.id = c.id and kind = 'header' and share >= 0.3::double) as "H",
+      (select min(band_id) from o where o.page = c.page and o.id = c.id and kind = 'span' and share >= 0.3::double) as "SP"
+    from c join r on r.page = c.page and r.id = c.id and r.n = 1 join k on k.page = c.page and k.id = c.id and k.n = 1)"""
+
+
+def _table_cells(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cells = table(spark, d, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _CELL.items()])
+    bands = cells.select("page").distinct().select("page", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).where("k < 11 or page % 3 = 0")
+    return cells, bands.selectExpr("page", *[f"{e} as {n}" for n, e in _BAND.items()])
+
+
+@query("table_bands", f'with {_TABLES_SQL} select page, id, rn::int as rn, cn::int as cn, "H", "SP" from g')
+def table_bands(spark, d):
+    cells, bands = _table_cells(spark, d)
+    return tables.in_bands(cells, tables.aligned_bands(bands, ["page"]), ["page"]).select("page", "id", "rn", "cn", "H", "SP")
+
+
+@query("table_spans", f"""with {_TABLES_SQL},
+s as (select page, "SP", min(rn) as r0, max(rn) as r1, min(cn) as c0, max(cn) as c1 from g where "SP" is not null group by all),
+mr as (select page, rn, (avg(r_low) + avg(r_high)) / 2 as mid from g group by all), mc as (select page, cn, (avg(c_low) + avg(c_high)) / 2 as mid from g group by all),
+w as (
+  select s.page, least(r0, (select min(rn) from mr where mr.page = s.page and mid between b."top" and b.bottom)) as r0, greatest(r1, (select max(rn) from mr where mr.page = s.page and mid between b."top" and b.bottom)) as r1,
+    least(c0, (select min(cn) from mc where mc.page = s.page and mid between b.x0 and b.x1)) as c0, greatest(c1, (select max(cn) from mc where mc.page = s.page and mid between b.x0 and b.x1)) as c1
+  from s join b on b.page = s.page and b.band_id = s."SP"),
+x as (select g.*, w.r0, w.r1, w.c0, w.c1 from g left join w on w.page = g.page and g.rn between w.r0 and w.r1 and g.cn between w.c0 and w.c1 and (w.r1 > w.r0 or w.c1 > w.c0)),
+kk as (select page, id, rn, cn, "top", x0, "H", case when regexp_full_match(text, '[0-9.,+%/ -]+') then 'Nu' when regexp_full_match(text, '[0-9A-Z/._~-]+') then 'Ca' else 'Ot' end as kind from g),
+u as (select page, arg_max(kind, (n, kind)) as usual from (select page, kind, count(*) as n from kk group by all) group by page),
+h as (select page, rn from (
+  select page, rn, cn, case when any_value(usual) = 'Nu' and arg_min(kind, ("top", x0, id)) = 'Nu' then 0 when bool_or("H") or (any_value(usual) = 'Nu' and arg_min(kind, ("top", x0, id)) <> 'Nu') then 1 else 0 end as head
+  from kk join u using (page) group by page, rn, cn) group by page, rn having avg(head) > 0.5)
+select x.page, first::int as rn, coalesce(c0, cn)::int as cn, coalesce(max(r1 - r0 + 1), 1)::int as rowspan, coalesce(max(c1 - c0 + 1), 1)::int as colspan,
+  coalesce(string_agg(text, ' ' order by x.rn, cn, "top", x0, id) filter (where text <> ''), '') as text, coalesce(bool_or(h.rn is not null), false) as head
+from (select *, coalesce(r0, rn) as first from x) x left join h on h.page = x.page and h.rn = x.first
+group by x.page, first, coalesce(c0, cn)""")
+def table_spans(spark, d):
+    cells, bands = _table_cells(spark, d)
+    placed = written(tables.in_bands(cells, tables.aligned_bands(bands, ["page"]), ["page"]), "cells")
+    heads = tables.header_rows(placed, ["page"]).withColumn("head", F.lit(True))
+    return tables.spanned(placed, ["page"]).join(heads, ["page", "rn"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
+
+
+@query("table_html_spans")
+def table_html_spans(spark, d):
+    cells, bands = _table_cells(spark, d)
+    return tables.table_html(cells, bands, ["page"])

@@ -45,7 +45,7 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def _schema(df: DataFrame, *more: str) -> str:
+def schema_of(df: DataFrame, *more: str) -> str:
     return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *more])
 
 
@@ -116,7 +116,7 @@ def with_columns(boxes: DataFrame, keys: list[str]) -> DataFrame:
         return page.assign(col_id=column, n_columns=np.int32(column.max() + 1))
 
     boxes = boxes.drop("col_id", "n_columns")
-    return per_group(boxes, keys, ["x0"], fold, _schema(boxes, "col_id int", "n_columns int"))
+    return per_group(boxes, keys, ["x0"], fold, schema_of(boxes, "col_id int", "n_columns int"))
 
 
 def usual_columns(boxes: DataFrame, doc_keys: list[str], page_col: str) -> DataFrame:
@@ -184,7 +184,7 @@ def _folded(lines: DataFrame, keys: list[str], order: list[str], fold: Callable[
         page["layoutno"] = page["layoutno"].astype(object).where(page["layoutno"].notna(), None)
         return pd.DataFrame(fold(page.to_dict("records")), columns=names)
 
-    return per_group(lines, keys, order, rows, _schema(lines))
+    return per_group(lines, keys, order, rows, schema_of(lines))
 
 
 def horizontal_merge(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -235,7 +235,7 @@ def without_contents(lines: DataFrame, doc_keys: list[str], order: list[str], pa
             return doc[(dotted <= MOST_DOTTED).to_numpy()]
         return doc[~np.array(gone)]
 
-    return per_group(lines, doc_keys, order, fold, _schema(lines))
+    return per_group(lines, doc_keys, order, fold, schema_of(lines))
 
 
 def dotted_line(text: Column) -> Column:
