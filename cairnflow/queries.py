@@ -741,4 +741,4 @@ def user_sessions(spark, d):
     return ingest.stage_sessions(table(spark, d, "events"), "ts", "user_id")
 
 
-from . import layout_queries, search_queries  # noqa: E402, F401  (they register their queries)
+from . import element_queries, layout_queries, model_queries, search_queries  # noqa: E402, F401  (they register their queries)
