@@ -573,24 +573,47 @@ def entity_topk(spark, d):
     return hits.select("query_id", F.col("n_name").alias("name"), F.round((1 + F.col("sim")) / 2, 4).alias("sim"))
 
 
-@query("overlapped_chunks")
+@query("overlapped_chunks", r"""
+with recursive s as (
+  select doc_id, row_number() over (partition by doc_id order by i) as pos, chr(10) || section as line
+  from (select doc_id, i, trim(s[i], ' ') as section from (select doc_id, string_split(text, chr(10)) as s from documents), lateral (select unnest(range(1, len(s) + 1)) as i)) where section <> ''),
+z as (select *, floor((length(line) - length(regexp_replace(line, '[^\x{4e00}-\x{9fff}]', '', 'g'))) / 4.0 + 1.5 * length(regexp_replace(line, '[^\x{4e00}-\x{9fff}]', '', 'g')))::int as n from s),
+r as (
+  select doc_id, pos, line as last, n, 0 as chunk from z where pos = 1
+  union all
+  select z.doc_id, z.pos, case when r.n > 51.2::double then substr(r.last, floor(length(r.last) * 80 / 100.0)::int + 1) || z.line else r.last || z.line end, case when r.n > 51.2::double then z.n else r.n + z.n end,
+    case when r.n > 51.2::double then r.chunk + 1 else r.chunk end
+  from r join z on z.doc_id = r.doc_id and z.pos = r.pos + 1)
+select doc_id, chunk::int as pos, arg_max(last, r.pos) as chunk from r group by doc_id, r.chunk""")
 def overlapped_chunks(spark, d):
     parts = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.merged_sections(parts, 64, 20)).alias("pos", "chunk"))
 
 
-@query("merged_terms")
+@query("merged_terms", f"""
+with t as (select doc_id, unnest(t) as x, generate_subscripts(t, 1) as i from (
+  select doc_id, list_filter({TOKENS_SQL}, lambda x: not regexp_matches(x, '^_') and not regexp_full_match(x, '[0-9]')) as t from documents)),
+h as (select a.doc_id, (length(a.x) = 1 or regexp_full_match(a.x, '[0-9a-z]{{1,2}}')) and length(b.x) > 1 and not regexp_matches(b.x, '^[0-9a-zA-Z]') as head from t a join t b on a.doc_id = b.doc_id and a.i = 1 and b.i = 2),
+k as (select t.*, length(x) = 1 or regexp_full_match(x, '[0-9a-z]{{1,2}}') as short, coalesce(head, false) and i <= 2 as front from t left join h using (doc_id)),
+r as (select *, case when short and not front then i - row_number() over (partition by doc_id, short and not front order by i) end as run from k),
+m as (select *, row_number() over (partition by doc_id, run order by i) as place, count(*) over (partition by doc_id, run) as size from r),
+g as (select *, case when front then -1 when run is null then i when size < 5 then i - place when place <= 2 * floor((size - 3) / 2) then i - (place - 1) % 2 else i - place + 2 * floor((size - 3) / 2) + 1 end as start,
+  front or run is not null as many from m)
+select doc_id, string_agg(part, '|' order by first) as terms from (select doc_id, start, many, min(i) as first, string_agg(x, ' ' order by i) as part from g group by doc_id, start, many) group by doc_id
+union all select doc_id, '' from documents where doc_id not in (select doc_id from t)""")
 def merged_terms(spark, d):
     kept = weights.kept_tokens(text.tokens(F.col("text")))
     return table(spark, d, "documents").select("doc_id", F.array_join(weights.merged_terms(kept), "|").alias("terms"))
 
 
 @query("joined_latin", r"""
-select item_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' ') as text from benchmark where regexp_full_match(text, '[a-zA-Z\s]*')""")
+with p as (select item_id, unnest(l) as x, generate_subscripts(l, 1) as i from (select item_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as l from benchmark)),
+j as (select *, coalesce(regexp_matches(lag(x) over w, '[a-zA-Z]$') and regexp_matches(x, '[a-zA-Z]$'), false) as joins from p window w as (partition by item_id order by i)),
+g as (select *, sum((not joins)::int) over (partition by item_id order by i) as g from j),
+q as (select item_id, g, string_agg(x, ' ' order by i) as part from g group by all)
+select item_id, string_agg(part, '|' order by g) as text from q group by item_id""")
 def joined_latin(spark, d):
-    """Texts of Latin letters alone are one part each."""
-    t = table(spark, d, "benchmark").where(F.col("text").rlike(r"^[a-zA-Z\s]*$"))
-    return t.select("item_id", F.array_join(weights.joined_latin(F.col("text")), "|").alias("text"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(weights.joined_latin(F.col("text")), "|").alias("text"))
 
 
 @query("graph_context")

@@ -6,7 +6,7 @@ from oracle import compare, connect
 from cairnflow import queries
 
 #: Why a query has no SQL: text assembly or folds of plain Python; tested by their own tests.
-NO_SQL = {"parent_child_chunks", "hierarchical_chunks", "tree_chunks", "graph_context", "box_suppression", "html_sections", "retrieve_context", "strategy_chunks", "overlapped_chunks", "merged_terms"}
+NO_SQL = {"parent_child_chunks", "hierarchical_chunks", "tree_chunks", "graph_context", "box_suppression", "html_sections", "retrieve_context", "strategy_chunks", "table_html_spans"}
 
 
 @pytest.fixture(scope="module")
