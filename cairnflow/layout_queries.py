@@ -76,7 +76,7 @@ _LAST_SQL = f"select {_STATE} from (select *, row_number() over (partition by pa
 
 
 @query("horizontal_merge", f"""with recursive {_BOX_SQL},
-s as (select *, floor(x0 / 190)::int as col_id, avg(bottom - top) over (partition by page) as mh, row_number() over (partition by page order by floor(x0 / 190), top, x0, id) as n from b),
+s as (select *, floor(x0 / 190)::int as col_id, avg(bottom - top) over (partition by page) as mh, row_number() over (partition by page order by floor(x0 / 190), top, x0, id, text) as n from b),
 rec as (
   select {_STATE}, col_id, layout_type, n, 1 as g from s where n = 1
   union all
@@ -87,12 +87,12 @@ rec as (
 select {_STATE} from (select *, row_number() over (partition by page, g order by n desc) as last from rec) where last = 1""")
 def horizontal_merge(spark, d):
     boxes = _boxes(spark, d).withColumn("col_id", F.floor(F.col("x0") / 190).cast("int"))
-    out = pages.horizontal_merge(pages.with_mean_height(boxes, ["page"]), ["page"], ["col_id", "top", "x0", "id"])
+    out = pages.horizontal_merge(pages.with_mean_height(boxes, ["page"]), ["page"], ["col_id", "top", "x0", "id", "text"])
     return out.select(*_STATE.split(", "))
 
 
 @query("vertical_merge", f"""with recursive {_BOX_SQL},
-s as (select *, avg(bottom - top) over (partition by page) as mh, row_number() over (partition by page order by top, x0, id) as n from b),
+s as (select *, avg(bottom - top) over (partition by page) as mh, row_number() over (partition by page order by top, x0, id, text) as n from b),
 rec as (
   select {_STATE}, n, 1 as g from s where n = 1
   union all
@@ -107,7 +107,7 @@ rec as (
       or not right(trim(r.text), 1) in ('。', '？', '！', '?', '.', '!')) as j))
 {_LAST_SQL}""")
 def vertical_merge(spark, d):
-    out = pages.vertical_merge(pages.with_mean_height(_boxes(spark, d), ["page"]), ["page"], ["top", "x0", "id"])
+    out = pages.vertical_merge(pages.with_mean_height(_boxes(spark, d), ["page"]), ["page"], ["top", "x0", "id", "text"])
     return out.select(*_STATE.split(", "))
 
 
