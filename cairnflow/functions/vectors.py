@@ -64,3 +64,25 @@ def box_distance(a: Column, b: Column) -> Column:
     dx = F.greatest(b["x0"] - a["x1"], a["x0"] - b["x1"], F.lit(0.0))
     dy = F.greatest(b["top"] - a["bottom"], a["top"] - b["bottom"], F.lit(0.0))
     return F.sqrt(dx * dx + dy * dy)
+
+
+def rotated_back(x: Column, y: Column, angle: Column, width: Column, height: Column) -> Column:
+    """(x, y) in an image of that size, of a point in the image turned clockwise by 0, 90, 180 or 270 degrees."""
+    at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return F.when(angle == 90, at(width - y, x)).when(angle == 180, at(width - x, height - y)).when(angle == 270, at(y, height - x)).otherwise(at(x, y))
+
+
+def across(a: Column, b: Column) -> Column:
+    """Horizontal distance of two boxes: of their facing edges or their middles, whichever is least."""
+    middles = F.abs(a["x0"] + a["x1"] - b["x0"] - b["x1"]) / 2
+    return F.least(F.abs(a["x1"] - b["x0"]), F.abs(a["x0"] - b["x1"]), middles)
+
+
+def below(a: Column, b: Column) -> Column:
+    """How far the middle of ``b`` is below that of ``a``."""
+    return (b["top"] + b["bottom"] - a["top"] - a["bottom"]) / 2
+
+
+def char_width(box: Column, content: Column) -> Column:
+    """Whole width of a character of a box's text."""
+    return F.floor((box["x1"] - box["x0"]) / F.greatest(F.length(content), F.lit(1)))

@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import pages, tables
+from .functions import levels, vectors
+from .operators import aggregates, pages, tables
 from .registry import query
 from .shared import table, written
 
@@ -224,3 +225,72 @@ def table_spans(spark, d):
 def table_html_spans(spark, d):
     cells, bands = _table_cells(spark, d)
     return tables.table_html(cells, bands, ["page"])
+
+
+# --- levels and points ------------------------------------------------------------------------------------------------
+
+_PREFIX = "['第三章 ', '第十条', '二、', '（一）', '3. ', '1.2 ', '1.2.3 ', '1.2.3.4 ', '7）', '(8)', '九是', '•', '']"
+_LEVELS_SQL = " ".join(f"when regexp_matches(line, '^(?:{p.replace(chr(39), chr(39) * 2)})') then {k}" for p, k in levels.LINE_LEVELS)
+
+
+@query("line_levels", f"""
+with l as (select doc_id, unnest(l) as t, generate_subscripts(l, 1) - 1 as pos from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)),
+m as (select doc_id, pos, ({_PREFIX})[(pos + doc_id) % 13 + 1] || t as line from l)
+select doc_id, pos, (case when length(line) <= 2 then null when regexp_matches(line, '^[0-9 ().,%+/-]+$') then 0 {_LEVELS_SQL} end)::int as level from m""")
+def line_levels(spark, d):
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
+    prefix = F.get(F.array(*[F.lit(x) for x in _PREFIX[2:-2].split("', '")]), ((F.col("pos") + F.col("doc_id")) % 13).cast("int"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), levels.line_level(F.concat(prefix, "t")).alias("level"))
+
+
+@query("usual_title_level", """
+with l as (select doc_id, unnest(l) as t, generate_subscripts(l, 1) as pos from (select doc_id, string_split(text, chr(10)) as l from documents where text is not null)),
+v as (select doc_id, pos, (length(t) % 7)::int as level from l),
+c as (select doc_id, level, count(*) as n, min(pos) as first from v group by all)
+select doc_id, coalesce(arg_max(level, (n, -first)) filter (where level <= 4), 5) as level from c group by doc_id""")
+def usual_title_level(spark, d):
+    """The length of a line stands for its level."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
+    return aggregates.usual_title_level(lines.withColumn("level", F.length("t") % 7), "doc_id", "pos", "level", 4)
+
+
+@query("numbers_of", """
+select o_orderkey, (o_orderkey % 1000)::bigint as digits, (o_orderkey % 20)::bigint as english, (o_orderkey % 3999 + 1)::bigint as roman from orders""")
+def numbers_of(spark, d):
+    """Numbers written as digits, as an English word and as a Roman numeral, read back."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    word = F.get(F.array(*[F.lit(w) for w in levels._ONES]), (F.col("o_orderkey") % 20).cast("int"))
+    rest, roman = F.col("o_orderkey") % 3999 + 1, F.lit("")
+    for unit, five, ten, size in (("M", "", "", 1000), ("C", "D", "M", 100), ("X", "L", "C", 10), ("I", "V", "X", 1)):
+        digit = (F.floor(rest / size) % 10).cast("int")
+        forms = ["", unit, unit * 2, unit * 3, unit + five, five, five + unit, five + unit * 2, five + unit * 3, unit + ten]
+        roman = F.concat(roman, F.get(F.array(*map(F.lit, forms)), digit))
+    read = {"digits": (F.col("o_orderkey") % 1000).cast("string"), "english": word, "roman": roman}
+    return o.select("o_orderkey", *[levels.number_of(c).alias(n) for n, c in read.items()])
+
+
+@query("font_garbled", """
+with c as (select doc_id, unnest(string_split(text, '')) as x, generate_subscripts(string_split(text, ''), 1) as i from documents where text <> ''),
+p as (select doc_id, case when doc_id % 3 = 0 and i % 2 = 0 then '#' else x end as x, doc_id % 5 < 3 and i % 3 = 0 as subset from c),
+s as (select doc_id, count(*) as n, avg(subset::int) as subset, avg(regexp_matches(x, '[\\x{2E80}-\\x{9FFF}]')::int) as asian, avg(regexp_matches(x, '[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]')::int) as marks
+  from p where not regexp_full_match(x, '\\s*') group by doc_id)
+select doc_id, n >= 20 and subset >= 0.3 and asian < 0.05 and marks > 0.4 as garbled from s""")
+def font_garbled(spark, d):
+    """Characters of the documents, every other one a mark in a third of them, in fonts of which some are subsets."""
+    chars = table(spark, d, "documents").where("text <> ''").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "x"))
+    i = F.col("i") + 1
+    font = F.when((F.col("doc_id") % 5 < 3) & (i % 3 == 0), "ABC1+Font").otherwise("Font+X")
+    chars = chars.select("doc_id", F.when((F.col("doc_id") % 3 == 0) & (i % 2 == 0), "#").otherwise(F.col("x")).alias("text"), font.alias("font"))
+    return aggregates.font_garbled(chars, ["doc_id"])
+
+
+@query("box_distances", f"""with {_BOX_SQL}, p as (select *, lead(x0) over w as nx0, lead(x1) over w as nx1, lead("top") over w as nt, lead(bottom) over w as nb from b window w as (partition by page order by id, x0, x1))
+select page, id, least(abs(x1 - nx0), abs(x0 - nx1), abs(x0 + x1 - nx0 - nx1) / 2) as dx, (nt + nb - "top" - bottom) / 2 as dy, floor((x1 - x0) / greatest(length(text), 1))::bigint as wide,
+  case id % 4 when 1 then 600 - "top" when 2 then 600 - x0 when 3 then "top" else x0 end as rx, case id % 4 when 1 then x0 when 2 then 800 - "top" when 3 then 800 - x0 else "top" end as ry from p""")
+def box_distances(spark, d):
+    w = Window.partitionBy("page").orderBy("id", "x0", "x1")
+    b = _boxes(spark, d).withColumn("a", F.struct("x0", "x1", "top", "bottom"))
+    b = b.withColumn("b", F.lead("a").over(w))
+    angle = (F.col("id") % 4 * 90).cast("int")
+    at = vectors.rotated_back(F.col("x0"), F.col("top"), angle, F.lit(600.0), F.lit(800.0))
+    return b.select("page", "id", vectors.across(F.col("a"), F.col("b")).alias("dx"), vectors.below(F.col("a"), F.col("b")).alias("dy"), vectors.char_width(F.col("a"), F.col("text")).alias("wide"), at["x"].alias("rx"), at["y"].alias("ry"))

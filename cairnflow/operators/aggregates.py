@@ -67,3 +67,23 @@ def max_normalised(df: DataFrame, col: str) -> DataFrame:
 def outcome_counts(df: DataFrame, status_col: str, statuses: list[str]) -> DataFrame:
     """One row with a count for each status."""
     return df.agg(*[F.count_if(F.col(status_col) == s).alias(s) for s in statuses])
+
+
+def usual_title_level(levels: DataFrame, doc_col: str, pos_col: str, level_col: str, most: int) -> DataFrame:
+    """(doc, level): the level that most lines have of those up to ``most``, of several the one met first; ``most`` + 1 where none has."""
+    own = F.col(level_col) <= most
+    counted = levels.groupBy(doc_col, level_col).agg(F.count("*").alias("n"), F.min(pos_col).alias("first"))
+    return counted.groupBy(doc_col).agg(F.coalesce(F.max_by(F.when(own, F.col(level_col)), F.when(own, F.struct("n", -F.col("first")))), F.lit(most + 1)).alias(level_col))
+
+
+def font_garbled(chars: DataFrame, keys: list[str], text_col: str = "text", font_col: str = "font", least: int = 20) -> DataFrame:
+    """(keys, garbled) of pages by their characters: at least three in ten are of a font subset, fewer than one in twenty Chinese,
+    Japanese or Korean, and more than four in ten ASCII marks, as where a font maps its glyphs to these. Pages of fewer than ``least``
+    characters other than white space are not."""
+    first = F.substring(text_col, 1, 1)
+    seen = chars.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"^\s*$"))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    subset, asian = F.col(font_col).rlike(r"^[A-Z0-9]{2,6}\+"), first.rlike(r"[\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}\x{AC00}-\x{D7AF}]")
+    marks = first.rlike(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")
+    out = seen.groupBy(*keys).agg(F.count("*").alias("n"), share(subset).alias("subset"), share(asian).alias("asian"), share(marks).alias("marks"))
+    return out.select(*keys, ((F.col("n") >= least) & (F.col("subset") >= 0.3) & (F.col("asian") < 0.05) & (F.col("marks") > 0.4)).alias("garbled"))
