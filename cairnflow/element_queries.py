@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import elements
+from .operators import chunking, elements, html_blocks
 from .registry import query
 from .shared import table
 
@@ -47,3 +47,61 @@ def table_context(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     tables = lines.where("pos % 5 = 3").select("doc_id", "pos", (F.col("doc_id") * 100000 + F.col("pos")).alias("id"))
     return elements.table_context(lines.where("pos % 5 <> 3"), tables, ["doc_id"], 60)
+
+
+_WORDS = r"[\p{L}\p{N}_]+"
+_IN = lambda names: "('" + "', '".join(names) + "')"
+_CONTAINERS = [b for b in html_blocks.BLOCKS if b not in ("p", "li", "table")]
+_P_ENDS = [*[b for b in html_blocks.BLOCKS if b != "code"], *html_blocks.ENDS_P]
+_NO_ELEMENT = [*html_blocks.VOID, "p", "li"]
+#: CTE block(page_id, pos, content). The pages hold no tables and no numbered characters.
+_BLOCKS_SQL = f"""
+c as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(-->|\\z)', '', 'g'), '(?is)<script\\b[^>]*>.*?(</script\\s*>|\\z)', '', 'g'),
+  '(?is)<style\\b[^>]*>.*?(</style\\s*>|\\z)', '', 'g'), '(?is)<title\\b[^>]*>.*?(</title\\s*>|\\z)', '', 'g') as html from pages),
+t0 as (select page_id, unnest(x) as token, generate_subscripts(x, 1) as k from (select page_id, regexp_extract_all(html, '</?[A-Za-z][^>]*>|<![^>]*>|[^<]+|<') as x from c)),
+t as (select *, case when regexp_matches(token, '^<.') then lower(regexp_extract(token, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) end as name, case when starts_with(token, '</') then -1 else 1 end as d from t0),
+s as (select *, sum(case when name in {_IN(_CONTAINERS)} then d else 0 end) over w as s1, sum(case when name <> '' and name not in {_IN(_NO_ELEMENT)} then d else 0 end) over w as s2 from t window w as (partition by page_id order by k)),
+h as (select *, s1 - least(0, min(s1) over w) as depth, s2 - least(0, min(s2) over w) as all_open from s window w as (partition by page_id order by k)),
+o as (select *, last_value(case when name in {_IN(_P_ENDS)} then {{'k': k, 'depth': depth, 'on': d = 1 and name = 'p'}} end ignore nulls) over (partition by page_id order by k) as p,
+  last_value(case when name in {_IN(_CONTAINERS)} and d = 1 then {{'k': k, 'name': name, 'n': all_open}} end ignore nulls) over v as c,
+  last_value(case when name = 'li' then {{'k': k, 'on': d = 1}} end ignore nulls) over v as l from h window v as (partition by page_id, depth order by k)),
+x as (select page_id, k, all_open, depth, p, l, case when depth > 0 then c end as c,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(token, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as text from o where name is null),
+b as (select *, case when p.on and p.depth = depth and p.k > coalesce(c.k, 0) then p.k when l.on and l.k > coalesce(c.k, 0) then l.k else c.k end as block from x where text <> ''),
+m as (select *, case when block = c.k and all_open = c.n then case c.name {" ".join(f"when '{n}' then '{m} '" for n, m in html_blocks.HEADINGS.items())} else '' end else '' end || text as marked,
+  last_value(block ignore nulls) over (partition by page_id order by k rows between unbounded preceding and 1 preceding) as earlier from b),
+g as (select *, sum((block is not null and block is distinct from earlier)::int) over (partition by page_id order by k) as g from m),
+block as (select page_id, (row_number() over (partition by page_id order by g) - 1)::int as pos, string_agg(marked, ' ' order by k) as content from g group by page_id, g)"""
+
+
+@query("html_blocks", f"with {_BLOCKS_SQL} select * from block")
+def html_text_blocks(spark, d):
+    return html_blocks.html_blocks(html_blocks.tags(table(spark, d, "pages"), "page_id", "html"), "page_id")
+
+
+@query("html_chunks", f"""
+with recursive {_BLOCKS_SQL},
+w as (select page_id, pos, content, regexp_extract_all(lower(content), '{_WORDS}') as w from block),
+q as (select page_id, pos, 0 as part, content as text, len(w) as n, false as alone from w where len(w) <= 64
+  union all select page_id, pos, k, array_to_string(w[k * 64 + 1 : k * 64 + 64], ' '), 64, true from (select page_id, pos, w, unnest(range(0, (len(w) + 63) // 64)) as k from w where len(w) > 64)),
+n as (select *, row_number() over (partition by page_id order by pos, part) as i from q),
+r as (select page_id, i, text, alone, n as total, 0 as chunk from n where i = 1
+  union all select n.page_id, n.i, n.text, n.alone, case when n.alone or r.alone or r.total + n.n > 64 then n.n else r.total + n.n end, r.chunk + (n.alone or r.alone or r.total + n.n > 64)::int
+    from r join n on n.page_id = r.page_id and n.i = r.i + 1)
+select page_id, 0 as part, chunk as pos, string_agg(text, chr(10) order by i) as chunk from r group by page_id, r.chunk""")
+def html_chunks(spark, d):
+    """Blocks of pages packed to 64 tokens; these pages hold no tables."""
+    return html_blocks.page_chunks(table(spark, d, "pages"), "page_id", "html", 64)
+
+
+@query("html_table_parts", f"""
+with recursive rows as (select p_brand, row_number() over (partition by p_brand order by p_partkey) as i, '<tr><td>' || coalesce(p_name, '') || '</td><td>' || coalesce(p_size::varchar, '') || '</td></tr>' as text from part),
+u as (select p_brand, 0 as i, '<tr><th>p_name</th><th>p_size</th></tr>' as text from (select distinct p_brand from part) union all select * from rows),
+n as (select *, len(regexp_extract_all(lower(text), '{_WORDS}')) as n from u),
+r as (select p_brand, i, text, n as total, 0 as pos from n where i = 0
+  union all select n.p_brand, n.i, n.text, case when r.total + n.n > 90 then n.n else r.total + n.n end, r.pos + (r.total + n.n > 90)::int from r join n on n.p_brand = r.p_brand and n.i = r.i + 1)
+select p_brand, pos::int as pos, '<table>' || string_agg(text, '' order by i) || '</table>' as chunk from r group by p_brand, pos""")
+def html_table_parts(spark, d):
+    """A table of all parts of a brand, cut to tables of 90 tokens."""
+    whole = chunking.row_pages(table(spark, d, "part"), ["p_partkey"], ["p_name", "p_size"], ["p_brand"], 1_000_000_000)
+    return html_blocks.table_parts(whole, "p_brand", "html", 90)
