@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import levels, vectors
-from .operators import aggregates, pages, tables
+from .operators import aggregates, pages, regions, tables
 from .registry import query
 from .shared import table, written
 
@@ -294,3 +294,62 @@ def box_distances(spark, d):
     angle = (F.col("id") % 4 * 90).cast("int")
     at = vectors.rotated_back(F.col("x0"), F.col("top"), angle, F.lit(600.0), F.lit(800.0))
     return b.select("page", "id", vectors.across(F.col("a"), F.col("b")).alias("dx"), vectors.below(F.col("a"), F.col("b")).alias("dy"), vectors.char_width(F.col("a"), F.col("text")).alias("wide"), at["x"].alias("rx"), at["y"].alias("ry"))
+
+
+#: Boxes of documents of eight pages with tables, figures, captions and source lines.
+_REGION_BOX = {
+    "doc": "cast(floor(l_orderkey / 32) as bigint)",
+    "page": "cast(floor(l_orderkey / 4) % 8 as int)",
+    "id": _BOX["id"],
+    "x0": _BOX["x0"],
+    "x1": _BOX["x1"],
+    "top": "cast(300 * (floor(l_orderkey / 4) % 8) + 10 * (l_orderkey % 4 * 7 + l_linenumber) as double)",
+    "bottom": "cast(300 * (floor(l_orderkey / 4) % 8) + 10 * (l_orderkey % 4 * 7 + l_linenumber) + 6 + l_partkey % 7 as double)",
+    "text": "case when l_partkey % 13 = 0 then '资料来源: x' when l_partkey % 13 = 1 then '表 1: a' when l_partkey % 29 = 2 then '图2 b' else concat(l_returnflag, l_linestatus, cast(l_partkey as string)) end",
+    "layoutno": "case when l_suppkey % 17 = 0 then null else concat('r', cast(l_orderkey % 2 as int)) end",
+    "layout_type": "case when l_suppkey % 3 = 0 then 'table' when l_suppkey % 11 = 1 then 'figure' when l_suppkey % 13 = 1 then 'title' when l_suppkey % 7 = 2 then 'figure caption' else 'text' end",
+}
+_REGIONS_SQL = "b0 as (select " + ", ".join(f"{e.replace(' as string', ' as varchar')} as {n}" for n, e in _REGION_BOX.items()) + """ from lineitem),
+b as (select *, 9.0::double as mh, (top + bottom) / 2 as mid, row_number() over (partition by doc order by page, top, x0, id, text, layout_type) as n,
+  contains(layout_type, 'caption') or regexp_matches(text, '^[图表]+[ 0-9:：]{2,}') as cap, layout_type in ('table', 'figure') and layoutno is not null as inside from b0),
+o as (select *, case when inside and not regexp_matches(text, '^(数据|资料|图表)*来源[:： ]') then page || '/' || layoutno || '/' || layout_type end as own from b),
+l as (select *, last_value(own ignore nulls) over (partition by doc order by n rows between unbounded preceding and 1 preceding) as before from o),
+stopped as (select distinct doc, before as own from l where before is not null and layoutno is not null and (cap or layout_type in ('table caption', 'title', 'figure caption', 'reference'))),
+r as (select doc, own, any_value(layout_type) as kind, any_value(page) as page, min(n) as first, arg_min(top, n) as top, arg_min(x0, n) as x0, arg_min(mid, n) as mid0, arg_max(mid, n) as mid1 from o where own is not null group by doc, own),
+p as (select r.*, lag({'page': page, 'mid': mid1, 'stopped': s.own is not null}) over (partition by r.doc, kind order by top, x0, first) as prev from r left join stopped s on s.doc = r.doc and s.own = r.own),
+c as (select *, last_value(case when kind = 'table' and not prev.stopped and page - prev.page = 1 and mid0 - prev.mid <= 9 * 23 then null else first end ignore nulls) over (partition by doc, kind order by top, x0, first) as region from p),
+m as (select o.*, c.region from o left join c on c.doc = o.doc and c.own = o.own where o.own is not null or not o.inside),
+d as (select a.doc, a.n, m.region, m.layout_type as kind, m.n as pos, (m.mid - a.mid) ** 2 + case when a.x1 < m.x0 or a.x0 > m.x1 then least(abs(a.x1 - m.x0), abs(a.x0 - m.x1), abs(a.x0 + a.x1 - m.x0 - m.x1) / 2) else 0 end ** 2 as d
+  from m a join m on a.doc = m.doc and a.region is null and a.cap and m.region is not null),
+near as (select doc, n, arg_min(region, (d, kind <> 'figure', region, pos)) as region from d group by doc, n),
+f as (select m.* exclude (region), coalesce(m.region, near.region) as region, case when m.region is not null then 'member' when near.region is not null then 'caption' else 'text' end as role from m left join near on near.doc = m.doc and near.n = m.n),
+span as (select doc, region, page, min(x0) as x0, max(x1) as x1, min(top) as top, max(bottom) as bottom from f where region is not null group by doc, region, page),
+dist as (select s.doc, s.region, t.n, t.bottom, min(greatest(t.x0 - s.x1, s.x0 - t.x1, 0) ** 2 + greatest(t.top - s.bottom, s.top - t.bottom, 0) ** 2) as d from span s join f t on t.doc = s.doc and t.region is null group by all),
+a as (select doc, region, arg_min({'n': n, 'bottom': bottom}, (d, n)) as a from dist group by doc, region),
+place as (
+  select doc, n as region, 'text' as kind, [n, 1, 0, 0, 0]::double[] as k from f where region is null
+  union all
+  select x.doc, x.region, x.kind, [coalesce(a.a.n, -1), case when a.a.bottom < y.top then 2 else 0 end, y.top, y.x0, x.region]::double[]
+    from (select doc, region, max(layout_type) filter (role = 'member') as kind from f where region is not null group by doc, region) x
+    join (select doc, region, arg_min(top, page) as top, arg_min(x0, page) as x0 from span group by doc, region) y on y.doc = x.doc and y.region = x.region left join a on a.doc = x.doc and a.region = x.region),
+item as (select *, (row_number() over (partition by doc order by k) - 1)::int as item from place)"""
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    boxes = table(spark, d, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _REGION_BOX.items()]).withColumn("mean_height", F.lit(9.0))
+    n = F.row_number().over(Window.partitionBy("doc").orderBy("page", "top", "x0", "id", "text", "layout_type")).cast("long")
+    return regions.in_order(regions.with_regions(boxes.withColumn("n", n), ["doc"]), ["doc"])
+
+
+@query("table_regions", f"with {_REGIONS_SQL} select doc, id, n, region, role from f")
+def table_regions(spark, d):
+    return _regions(spark, d).select("doc", "id", "n", "region", "role")
+
+
+@query("region_items", f"""with {_REGIONS_SQL},
+t as (select doc, coalesce(region, n) as region, string_agg(text, chr(10) order by role <> 'caption', case when role = 'caption' then -n else n end) as text, count(distinct page) as n_pages, min(top) as top, max(bottom) as bottom from f group by doc, coalesce(region, n))
+select i.doc, item, i.kind, t.text, n_pages, top, bottom from item i join t on t.doc = i.doc and t.region = i.region""")
+def region_items(spark, d):
+    out = regions.items(_regions(spark, d), ["doc"])
+    edge = lambda f, c: f(F.transform("pages", lambda x: x[c]))
+    return out.select("doc", "item", "kind", "text", F.size("pages").cast("long").alias("n_pages"), edge(F.array_min, "top").alias("top"), edge(F.array_max, "bottom").alias("bottom"))
