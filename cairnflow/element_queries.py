@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import chunking, elements, html_blocks
+from .operators import chunking, elements, html_blocks, json_parts
 from .registry import query
 from .shared import table
 
@@ -105,3 +105,20 @@ def html_table_parts(spark, d):
     """A table of all parts of a brand, cut to tables of 90 tokens."""
     whole = chunking.row_pages(table(spark, d, "part"), ["p_partkey"], ["p_name", "p_size"], ["p_brand"], 1_000_000_000)
     return html_blocks.table_parts(whole, "p_brand", "html", 90)
+
+
+@query("json_parts", """
+with recursive m as (select user_id, '"e' || event_id || '": ' || props as m, row_number() over (partition by user_id order by event_id) as i from events),
+r as (select user_id, i, m, length(m) + 2 as size, 0 as pos from m where i = 1
+  union all
+  select m.user_id, m.i, m.m, case when m.user_id % 2 = 0 and length(m.m) + 2 < 300 - r.size then r.size + length(m.m) + 2 else length(m.m) + 2 end,
+    case when m.user_id % 2 = 0 and length(m.m) + 2 < 300 - r.size then r.pos else r.pos + 1 end from r join m on m.user_id = r.user_id and m.i = r.i + 1)
+select user_id, pos, '{' || string_agg(m, ', ' order by i) || '}' as part from r group by user_id, pos""")
+def json_parts_of_users(spark, d):
+    """The events of a user as one object, or for odd ids as lines of JSON among which one is broken."""
+    member = F.concat(F.lit('"e'), "event_id", F.lit('": '), "props")
+    docs = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", member.alias("m")))), lambda x: x["m"]).alias("m"))
+    lines = F.concat(F.array_join(F.transform("m", lambda x: F.concat(F.lit("{"), x, F.lit("}"))), "\n"), F.lit("\n{broken"))
+    whole = F.concat(F.lit("{"), F.array_join("m", ", "), F.lit("}"))
+    docs = docs.select("user_id", F.when(F.col("user_id") % 2 == 0, whole).otherwise(lines).alias("doc"))
+    return json_parts.json_parts(docs, "user_id", "doc", 150)
