@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import folders, models
+from .plans import questions
 from .registry import query
 from .search_queries import TOKENS_SQL
-from .shared import table, written
+from .shared import checked_broadcast, table, written
 
 
 @query("embedded_texts", f"""
@@ -86,3 +87,59 @@ def ancestor_names(spark, d):
     region = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("w").alias("parent"), F.col("r_name").alias("name"))
     root = spark.createDataFrame([("w", None, "world")], "id string, parent string, name string")
     return folders.ancestors_of(nodes.unionByName(region).unionByName(root))
+
+
+def _rewriter():
+    """A model that isn't one: capitalised words are entities, the last word tells the type; it fails on long questions and leaves out fields."""
+
+    def rewrite(question: str) -> dict:
+        if len(question) % 5 == 0:
+            raise ValueError("no answer")
+        names, words = re.findall("[A-Z][a-z]+", question), question.split(" ")
+        return {"target_types": [w[:3] for w in words[-1:]], "entities": names} | ({"keywords": words[:2], "intent": "find"} if len(question) % 2 else {})
+
+    return rewrite
+
+
+@query("rewritten_questions", r"""
+with q as (select conv_id, turn, regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as q from conversations where role = 'user'),
+k as (select lower(q) as key, min(q) as one from q group by lower(q)),
+a as (select conv_id, turn, q, one, length(one) % 5 = 0 as failed, length(one) % 2 = 1 as whole, string_split(one, ' ') as words from q join k on lower(q) = key)
+select conv_id, turn, array_to_string(case when failed then [] else [replace(upper(substr(words[-1], 1, 3)), 'ẞ', 'SS')] end, '|') as types, array_to_string(case when failed then [q] else regexp_extract_all(one, '[A-Z][a-z]+') end, '|') as entities,
+  array_to_string(case when whole and not failed then words[1:2] else list_filter(string_split_regex(q, '[\s\p{Z}]+'), lambda w: w <> '') end, '|') as keywords, case when whole and not failed then 'find' else q end as intent, failed from a""")
+def rewritten_questions(spark, d):
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    said = lambda c: F.array_join(c, "|").alias(c)
+    out = questions.rewritten(asked, _rewriter)
+    return out.select("conv_id", "turn", F.array_join("target_types", "|").alias("types"), said("entities"), said("keywords"), "intent", F.col("error").isNotNull().alias("failed"))
+
+
+def _reversed():
+    """A translator of words that are written backwards."""
+    return lambda question: {"keywords": question.split()[:3], "translated": [w[::-1] for w in question.split()] if len(question) % 7 else []}
+
+
+@query("asked_again", f"""
+with d as (select distinct doc_id, unnest({TOKENS_SQL}) as term from documents),
+q as (select item_id, text, trim(case when item_id % 3 = 0 then text else reverse(text) end, ' ') as said from benchmark),
+t1 as (select distinct item_id, unnest(regexp_extract_all(lower(said), '{{WORDS}}', 1)) as term from q), n1 as (select item_id, count(*) as n from t1 group by item_id),
+h1 as (select item_id, doc_id, count(*) as n from t1 join d using (term) group by all), f1 as (select h1.item_id as query_id, doc_id, h1.n, 1 as asked from h1 join n1 using (item_id) where 10 * h1.n >= 5 * n1.n),
+b as (select item_id, said || ' ' || array_to_string(list_transform(string_split_regex(said, '\\s+'), lambda w: reverse(w)), ' ') as said from q where item_id not in (select query_id from f1) and length(said) % 7 <> 0),
+t2 as (select distinct item_id, unnest(regexp_extract_all(lower(said), '{{WORDS}}', 1)) as term from b), n2 as (select item_id, count(*) as n from t2 group by item_id),
+h2 as (select item_id, doc_id, count(*) as n from t2 join d using (term) group by all)
+select * from f1 union all select h2.item_id, doc_id, h2.n, 2 from h2 join n2 using (item_id) where 10 * h2.n >= 2 * n2.n""".replace("{WORDS}", r"([\p{L}\p{N}_]+)"))
+def asked_again(spark, d):
+    """Questions of which two in three are written backwards; documents with half of a question's words are hits (two tenths when it is
+    asked with its translations, as half of it is strange to them)."""
+    items = table(spark, d, "benchmark")
+    asked = items.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, F.col("text")).otherwise(F.reverse("text")).alias("text"))
+    terms = written(table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")), "terms")
+    shares = iter((5, 2))
+
+    def ask(q):
+        words = q.select("query_id", F.array_distinct(text.tokens(F.col("text"))).alias("t"))
+        words = words.select("query_id", F.size("t").alias("all"), F.explode("t").alias("term"))
+        hits = terms.join(checked_broadcast(words), "term").groupBy("query_id", "doc_id", "all").agg(F.count("*").alias("n"))
+        return hits.where(F.col("n") * 10 >= F.col("all") * next(shares)).select("query_id", "doc_id", "n")
+
+    return questions.asked_again(asked, ask, _reversed)

@@ -25,7 +25,7 @@ Embedder = Callable[[list[str]], list[list[float]]]
 Extractor = Callable[[str], dict]
 
 
-def _called(factory: Callable[[], Callable], batch: int, ask: Callable[[Callable, list[str]], list], kind: pa.DataType):
+def called(factory: Callable[[], Callable], batch: int, ask: Callable[[Callable, list[str]], list], kind: pa.DataType):
     """An iterator of Arrow batches of texts to (result, error), ``batch`` texts a call; null texts aren't asked about."""
     schema = pa.struct([("result", kind), ("error", pa.string())])
 
@@ -55,7 +55,7 @@ def embedded(df: DataFrame, text_col: str, factory: Callable[[], Embedder], batc
             raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
         return [[float(x) for x in v] for v in vectors]
 
-    run = _called(factory, batch, ask, pa.list_(pa.float32()))
+    run = called(factory, batch, ask, pa.list_(pa.float32()))
 
     @F.arrow_udf("result array<float>, error string")
     def vectors_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -107,7 +107,7 @@ def extracted(chunks: DataFrame, factory: Callable[[], Extractor], id_col: str =
             out.append({"entities": _texts_of(answer.get("entities"), ("name", "type", "description")), "relations": _texts_of(answer.get("relations"), ("source", "target", "description"))})
         return out
 
-    run = _called(factory, 1, ask, _FOUND)
+    run = called(factory, 1, ask, _FOUND)
     entity, relation = "array<struct<name:string,type:string,description:string>>", "array<struct<source:string,target:string,description:string>>"
 
     @F.arrow_udf(f"result struct<entities:{entity},relations:{relation}>, error string")
