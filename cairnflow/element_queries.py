@@ -122,3 +122,36 @@ def json_parts_of_users(spark, d):
     whole = F.concat(F.lit("{"), F.array_join("m", ", "), F.lit("}"))
     docs = docs.select("user_id", F.when(F.col("user_id") % 2 == 0, whole).otherwise(lines).alias("doc"))
     return json_parts.json_parts(docs, "user_id", "doc", 150)
+
+
+@query("table_qa_pairs", r"""
+with r as (select p_brand, p_partkey, case when p_partkey % 5 = 0 then 'Q: ' else '' end || p_name as q, case when p_partkey % 7 = 0 then '' else p_type || ' & <' || p_size end as a,
+  row_number() over (partition by p_brand order by p_partkey) as n from part where p_name is not null)
+select p_brand, ((n - 1) // 100)::bigint as page, ((n - 1) % 100 + 1)::int as pair, q as question, a as answer, 'Question: ' || p_name || chr(9) || 'Answer: ' || a as chunk from r join part using (p_brand, p_partkey) where a <> ''""")
+def table_qa_pairs(spark, d):
+    """Tables of a hundred parts of a brand: names are questions, some with a mark, and types the answers, some of them empty."""
+    part = table(spark, d, "part").where("p_name is not null")
+    name = F.concat(F.when(F.col("p_partkey") % 5 == 0, "<b>Q</b>: ").otherwise(" "), "p_name")
+    said = F.when(F.col("p_partkey") % 7 == 0, " ").otherwise(F.concat("p_type", F.lit(" &amp; &lt;"), "p_size"))
+    pages = chunking.row_pages(part.select("p_brand", "p_partkey", name.alias("question"), said.alias("answer")), ["p_partkey"], ["question", "answer"], ["p_brand"], 100)
+    out = chunking.table_pairs(pages.withColumn("id", F.struct("p_brand", "page")), "id", "html")
+    return out.select("id.p_brand", "id.page", "pair", "question", "answer", chunking.qa_chunk(F.col("question"), F.col("answer")).alias("chunk"))
+
+
+_HAN = "length(regexp_replace(line, '[^\\x{4e00}-\\x{9fff}]', '', 'g'))"
+
+
+@query("paper_chunks", f"""
+with recursive p as (select doc_id, i, trim(s[i], ' ') as section from (select doc_id, string_split(text, chr(10)) as s from documents), lateral (select unnest(range(1, len(s) + 1)) as i)),
+s as (select doc_id, row_number() over (partition by doc_id order by i) as pos, chr(10) || case when (i - 1) % 7 = 0 then '[TITLE] ' when (i - 1) % 7 = 2 then '[ABSTRACT] ' else '' end || section as line
+  from p where section <> '' and (i - 1) % 7 not in (3, 5)),
+z as (select *, floor((length(line) - {_HAN}) / 4.0 + 1.5 * {_HAN})::int as n from s),
+r as (select doc_id, pos, line, 0 as chunk, n as total from z where pos = 1
+  union all select z.doc_id, z.pos, z.line, case when r.total > 128 then r.chunk + 1 else r.chunk end, case when r.total > 128 then z.n else r.total + z.n end from r join z on z.doc_id = r.doc_id and z.pos = r.pos + 1)
+select doc_id::varchar as name, 'text' as kind, chunk::int as pos, string_agg(line, '' order by r.pos) as chunk from r group by doc_id, r.chunk""")
+def paper_chunks(spark, d):
+    """Lines of documents as parts of papers: titles, abstracts, references, headers and text by their place."""
+    tags = F.array(*map(F.lit, ["title@@1", "text", " Abstract@@2", "reference title@@3", "text@@4", "Header@@5", ""]))
+    parts = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    parts = parts.withColumns({"tag": F.get(tags, F.col("pos") % 7), "strategy": F.lit("paper")})
+    return chunking.chunked(parts, "name", "pos", "text", "tag", "strategy", 128)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..shared import written
+from .html_blocks import unescaped
 
 #: Heading patterns by family, from the highest level down. Fixed values.
 BULLETS: list[list[str]] = [
@@ -21,6 +23,9 @@ BULLETS: list[list[str]] = [
     ["#[^#]", "##[^#]", "###", "####", "#####", "######"],
 ]
 PACKED_TOKENS = 218
+MANUAL_DEPTH = 2
+#: Layouts of a paper's parts that begin with a mark, and that are dropped.
+PAPER_MARKED, PAPER_DROPPED = ("abstract", "title"), ("header", "footer")
 #: How numbered questions begin. Fixed values.
 QUESTIONS = ["第([零一二三四五六七八九十百0-9]+)问", "第([零一二三四五六七八九十百0-9]+)条", "[\\(（]([零一二三四五六七八九十百]+)[\\)）]", "第([0-9]+)问", "第([0-9]+)条", "([0-9]{1,2})[\\. 、]", "([零一二三四五六七八九十百]+)[ 、]", "[\\(（]([0-9]{1,2})[\\)）]", "QUESTION (ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE|TEN)", "QUESTION (I+V?|VI*|XI|IX|X)", "QUESTION ([0-9]+)"]
 
@@ -139,12 +144,35 @@ def whole_chunks(parts: DataFrame, doc_col: str, pos_col: str, text_col: str, pe
     return parts.groupBy(*keys).agg(F.array_join(F.transform(items, lambda x: x["t"]), joiner).alias("chunk"))
 
 
+def table_pairs(tables: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, pair, question, answer) from the first two cells of the rows of HTML tables, tags taken out and characters decoded; rows with an empty
+    one and headings of such tables are left out. ``pair`` is the row's place. Null and broken tables have the rows that can be read."""
+    inner = lambda name, c: F.regexp_extract_all(c, F.lit(rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>"), F.lit(1))
+    said = lambda c: F.regexp_replace(unescaped(F.regexp_replace(c, "<[^>]*>", "")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    rows = tables.select(id_col, F.posexplode(inner("tr", F.col(html_col))).alias("pair", "row")).withColumn("cells", inner("td", F.col("row")))
+    t = rows.where(F.size("cells") >= 2).select(id_col, "pair", said(F.get("cells", F.lit(0))).alias("question"), said(F.get("cells", F.lit(1))).alias("answer"))
+    return t.where((F.col("question") != "") & (F.col("answer") != "") & ~F.lower("question").isin("question", "问题", "q"))
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], out: str = "_n") -> DataFrame:
+    """``rows`` with their number within their group, from 1. Rows are dealt to ranges of (group, order), which are numbered by themselves and
+    moved by the rows of the group in the ranges before: a large group is many tasks. Ranges are written, so that a task that is run again
+    finds the same; rows of equal order are numbered in any order."""
+    ranges = rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    ranges = written(ranges, "numbered")
+    counts = ranges.groupBy(*group, "_range").agg(F.count("*").alias("_held"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.select(F.struct(*group, "_range").alias("_at"), F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_moved"))
+    own = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    t = ranges.withColumn(out, own).join(moved, F.struct(*group, "_range").eqNullSafe(F.col("_at")))
+    return t.withColumn(out, F.col(out) + F.col("_moved")).drop("_range", "_at", "_moved")
+
+
 def row_pages(rows: DataFrame, order: list[str], cells: list[str], group: list[str], size: int = 256) -> DataFrame:
     """(group, page, n_rows, html): rows as tables of ``size`` rows with the header repeated."""
-    w = Window.partitionBy(*group).orderBy(*order)
     head = "<tr>" + "".join(f"<th>{c}</th>" for c in cells) + "</tr>"
     row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>")) for c in cells], F.lit("</tr>"))
-    t = rows.withColumn("_n", F.row_number().over(w)).withColumn("page", F.floor((F.col("_n") - 1) / size))
+    t = numbered(rows, group, order).withColumn("page", F.floor((F.col("_n") - 1) / size))
     items = F.sort_array(F.collect_list(F.struct("_n", row.alias("r"))))
     html = F.concat(F.lit(f"<table>{head}"), F.array_join(F.transform(items, lambda x: x["r"]), ""), F.lit("</table>"))
     return t.groupBy(*group, "page").agg(F.count("*").alias("n_rows"), html.alias("html"))
@@ -152,9 +180,8 @@ def row_pages(rows: DataFrame, order: list[str], cells: list[str], group: list[s
 
 def row_batches(rows: DataFrame, order: list[str], line_col: str, group: list[str], size: int = 10, english: bool = True) -> DataFrame:
     """(group, batch, chunk): lines of ``size`` rows each, joined by semicolons."""
-    at = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     items = F.sort_array(F.collect_list(F.struct("_n", F.col(line_col).alias("line"))))
-    t = rows.withColumn("_n", at).withColumn("batch", F.floor(F.col("_n") / size).cast("int"))
+    t = numbered(rows, group, order).withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("int"))
     return t.groupBy(*group, "batch").agg(F.array_join(F.transform(items, lambda x: x["line"]), "; " if english else "； ").alias("chunk"))
 
 
@@ -293,7 +320,7 @@ def question_family(lines: Column) -> Column:
     return F.coalesce(F.when(lines.isNull(), -1), found)
 
 
-STRATEGIES = ("naive", "laws", "book", "table", "presentation", "one", "qa")
+STRATEGIES = ("naive", "laws", "book", "table", "presentation", "one", "qa", "manual", "paper")
 
 
 def strategy_of(name: Column, wanted: Column) -> Column:
@@ -302,6 +329,11 @@ def strategy_of(name: Column, wanted: Column) -> Column:
     return F.when(F.lower(name).rlike(r"[.]pptx?$"), F.lit("presentation")).otherwise(known)
 
 
+def layout_of(tag: Column) -> Column:
+    """The layout in a part's tag: what stands before its position."""
+    return F.lower(F.trim(F.substring_index(tag, "@@", 1)))
+
+
 def page_chunks(parts: DataFrame, doc_col: str, pos_col: str, text_col: str, tag_col: str) -> DataFrame:
     """(doc, pos, chunk): a chunk a page; the page's number stands in the part's tag. Parts without one come last, each
     for itself."""
@@ -317,8 +349,9 @@ def page_chunks(parts: DataFrame, doc_col: str, pos_col: str, text_col: str, tag
 
 def chunked(parts: DataFrame, name_col: str, pos_col: str, text_col: str, tag_col: str, strategy_col: str, budget: int = 512, depth: int = 3) -> DataFrame:
     """(name, kind, pos, chunk) of parsed parts, each document by its own strategy (see ``strategy_of``). Parts tagged
-    ``table`` are chunks of kind ``table`` as they are; positions count within a kind. Laws go by paths of headings, books by
-    the tree of headings, both by the budget where no heading family is found. A document's parts meet in one row."""
+    ``table`` are chunks of kind ``table`` as they are; positions count within a kind. Laws and manuals go by paths of headings (manuals by
+    two levels), books by the tree of headings, all by the budget where no heading family is found. Papers lose references, headers and
+    footers, told by their tags, and mark titles and abstracts. A document's parts meet in one row."""
     t = parts.where(F.trim(text_col) != "").withColumn("_strategy", strategy_of(F.col(name_col), F.col(strategy_col)))
     is_table = F.coalesce(F.col(tag_col) == "table", F.lit(False))
     body, tables = t.where(~is_table), t.where(is_table)
@@ -330,11 +363,15 @@ def chunked(parts: DataFrame, name_col: str, pos_col: str, text_col: str, tag_co
     lines = body.where("_strategy = 'qa'").select(name_col, pos_col, F.posexplode(F.split(text_col, "\n")).alias("_line", "_text"))
     pairs = qa_pairs(lines, name_col, [pos_col, "_line"], "_text")
     outs.append(flat(pairs.select(name_col, (F.col("pair") - 1).cast("int").alias("pos"), qa_chunk(F.col("question"), F.col("answer")).alias("chunk"))))
-    items = F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.trim(text_col).alias("t"))))
-    held = body.where("_strategy in ('naive', 'table', 'laws', 'book')").groupBy(name_col, "_strategy").agg(F.transform(items, lambda x: x["t"]).alias("_parts"))
+    kind = F.when(F.col("_strategy") == "paper", layout_of(F.coalesce(F.col(tag_col), F.lit(""))))
+    said = F.concat(F.when(kind.isin(*PAPER_MARKED), F.concat(F.lit("["), F.upper(kind), F.lit("] "))).otherwise(""), F.trim(text_col))
+    items = F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), said.alias("t"))))
+    held = body.where("_strategy in ('naive', 'table', 'laws', 'book', 'manual', 'paper')").where(~F.coalesce(kind.contains("reference") | kind.isin(*PAPER_DROPPED), F.lit(False)))
+    held = held.groupBy(name_col, "_strategy").agg(F.transform(items, lambda x: x["t"]).alias("_parts"))
     held = voted_families(held, name_col, text_col, F.col("_parts"))
-    plain = held.where("_strategy in ('naive', 'table') or family < 0").select(name_col, F.posexplode(merged_sections(F.col("_parts"), budget)).alias("pos", "chunk"))
+    plain = held.where("_strategy in ('naive', 'table', 'paper') or family < 0").select(name_col, F.posexplode(merged_sections(F.col("_parts"), budget)).alias("pos", "chunk"))
     outs.append(flat(plain))
-    for strategy, cut in (("laws", lambda own, family: packed_paths(hierarchy_paths(own, family, depth))), ("book", lambda own, family: tree_chunks_of(own, family, depth))):
+    paths = lambda most: lambda own, family: packed_paths(hierarchy_paths(own, family, most))
+    for strategy, cut in (("laws", paths(depth)), ("manual", paths(MANUAL_DEPTH)), ("book", lambda own, family: tree_chunks_of(own, family, depth))):
         outs.append(flat(_per_document(held.where(F.col("_strategy") == strategy), name_col, F.col("_parts"), cut, "family")))
     return reduce(DataFrame.unionByName, outs)

@@ -3,6 +3,7 @@
 import random
 import re
 
+from cairnflow.operators import chunking
 from cairnflow.operators import html_blocks as hb
 
 INNER = [b for b in hb.BLOCKS if b not in ("p", "li", "table")]
@@ -158,3 +159,26 @@ def test_table_parts(spark):
         got.setdefault(r.id, []).append((r.pos, r.chunk))
     table = lambda *ns: "<table>" + "".join(map(row, ns)) + "</table>"
     assert {k: [c for _, c in sorted(v)] for k, v in got.items()} == {0: [table(3, 3), table(3)], 1: [table(50), table(1)], 2: [table(1), table(50)]}
+
+
+def test_table_pairs(spark):
+    html = "<table><tr><td>Question</td><td>x</td></tr><TR><td a='1'> <b>What</b> &amp;\n why </td><td>so</td><td>more</td></TR><tr><td>one</td></tr><tr><td>q</td><td>1</td></tr><tr><td>a</td><td> </td></tr><tr><td>open"
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id long, html string")
+    assert [tuple(r) for r in chunking.table_pairs(df, "id", "html").collect()] == [(1, 1, "What &\n why", "so")]
+
+
+def test_numbered(spark):
+    rnd = random.Random(51)
+    rows = [(rnd.choice(["hot", "hot", "hot", "a", "b", None]), k, f"x{k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k long, _range_of string").repartition(7)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = chunking.numbered(df, ["g"], ["k"]).collect()
+        whole = {r.k: r._n for r in chunking.numbered(df, [], ["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    for g in ("hot", "a", "b", None):
+        assert [r._n for r in sorted((r for r in got if r.g == g), key=lambda r: r.k)] == list(range(1, sum(r[0] == g for r in rows) + 1))
+    assert whole == {k: k + 1 for k in range(3000)}
+    assert set(got[0].asDict()) == {"g", "k", "_range_of", "_n"} and chunking.numbered(df.where("k < 0"), ["g"], ["k"]).count() == 0
