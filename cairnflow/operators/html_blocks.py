@@ -52,12 +52,13 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-def _with_depth(df: DataFrame, id_col: str, name: str, of: Column) -> DataFrame:
-    """``df`` with ``name``: how many tags of those that ``of`` tells are open behind each token."""
+def _with_depths(df: DataFrame, id_col: str, of: dict[str, Column]) -> DataFrame:
+    """``df`` with a column for each name of ``of``: how many tags of those that it tells are open behind each token."""
     w = Window.partitionBy(id_col).orderBy("k")
-    step = F.when(of, F.when(F.col("closes"), -1).otherwise(1)).otherwise(0)
-    df = df.withColumn("_sum", F.sum(step).over(w))
-    return df.withColumn(name, F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w))).drop("_sum")
+    step = lambda told: F.when(told, F.when(F.col("closes"), -1).otherwise(1)).otherwise(0)
+    df = df.withColumns({f"_sum_{n}": F.sum(step(told)).over(w) for n, told in of.items()})
+    lowest = {n: F.min(f"_sum_{n}").over(w) for n in of}
+    return df.withColumns({n: F.col(f"_sum_{n}") - F.least(F.lit(0), low) for n, low in lowest.items()}).drop(*[f"_sum_{n}" for n in of])
 
 
 def tags(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -67,7 +68,7 @@ def tags(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     t = pages.select(F.col(id_col), F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0))).alias("k", "token"))
     name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
     t = t.withColumns({"name": F.when(F.col("token").rlike("^<."), name), "closes": F.col("token").startswith("</")})
-    t = _with_depth(t, id_col, "open_tables", F.coalesce(F.col("name") == "table", F.lit(False)))
+    t = _with_depths(t, id_col, {"open_tables": F.coalesce(F.col("name") == "table", F.lit(False))})
     w = Window.partitionBy(id_col).orderBy("k")
     before = F.coalesce(F.lag("open_tables").over(w), F.lit(0))
     begins = (F.col("open_tables") == 1) & (before == 0)
@@ -94,8 +95,9 @@ def html_blocks(tokens: DataFrame, id_col: str) -> DataFrame:
     inner = [b for b in BLOCKS if b not in ("p", "li", "table")]
     name, opens = F.col("name"), ~F.col("closes")
     is_in = lambda names: F.coalesce(name.isin(names), F.lit(False))
-    t = _with_depth(tokens, id_col, "depth", is_in(inner) & ~F.col("in_table"))
-    t = _with_depth(t, id_col, "all_open", F.coalesce(name != "", F.lit(False)) & ~is_in([*VOID, "p", "li"]) & ~F.col("in_table"))
+    out = ~F.col("in_table")
+    any_tag = F.coalesce(name != "", F.lit(False)) & ~is_in([*VOID, "p", "li"])
+    t = _with_depths(tokens, id_col, {"depth": is_in(inner) & out, "all_open": any_tag & out})
     w, level = Window.partitionBy(id_col).orderBy("k"), Window.partitionBy(id_col, "depth").orderBy("k")
     last = lambda when, *cols, over: F.last(F.when(when, F.struct(*cols)), ignorenulls=True).over(over)
     ends = is_in([*[b for b in BLOCKS if b != "code"], *ENDS_P])
