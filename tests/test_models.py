@@ -66,3 +66,14 @@ def test_folder_tree(spark):
 def test_ancestors(spark):
     nodes = spark.createDataFrame([(1, None, "root"), (2, 1, "mid"), (3, 2, "leaf"), (4, 99, "alone")], "id long, parent long, name string")
     assert {r.id: r.names for r in folders.ancestors_of(nodes).collect()} == {1: ["root"], 2: ["mid", "root"], 3: ["leaf", "mid", "root"], 4: ["alone"]}
+
+
+def test_walks_beyond_the_row_limit_of_recursive_queries(spark):
+    nodes = spark.createDataFrame([(0, None, "root"), *[(k, (k - 1) // 3, f"n{k}") for k in range(1, 40)]], "id long, parent long, name string")
+    known = spark.createDataFrame([(f"/a/b{k}",) for k in range(30)] + [("/a",)], "path string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")
+    try:
+        assert {r.id: len(r.names) for r in folders.ancestors_of(nodes).collect()} == {k: 1 + (k > 0) + (k > 3) + (k > 12) + (k > 39) for k in range(40)}
+        assert folders.folder_tree(known, known.limit(0).selectExpr("path as folder", "0L as n_rows")).count() == 32
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
