@@ -9,13 +9,14 @@ layouts count as empty; documents without regions keep their order.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..functions import vectors
-from .pages import per_group, schema_of
+from .pages import floats, per_group, schema_of
 
 #: How a line that names a source begins, layouts behind which a table does not go on, and how many mean heights a gap may have.
 SOURCE = r"^(数据|资料|图表)*来源[:： ]"
@@ -50,63 +51,64 @@ def with_regions(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return kept.join(roots, [*keys, "_own"], "left").drop("_own").select(*boxes.drop("_own", "region").columns, "region")
 
 
-def _nearest(at: pd.DataFrame, of: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For each box of ``at`` the place of the nearest one of ``of``, the first of several, and its squared distance: of the middles down
-    the page; across it none where both overlap, else of facing edges or middles."""
-    place, found = np.zeros(len(at), int), np.full(len(at), np.inf)
-    x0, x1, mid = (of[c].to_numpy(float) for c in ("x0", "x1", "mid"))
-    for i, (a0, a1, am) in enumerate(zip(at["x0"], at["x1"], at["mid"], strict=True)):
-        if len(of):
+def _nearest(at: dict[str, np.ndarray], of: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each box of ``at`` the region of the nearest one of ``of``, the first of several, and its squared distance: of the middles down
+    the page; across it none where both overlap, else of facing edges or middles. Without any the region is -1, infinitely far."""
+    region, found = np.full(len(at["mid"]), -1), np.full(len(at["mid"]), np.inf)
+    x0, x1, mid = of["x0"], of["x1"], of["mid"]
+    if len(mid):
+        for i, (a0, a1, am) in enumerate(zip(at["x0"], at["x1"], at["mid"], strict=True)):
             far = np.minimum(np.minimum(np.abs(a1 - x0), np.abs(a0 - x1)), np.abs(a0 + a1 - x0 - x1) / 2)
             d = (mid - am) ** 2 + np.where((a1 < x0) | (a0 > x1), far, 0.0) ** 2
-            place[i] = int(d.argmin())
-            found[i] = d[place[i]]
-    return place, found
-
-
-def captioned(doc: pd.DataFrame) -> pd.DataFrame:
-    """The boxes of a document with captions put to the region of the nearest box (``role`` caption): to a figure, unless a table is
-    nearer. Without any region they stay text."""
-    doc = doc.assign(mid=(doc["top"] + doc["bottom"]) / 2)
-    inside = doc["region"].notna()
-    at = doc[doc["caption"] & ~inside]
-    found = []
-    for kind in ("table", "figure"):
-        of = doc[inside & (doc["layout_type"] == kind)].sort_values(["region", "n"])
-        place, d = _nearest(at, of)
-        found.append((of["region"].to_numpy()[place] if len(of) else np.full(len(at), np.nan), d))
-    (table, dt), (figure, df) = found
-    region = np.where(dt < df, table.astype(float), figure.astype(float))
-    doc["role"] = np.where(inside, "member", "text")
-    doc.loc[at.index, "region"] = pd.array(region, "Float64").astype("Int64") if len(at) else []
-    doc.loc[at.index[~np.isnan(region)], "role"] = "caption"
-    return doc.drop(columns="mid")
-
-
-def placed(doc: pd.DataFrame) -> pd.DataFrame:
-    """The boxes of a document with ``item``: the order of texts and regions from 0. A region stands before or, where that ends above it,
+            k = int(d.argmin())
+            region[i], found[i] = of["region"][k], d[k]
+    return region, found
+
+
+def captioned(doc: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The region of each box of a document (-1 for none) and whether it is there as a caption. Captions are put to the region of the nearest
+    box: to a figure, unless a table is nearer. Without any region they stay text."""
+    region, inside = doc["region"].copy(), doc["region"] >= 0
+    lone = np.flatnonzero(doc["caption"] & ~inside)
+    if len(lone) and inside.any():
+        at = {c: doc[c][lone] for c in ("x0", "x1", "mid")}
+        (table, dt), (figure, df) = (
+            _nearest(at, {c: doc[c][of] for c in ("x0", "x1", "mid", "region")})
+            for kind in ("table", "figure")
+            for of in [np.flatnonzero(inside & doc[kind])]
+            for of in [of[np.lexsort((doc["n"][of], doc["region"][of]))]]
+        )
+        region[lone] = np.where(dt < df, table, figure)
+    return region, ~inside & (region >= 0)
+
+
+def placed(doc: dict[str, np.ndarray], region: np.ndarray) -> np.ndarray:
+    """The item of each box of a document: the order of texts and regions from 0. A region stands before or, where that ends above it,
     behind the text nearest to one of its boxes of pages; regions at one text are in order from above."""
-    inside = doc["region"].notna()
-    said = doc[~inside].sort_values("n")
-    spans = doc[inside].groupby(["region", "page"], as_index=False).agg(x0=("x0", "min"), x1=("x1", "max"), top=("top", "min"), bottom=("bottom", "max"))
-    t0, t1, tt, tb, tn = (said[c].to_numpy(float) for c in ("x0", "x1", "top", "bottom", "n"))
-    keys = [(int(n), 1, 0.0, 0.0, 0) for n in said["n"]]
+    inside = np.flatnonzero(region >= 0)
+    said = np.flatnonzero(region < 0)
+    said = said[np.argsort(doc["n"][said], kind="stable")]
+    t0, t1, tt, tb, tn = (doc[c][said] for c in ("x0", "x1", "top", "bottom", "n"))
+    spans: dict[int, dict[int, list[float]]] = {}
+    for r, page, x0, x1, top, bottom in zip(region[inside].tolist(), *(doc[c][inside].tolist() for c in ("page", "x0", "x1", "top", "bottom")), strict=True):
+        b = spans.setdefault(r, {}).setdefault(page, [x0, x1, top, bottom])
+        b[:] = min(b[0], x0), max(b[1], x1), min(b[2], top), max(b[3], bottom)
+    keys = [(n, 1, 0.0, 0.0, 0) for n in tn.tolist()]
     of = {}
-    for region, own in spans.groupby("region"):
-        first = own.iloc[0]
+    for r, own in spans.items():
+        first = own[min(own)]
         side, anchor = 0, -1
         if len(said):
             d = np.full(len(said), np.inf)
-            for x0, x1, top, bottom in own[["x0", "x1", "top", "bottom"]].to_numpy(float):
+            for x0, x1, top, bottom in own.values():
                 wide = np.maximum(np.maximum(t0 - x1, x0 - t1), 0.0)
                 high = np.maximum(np.maximum(tt - bottom, top - tb), 0.0)
                 d = np.minimum(d, wide**2 + high**2)
             k = int(d.argmin())
-            anchor, side = int(tn[k]), 2 if tb[k] < first["top"] else 0
-        of[region] = (anchor, side, float(first["top"]), float(first["x0"]), int(region))
+            anchor, side = int(tn[k]), 2 if tb[k] < first[2] else 0
+        of[r] = (anchor, side, first[2], first[0], r)
     order = {key: i for i, key in enumerate(sorted([*keys, *of.values()]))}
-    item = [order[of[r]] if pd.notna(r) else order[(int(n), 1, 0.0, 0.0, 0)] for r, n in zip(doc["region"], doc["n"], strict=True)]
-    return doc.assign(item=np.array(item, np.int32))
+    return np.array([order[of[r]] if r >= 0 else order[(n, 1, 0.0, 0.0, 0)] for r, n in zip(region.tolist(), doc["n"].tolist(), strict=True)], np.int32)
 
 
 def in_order(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,8 +117,22 @@ def in_order(boxes: DataFrame, keys: list[str]) -> DataFrame:
     cols = boxes.columns
     marked = boxes.withColumn("caption", texts.is_caption(F.coalesce("text", F.lit("")), F.coalesce("layout_type", F.lit(""))))
 
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        return placed(captioned(doc.astype({"region": "Int64"})))[[*cols, "role", "item"]]
+    def fold(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        x0, x1, top, bottom = floats(rows, "x0", "x1", "top", "bottom")
+        kind = pc.fill_null(rows.column("layout_type").combine_chunks(), "")
+        one = lambda c, rest: pc.fill_null(rows.column(c).combine_chunks(), rest).to_numpy(zero_copy_only=False)
+        all_ = {"x0": x0, "x1": x1, "top": top, "bottom": bottom, "mid": (top + bottom) / 2, "n": one("n", -1), "page": one("page", -1), "region": one("region", -1), "caption": one("caption", False)}
+        all_ |= {k: pc.equal(kind, k).to_numpy(zero_copy_only=False) for k in ("table", "figure")}
+        region, caption, item = np.empty(rows.num_rows, np.int64), np.empty(rows.num_rows, bool), np.empty(rows.num_rows, np.int32)
+        for i, j in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            doc = {c: v[i:j] for c, v in all_.items()}
+            region[i:j], caption[i:j] = captioned(doc)
+            item[i:j] = placed(doc, region[i:j])
+        role = np.where(caption, "caption", np.where(region >= 0, "member", "text"))
+        out = rows.select(cols)
+        at = out.schema.get_field_index("region")
+        out = out.set_column(at, out.field(at), pa.array(region, out.field(at).type, mask=region < 0))
+        return out.append_column("role", pa.array(role.tolist(), pa.string())).append_column("item", pa.array(item, pa.int32()))
 
     return per_group(marked, keys, ["n"], fold, schema_of(boxes, "role string", "item int"))
 

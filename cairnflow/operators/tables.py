@@ -7,7 +7,8 @@ lone cells is joins and aggregates by table; that is a fold over one table at a
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,10 +102,15 @@ def lone_moved(cells: list[dict]) -> list[dict]:
 def without_lone_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """``cells`` with new ``rn`` and ``cn`` (see ``lone_moved``)."""
 
-    def fold(table: pd.DataFrame) -> pd.DataFrame:
-        light = table[["rn", "cn", "x0", "x1", "top", "bottom", "text"]].to_dict("records")
-        moved = lone_moved(light)
-        return table.assign(rn=[c["rn"] for c in moved], cn=[c["cn"] for c in moved])
+    def fold(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        names = ["rn", "cn", "x0", "x1", "top", "bottom", "text"]
+        light = [dict(zip(names, r, strict=True)) for r in zip(*[rows.column(c).to_pylist() for c in names], strict=True)]
+        for i, j in zip(starts, [*starts[1:], len(light)], strict=True):
+            lone_moved(light[i:j])
+        for c in ("rn", "cn"):
+            at = rows.schema.get_field_index(c)
+            rows = rows.set_column(at, rows.field(at), pa.array([x[c] for x in light], rows.field(at).type))
+        return rows
 
     flat = cells.withColumns({f"span_{e}": F.col(f"span.{e}") for e in ("x0", "x1", "top", "bottom")}).drop("span")
     out = per_group(flat, keys, ["rn", "cn", "id"], fold, schema_of(flat))
