@@ -51,9 +51,11 @@ def under_tool_folder(df: DataFrame, folder: str, col: str = "folder") -> DataFr
 
 
 def upserted(old: DataFrame, new: DataFrame, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
-    """Old and new rows, of each id the one with the largest sequence number; new ones win ties."""
+    """Old and new rows, of each id the one with the largest sequence number; new ones win ties. Of several new rows of one number that
+    with the least values stays, so that every run keeps the same."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(id_col).orderBy(F.desc(seq_col), F.desc("_new"))
+    rest = [c for c, kind in both.dtypes if c not in (id_col, seq_col, "_new") and "map<" not in kind]
+    w = Window.partitionBy(id_col).orderBy(F.desc(seq_col), F.desc("_new"), *rest)
     return both.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_new")
 
 

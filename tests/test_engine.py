@@ -410,3 +410,10 @@ def test_graph_save_and_load(spark, tmp_path):
     graph.save(nodes, edges, f"file://{tmp_path}/g")
     got = graph.load(spark, f"file://{tmp_path}/g", "key string, name string, pagerank double")
     assert got[0].collect() == nodes.collect() and got[1].collect() == edges.collect()
+
+
+def test_upsert_ties_do_not_follow_the_order_of_rows(spark):
+    old = spark.createDataFrame([(1, "o", 1)], "id long, v string, seq int")
+    new = spark.createDataFrame([(1, "b", 2), (1, "a", 2)], "id long, v string, seq int")
+    for rows in (new, new.orderBy("v"), new.orderBy(F.desc("v"))):
+        assert [r.v for r in filters.upserted(old, rows.coalesce(1)).collect()] == ["a"]
