@@ -168,10 +168,24 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], out: str = "_n
     return t.withColumn(out, F.col(out) + F.col("_moved")).drop("_range", "_at", "_moved")
 
 
+def _row_html(cells: list[str]) -> Column:
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>")) for c in cells], F.lit("</tr>"))
+
+
+def _head_html(cells: list[str]) -> str:
+    return "<tr>" + "".join(f"<th>{c}</th>" for c in cells) + "</tr>"
+
+
+def table_rows(rows: DataFrame, order: str, cells: list[str], group: list[str]) -> DataFrame:
+    """(group, head, order, row): the rows of a table a group as HTML, below a header (``head`` 0) each."""
+    body = rows.select(*group, F.lit(1).alias("head"), order, _row_html(cells).alias("row"))
+    none = F.lit(None).cast(rows.schema[order].dataType).alias(order)
+    return body.unionByName(rows.select(*group).distinct().select(*group, F.lit(0).alias("head"), none, F.lit(_head_html(cells)).alias("row")))
+
+
 def row_pages(rows: DataFrame, order: list[str], cells: list[str], group: list[str], size: int = 256) -> DataFrame:
     """(group, page, n_rows, html): rows as tables of ``size`` rows with the header repeated."""
-    head = "<tr>" + "".join(f"<th>{c}</th>" for c in cells) + "</tr>"
-    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    head, row = _head_html(cells), _row_html(cells)
     t = numbered(rows, group, order).withColumn("page", F.floor((F.col("_n") - 1) / size))
     items = F.sort_array(F.collect_list(F.struct("_n", row.alias("r"))))
     html = F.concat(F.lit(f"<table>{head}"), F.array_join(F.transform(items, lambda x: x["r"]), ""), F.lit("</table>"))

@@ -1,4 +1,4 @@
-"""HTML as blocks of text and tables, and their packing into chunks: windows over tags, nothing but DataFrame functions.
+"""HTML as blocks of text and tables, and their packing into chunks: windows over tags; rows of tables are packed as they stream by.
 
 A page is read as a run of tags and texts. Open elements are depths: running sums of opened and closed tags, of which closings
 without an opening are taken out. A document is one group, whose rows are its tags and texts.
@@ -6,10 +6,15 @@ without an opening are taken out. A document is one group, whose rows are its ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
+from .pages import schema_of, starts_of
 
 #: Elements that are blocks of text, marks of headings (five for the fourth level too), elements without an end.
 BLOCKS = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "div", "article", "section", "aside", "ul", "ol", "li", "table", "pre", "code", "blockquote", "figure", "figcaption"]
@@ -120,25 +125,46 @@ def html_blocks(tokens: DataFrame, id_col: str) -> DataFrame:
     return out.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("g")) - 1).alias("pos"), "content")
 
 
-def _starts(pieces: Column, opens) -> Column:
-    """Places of the array of ``pieces`` (n, alone) where a chunk begins: one fold within the row; ``opens(total, piece)`` tells where the
-    last chunk is full."""
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("total"), F.lit(True).alias("closed"))
-
-    def step(state: Column, piece: Column) -> Column:
-        first = state["closed"] | piece["alone"] | opens(state["total"], piece["n"])
-        starts = F.when(first, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
-        return F.struct(starts.alias("starts"), (state["at"] + 1).alias("at"), F.when(first, piece["n"]).otherwise(state["total"] + piece["n"]).alias("total"), piece["alone"].alias("closed"))
-
-    return F.aggregate(pieces, start, step, lambda s: s["starts"])
-
-
-def _joined(df: DataFrame, id_col: str, separator: str) -> DataFrame:
-    """(id, pos, chunk) of rows with ``pieces`` (text) and ``starts``."""
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size("pieces")))
-    t = df.where("size(starts) > 0").withColumn("ends", ends).select(id_col, "pieces", F.posexplode(F.arrays_zip("starts", "ends")).alias("pos", "at"))
-    part = F.slice("pieces", F.col("at.starts") + 1, F.col("at.ends") - F.col("at.starts"))
-    return t.select(id_col, "pos", F.array_join(F.transform(part, lambda x: x["text"]), separator).alias("chunk"))
+def packed(rows: DataFrame, group: list[str], order: list[str], budget: int, separator: str = "", front: str = "", end: str = "") -> DataFrame:
+    """(group, pos, chunk): neighbouring pieces (text, n, alone) of a group in their ``order``, joined while they hold ``budget`` tokens (``n``) or
+    fewer; a larger piece, and one with ``alone``, is a chunk by itself. Pieces stream through the fold, which holds those of one chunk."""
+    rows = rows.select(*group, *[c for c in order if c not in group], "text", "n", "alone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the row before the batch
+        held: list[str] = []
+        total, pos, closed = 0, 0, False
+
+        def chunks(owners: pa.Table, at: list[int], places: list[int], made: list[str]) -> Iterator[pa.RecordBatch]:
+            out = owners.select(group).take(pa.array(at, pa.int64()))
+            out = out.append_column("pos", pa.array(places, pa.int32())).append_column("chunk", pa.array(made, pa.string()))
+            yield from out.combine_chunks().to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            both = pa.Table.from_batches([b] if last is None else [last, b])
+            begins = np.zeros(both.num_rows, bool)
+            begins[starts_of(both, group)] = True
+            ahead = both.num_rows - b.num_rows
+            begins[0] = begins[0] and not ahead
+            at, places, made = [], [], []
+            for k, (text, n, alone, first) in enumerate(zip(*[b.column(c).to_pylist() for c in ("text", "n", "alone")], begins[ahead:].tolist(), strict=True), ahead):
+                if held and (first or closed or alone or total + n > budget):
+                    at.append(k - 1)
+                    places.append(pos)
+                    made.append(front + separator.join(held) + end)
+                    held, total, pos = [], 0, pos + 1
+                pos = 0 if first else pos
+                held.append(text)
+                total, closed = total + n, alone
+            if made:
+                yield from chunks(both, at, places, made)
+            last = b.slice(b.num_rows - 1)
+        if held:
+            yield from chunks(pa.Table.from_batches([last]), [0], [pos], [front + separator.join(held) + end])
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema_of(rows.select(*group), "pos int", "chunk string"))
 
 
 def packed_blocks(blocks: DataFrame, id_col: str, budget: int = 512, pos_col: str = "pos", text_col: str = "content") -> DataFrame:
@@ -153,20 +179,23 @@ def packed_blocks(blocks: DataFrame, id_col: str, budget: int = 512, pos_col: st
     )
     whole = F.array(F.struct("text", F.size("words").alias("n"), F.lit(False).alias("alone")))
     rows = rows.select(id_col, "pos", F.when(large, cut).otherwise(whole).alias("cut"))
-    t = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "cut"))).alias("rows"))
-    t = t.select(id_col, F.flatten(F.transform("rows", lambda x: x["cut"])).alias("pieces"))
-    t = t.withColumn("starts", _starts(F.transform("pieces", lambda x: F.struct(x["n"].alias("n"), x["alone"].alias("alone"))), lambda total, n: total + n > budget))
-    return _joined(t, id_col, "\n").where("chunk <> ''")
+    pieces = rows.select(id_col, F.col("pos").alias("_pos"), F.posexplode("cut").alias("_k", "piece")).select(id_col, "_pos", "_k", "piece.*")
+    return packed(pieces, [id_col], ["_pos", "_k"], budget, "\n").where("chunk <> ''")
+
+
+def packed_rows(rows: DataFrame, group: list[str], order: list[str], row_col: str, budget: int = 512) -> DataFrame:
+    """(group, pos, chunk): the rows of each group's table in their ``order`` as tables of ``budget`` tokens or fewer, tags counted; a larger
+    row is one alone."""
+    text = F.col(row_col)
+    pieces = rows.select(*group, *order, text.alias("text"), F.size(texts.tokens(text)).alias("n"), F.lit(False).alias("alone"))
+    return packed(pieces, group, order, budget, front="<table>", end="</table>")
 
 
 def table_parts(tables: DataFrame, id_col: str, html_col: str, budget: int = 512) -> DataFrame:
     """(id, pos, chunk): each table cut between rows into tables of ``budget`` tokens or fewer, tags counted; a larger row is one alone.
     Tables within cells are cut with their rows; tables without rows give nothing."""
-    rows = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<tr\b[^>]*>.*?</tr\s*>"), F.lit(0))
-    pieces = F.transform(rows, lambda r: F.struct(r.alias("text"), F.size(texts.tokens(r)).alias("n")))
-    t = tables.select(id_col, pieces.alias("pieces"))
-    t = t.withColumn("starts", _starts(F.transform("pieces", lambda x: F.struct(x["n"].alias("n"), F.lit(False).alias("alone"))), lambda total, n: total + n > budget))
-    return _joined(t, id_col, "").withColumn("chunk", F.concat(F.lit("<table>"), "chunk", F.lit("</table>")))
+    found = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<tr\b[^>]*>.*?</tr\s*>"), F.lit(0))
+    return packed_rows(tables.select(id_col, F.posexplode(found).alias("_k", "_row")), [id_col], ["_k"], "_row", budget)
 
 
 def page_chunks(pages: DataFrame, id_col: str, html_col: str, budget: int = 512) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from cairnflow.operators import chunking
 from cairnflow.operators import html_blocks as hb
 
@@ -161,6 +163,19 @@ def test_table_parts(spark):
     assert {k: [c for _, c in sorted(v)] for k, v in got.items()} == {0: [table(3, 3), table(3)], 1: [table(50), table(1)], 2: [table(1), table(50)]}
 
 
+def test_packed_rows_stream(spark):
+    """A table of many batches comes in linear time, and its rows don't travel with each of its chunks."""
+    rows = spark.range(60_000).selectExpr("id % 2 as g", "id as k", "concat('<tr><td>w', id, '</td></tr>') as r")
+    got = {}
+    for r in hb.packed_rows(rows, ["g"], ["k"], "r", 12).collect():
+        got.setdefault(r.g, []).append((r.pos, r.chunk))
+    for g in (0, 1):
+        own = [f"<tr><td>w{k}</td></tr>" for k in range(g, 60_000, 2)]
+        assert [c for _, c in sorted(got[g])] == ["<table>" + "".join(own[k : k + 2]) + "</table>" for k in range(0, len(own), 2)]
+    whole = rows.where("g = 0").groupBy("g").agg(F.concat(F.lit("<table>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
+    assert sorted((r.pos, r.chunk) for r in hb.table_parts(whole, "g", "html", 12).collect()) == sorted(got[0])
+
+
 def test_table_pairs(spark):
     html = "<table><tr><td>Question</td><td>x</td></tr><TR><td a='1'> <b>What</b> &amp;\n why </td><td>so</td><td>more</td></TR><tr><td>one</td></tr><tr><td>q</td><td>1</td></tr><tr><td>a</td><td> </td></tr><tr><td>open"
     df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id long, html string")
