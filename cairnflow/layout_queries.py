@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import levels, vectors
 from .operators import aggregates, pages, regions, tables
 from .registry import query
-from .shared import table, written
+from .shared import table
 
 #: The boxes of pages, in expressions that Spark and the SQL share.
 _BOX = {
@@ -216,9 +216,9 @@ from (select *, coalesce(r0, rn) as first from x) x left join h on h.page = x.pa
 group by x.page, first, coalesce(c0, cn)""")
 def table_spans(spark, d):
     cells, bands = _table_cells(spark, d)
-    placed = written(tables.in_bands(cells, tables.aligned_bands(bands, ["page"]), ["page"]), "cells")
-    heads = tables.header_rows(placed, ["page"]).withColumn("head", F.lit(True))
-    return tables.spanned(placed, ["page"]).join(heads, ["page", "rn"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
+    placed = tables.in_bands(cells, tables.aligned_bands(bands, ["page"]), ["page"])
+    grid = tables.spanned(tables.with_heads(placed, ["page"]), ["page"])
+    return grid.select("page", "rn", "cn", "rowspan", "colspan", "text", F.array_contains("heads", F.col("rn")).alias("head"))
 
 
 @query("table_html_spans")

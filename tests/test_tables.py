@@ -1,6 +1,7 @@
 """Tables with spans: small ones in full, and lone cells against a plain grid."""
 
 import random
+import re
 
 from cairnflow.operators import tables
 
@@ -107,5 +108,20 @@ def test_lone_cells_in_tables(spark):
     assert out.count("lone") == 1 and "<tr><td>x</td><td>lone</td><td>x</td></tr>" in out
 
 
+def exchanges_of(df):
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_cells_are_shuffled_by_their_table_only(spark):
+    """Bands, header rows and spans are windows by table: neither cells nor bands are dealt by cell, row or place."""
+    cells = spark.createDataFrame([cell(1, 0, 0, "x"), cell(2, 0, 1, "y"), cell(3, 1, 1, "z")], CELL)
+    bands = spark.createDataFrame(grid(2, 2, head=(0,), spans=[(0, 49, 0, 39)]), BAND)
+    placed = tables.in_bands(cells, bands, ["page"])
+    out = tables.spanned(tables.with_heads(placed, ["page"]), ["page"])
+    found = exchanges_of(out)
+    assert 1 <= len(found) <= 4 and all(re.match(r"page#[0-9]+L?, [0-9]+$", x) for x in found), found
+    assert sorted((r.rn, r.cn, r.rowspan, r.colspan, r.text, r.heads) for r in out.collect()) == [(0, 0, 2, 1, "x", [0]), (0, 1, 1, 1, "y", [0]), (1, 1, 1, 1, "z", [0])]
+
+
 def test_empty(spark):
     assert html_of(spark, [], grid(2, 2)) is None
