@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from ..shared import tasks_of
 
 BOX = ("x0", "x1", "top", "bottom")
 
@@ -90,6 +91,7 @@ def page_offsets(pages: DataFrame, doc_col: str, page_col: str, height_col: str)
 def table_grid(cells: DataFrame, keys: list[str], row_gap: float, column_gap: float) -> DataFrame:
     """``cells`` with the row and column that their tops and left edges fall in, from 0."""
     rows, cols = Window.partitionBy(*keys).orderBy("top"), Window.partitionBy(*keys).orderBy("x0")
+    cells = cells.repartition(tasks_of(cells), *keys)  # tasks that grow with the cells sort no more of them
     new = lambda c, w, gap: F.coalesce((F.col(c) - F.lag(c).over(w) > gap).cast("int"), F.lit(0))
     t = cells.withColumns({"_r": new("top", rows, row_gap), "_c": new("x0", cols, column_gap)})
     return t.withColumns({"R": F.sum("_r").over(rows), "C": F.sum("_c").over(cols)}).drop("_r", "_c")

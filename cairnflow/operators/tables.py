@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..shared import tasks_of
 from . import layout
-from .pages import per_group, schema_of, tasks_of
+from .pages import per_group, schema_of
 
 #: Least shared part of a cell that puts it into a band, and the least numbers of rows and columns with lone cells moved.
 LEAST_SHARED, LEAST_LINES = 0.3, 4

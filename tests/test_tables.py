@@ -3,7 +3,7 @@
 import random
 import re
 
-from cairnflow.operators import tables
+from cairnflow.operators import layout, tables
 
 BAND = "page long, kind string, band_id int, x0 double, x1 double, top double, bottom double"
 CELL = "page long, id long, x0 double, x1 double, top double, bottom double, text string"
@@ -125,3 +125,12 @@ def test_cells_are_shuffled_by_their_table_only(spark):
 
 def test_empty(spark):
     assert html_of(spark, [], grid(2, 2)) is None
+
+
+def test_sorts_of_a_grid_are_dealt_by_its_rows(spark, monkeypatch):
+    """More cells are more tasks, not larger ones."""
+    cells = spark.createDataFrame([(k // 4, 50.0 * (k % 2), 20.0 * (k // 2 % 2), f"t{k}") for k in range(400)], "page long, x0 double, top double, text string")
+    monkeypatch.setattr("cairnflow.shared.TASK_ROWS", 40)
+    out = layout.table_grid(cells, ["page"], 5, 5)
+    assert [x.split(", ")[1] for x in exchanges_of(out)] == ["10"]
+    assert {r.html for r in layout.table_html(out.where("page = 3"), ["page"]).collect()} == {"<table><tr><th>t12</th><th>t13</th></tr><tr><td>t14</td><td>t15</td></tr></table>"}
