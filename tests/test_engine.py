@@ -1,5 +1,6 @@
 """Unit tests of functions, chunking, graph, layout, plans and routing."""
 
+import math
 import random
 import re
 import time
@@ -335,6 +336,21 @@ def test_overlap_against_a_loop(spark):
         assert got == {k: plain(r, 12, percent) for k, r in enumerate(rows)}
 
 
+def test_vectors_by_slices(spark):
+    """A task that takes few rows at a time keeps the same best ones, ties over slices by id, and sends on no more than these."""
+    rnd = random.Random(12)
+    kinds = [[rnd.uniform(-1, 1) for _ in range(3)] for _ in range(6)]
+    data = [(k, rnd.choice(kinds)) for k in rnd.sample(range(1000), 200)]
+    rows = spark.createDataFrame(data, "id long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(k, v) for k, v in enumerate(kinds)], "query_id long, vector array<double>")
+    out = ranking.vector_topk_many(rows, asked, 40, slice_rows=7)
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 9)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, []).append((-round(r.sim, 9), r.id))
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in sorted((-cos(v, e), i) for i, e in data)[:40]] for q, v in enumerate(kinds)}
+
+
 def plain_terms(tokens):
     """Short runs taken off the front of the list, one at a time."""
     import re
