@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,14 +78,23 @@ def usual_title_level(levels: DataFrame, doc_col: str, pos_col: str, level_col:
     return counted.groupBy(doc_col).agg(F.coalesce(F.max_by(F.when(own, F.col(level_col)), F.when(own, F.struct("n", -F.col("first")))), F.lit(most + 1)).alias(level_col))
 
 
+#: Code points of white space, and ranges of those of Chinese, Japanese and Korean characters and of ASCII marks.
+WHITE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
+ASIAN = ((0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F), (0xAC00, 0xD7AF))
+MARKS = ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+
+
 def font_garbled(chars: DataFrame, keys: list[str], text_col: str = "text", font_col: str = "font", least: int = 20) -> DataFrame:
     """(keys, garbled) of pages by their characters: at least three in ten are of a font subset, fewer than one in twenty Chinese,
     Japanese or Korean, and more than four in ten ASCII marks, as where a font maps its glyphs to these. Pages of fewer than ``least``
     characters other than white space are not."""
-    first = F.substring(text_col, 1, 1)
-    seen = chars.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"^\s*$"))
+    text, code = F.coalesce(F.col(text_col), F.lit("")), F.col("_code")
+    white = code.isin(*WHITE) & ((F.length(text) == 1) | text.rlike(r"^\s*$"))  # the rest of a text is looked at where it begins with white space
+    seen = chars.withColumn("_code", F.ascii(text)).where((text != "") & ~white)
+    within = lambda *ranges: functools.reduce(lambda a, b: a | b, [code.between(*r) for r in ranges])
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
-    subset, asian = F.col(font_col).rlike(r"^[A-Z0-9]{2,6}\+"), first.rlike(r"[\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}\x{AC00}-\x{D7AF}]")
-    marks = first.rlike(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")
+    plus = F.instr(font_col, "+")
+    subset = plus.between(3, 7) & F.col(font_col).rlike(r"^[A-Z0-9]{2,6}\+")
+    asian, marks = within(*ASIAN), within(*MARKS)
     out = seen.groupBy(*keys).agg(F.count("*").alias("n"), share(subset).alias("subset"), share(asian).alias("asian"), share(marks).alias("marks"))
     return out.select(*keys, ((F.col("n") >= least) & (F.col("subset") >= 0.3) & (F.col("asian") < 0.05) & (F.col("marks") > 0.4)).alias("garbled"))

@@ -46,3 +46,11 @@ def test_font_garbled(spark):
 def test_points(spark):
     at = spark.range(1).select(*[vectors.rotated_back(F.lit(3), F.lit(4), F.lit(a), F.lit(10), F.lit(20)).alias(f"r{a}") for a in (0, 90, 180, 270)]).first()
     assert [tuple(x) for x in at] == [(3, 4), (6, 3), (7, 16), (4, 17)]
+
+
+def test_font_garbled_by_code_points(spark):
+    """Characters beyond the first plane are Chinese, and a line separator is no white space, as in the SQL."""
+    page = lambda p, text: [(p, x, "ABC1+F") for x in text]
+    rows = page(1, "#" * 19 + " ") + page(2, "#" * 19 + " ") + page(3, "#" * 18 + "\U00020000" * 2) + page(4, "#" * 20 + "一") + page(5, "#" * 10 + "a" * 15)
+    df = spark.createDataFrame(rows, "page int, text string, font string")
+    assert {r.page: r.garbled for r in aggregates.font_garbled(df, ["page"]).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
