@@ -97,3 +97,15 @@ def test_stream_windows(spark, tmp_path):
     q = ingest.stage_windows(stream, "ts", "stage", "ms").writeStream.format("memory").queryName("stage_w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.n, r.avg_ms, r.max_ms) for r in spark.table("stage_w").collect()) == [(1, 1.0, 1.0), (2, 3.0, 4.0)]
+
+
+def test_few_files_at_a_time():
+    """Sections leave before all files of a batch are parsed, and none is lost."""
+    import pyarrow as pa
+
+    paths = [f"{k}.txt" for k in range(500)]
+    files = pa.RecordBatch.from_arrays([pa.array(paths), pa.array(["\n\n".join(f"line {k} {n}" for n in range(20)).encode() for k in range(500)])], names=["path", "content"])
+    out = list(parsers.parsed_batches(iter([files, files.slice(0, 0)])))
+    assert len(out) > 2 and max(b.num_rows for b in out) < 3000
+    want = [(p, k, *s) for p, c in zip(paths, files.column(1).to_pylist(), strict=True) for k, s in enumerate(parsers.parse(p, c))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
