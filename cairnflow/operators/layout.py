@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..shared import tasks_of
+from .pages import per_group, schema_of
 
 BOX = ("x0", "x1", "top", "bottom")
 
@@ -60,26 +59,18 @@ def suppressed(boxes: DataFrame, keys: list[str], score_col: str = "score", most
     """Non-maximum suppression within a page and class: boxes that overlap a better one by more than ``most`` go. Small
     groups come in one stream per partition, sorted by their keys; only one group is held at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
-
-        def keep(part: pd.DataFrame) -> pd.DataFrame:
-            at: list[int] = []
-            values, scores = part[list(BOX)].to_numpy(float), part[score_col].to_numpy(float)
-            for own in part.groupby(keys, dropna=False, sort=False).indices.values():
-                at += own[kept_boxes(values[own], scores[own], most)].tolist()
-            return part.iloc[sorted(at)]
-
-        for b in batches:
-            part = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            last = (part[keys].eq(part[keys].iloc[-1]) | (part[keys].isna() & part[keys].iloc[-1].isna())).all(axis=1) if len(part) else None
-            rest = part[last] if last is not None else part
-            if last is not None and not last.all():
-                yield keep(part[~last].reset_index(drop=True))
-        if rest is not None and len(rest):
-            yield keep(rest.reset_index(drop=True))
-
-    return boxes.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, boxes.schema)
+    def fold(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        values = np.stack([rows.column(c).cast(pa.float64()).to_numpy() for c in BOX], axis=1)
+        scores = rows.column(score_col).cast(pa.float64()).to_numpy()
+        ends = np.append(starts[1:], rows.num_rows)
+        kept = np.zeros(rows.num_rows, bool)
+        alone = ends - starts == 1  # nothing to overlap
+        kept[starts[alone]] = True
+        for a, b in zip(starts[~alone].tolist(), ends[~alone].tolist(), strict=True):
+            kept[[a + k for k in kept_boxes(values[a:b], scores[a:b], most)]] = True
+        return rows.filter(pa.array(kept))
+
+    return per_group(boxes, keys, [], fold, schema_of(boxes))
 
 
 def page_offsets(pages: DataFrame, doc_col: str, page_col: str, height_col: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +337,20 @@ def test_overlap_against_a_loop(spark):
         assert got == {k: plain(r, 12, percent) for k, r in enumerate(rows)}
 
 
+def test_suppression_takes_many_pages_at_once(spark):
+    """Pages come as Arrow batches; lone boxes, null pages and pages over several batches are kept as by the plain rule."""
+    rnd = random.Random(13)
+    rows = [(rnd.choice([None, *range(40)]) if k % 2 else 1000 + k, k, rnd.uniform(0, 50), rnd.uniform(60, 90), rnd.uniform(0, 50), rnd.uniform(60, 90), rnd.random()) for k in range(400)]
+    df = spark.createDataFrame(rows, "page int, id int, x0 double, x1 double, top double, bottom double, score double")
+    out = layout.suppressed(df, ["page"])
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for page in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == page]
+        want |= {own[k][1] for k in layout.kept_boxes(np.array([r[2:6] for r in own]), np.array([r[6] for r in own]), 0.2)}
+    assert {r.id for r in out.collect()} == want and len(want) < 400
+
+
 def test_vectors_by_slices(spark):
     """A task that takes few rows at a time keeps the same best ones, ties over slices by id, and sends on no more than these."""
     rnd = random.Random(12)
