@@ -51,6 +51,6 @@ def test_points(spark):
 def test_font_garbled_by_code_points(spark):
     """Characters beyond the first plane are Chinese, and a line separator is no white space, as in the SQL."""
     page = lambda p, text: [(p, x, "ABC1+F") for x in text]
-    rows = page(1, "#" * 19 + " ") + page(2, "#" * 19 + " ") + page(3, "#" * 18 + "\U00020000" * 2) + page(4, "#" * 20 + "一") + page(5, "#" * 10 + "a" * 15)
+    rows = page(1, "#" * 19 + " ") + page(2, "#" * 19 + " ") + page(3, "#" * 18 + "\U00020000" * 2) + page(4, "#" * 20 + "一") + page(5, "#" * 10 + "a" * 15) + page(6, "#" * 18 + "\u2028" * 2)
     df = spark.createDataFrame(rows, "page int, text string, font string")
-    assert {r.page: r.garbled for r in aggregates.font_garbled(df, ["page"]).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False}
+    assert {r.page: r.garbled for r in aggregates.font_garbled(df, ["page"]).collect()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
