@@ -9,12 +9,14 @@ shingles, of which ``BLOCKS`` are filed: a pair at 0.8 shares one with a compute
 of parts follows the size of the set in steps; texts in the upper range of a step are filed under the next one as well.
 
 Texts with equal sets are one node. Nodes that share a block are candidates; those whose whole fingerprints are within
-``MOST_BITS`` (asked of sets of 64 shingles or more) are verified on the whole sets. The nodes of a block held by more than
-``later_bucket`` are verified against a few hubs, those in the most such blocks. In blocks of up to ``max_bucket``, nodes that this leaves in
-different components are then compared pair by pair. In larger ones, nodes like none of the hubs are filed anew under pairs of shared
-blocks, then triples and so on, so that no large bucket is compared pair by pair and unlike texts with a passage in common part. Two nodes of
-a block of more than ``max_bucket`` that are like each other but like different hubs are linked only by another block or node: there,
-links can be lost.
+``MOST_BITS`` (asked of sets of 64 shingles or more) and whose sketches allow it are verified on the whole sets. A sketch holds,
+for each of ``SKETCH`` buckets, whether an odd number of the set's shingles falls into it; a shingle that only one of two sets
+holds turns one bit over, so sketches differ in no more bits than the sets in shingles, and this check loses no pair.
+
+The nodes of a block of more than ``max_bucket`` are first verified against a few hubs, those in the most such blocks. Then pairs of
+all blocks, whatever their size, are taken whose nodes are in different components so far: a large group of copies costs a row for each
+node and hub, and no link of a block is left out. That step compares a full block's nodes of different components pair by
+pair, which adaptive execution splits over tasks; only pairs that pass the checks leave it.
 
 Defined results: null and empty texts are copies of each other; texts of fewer than five words are one shingle.
 """
@@ -22,6 +24,8 @@ Defined results: null and empty texts are copies of each other; texts of fewer t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,10 @@ SHINGLE, LEAST = 5, 0.8
 #: Blocks filed, shingles in a part of larger sets, the fewest that count there, and the sets from which that holds.
 BLOCKS, PART, FEWEST, LARGE = 24, 6, 4, 64
 MOST_BITS = 24
-#: Hubs for blocks of more nodes than are joined pair by pair.
+#: Hubs of each block of more than so many nodes as ``max_bucket`` says.
 HUBS = 3
+#: Bits of a sketch. It tells nothing of sets of some 2,300 shingles or more, whose limit is above half of it.
+SKETCH = 1024
 #: The largest set of each step; the steps span the square of 1 / LEAST, so near copies are in one step or the next.
 STEPS = [int(5 / LEAST ** (2 * k)) for k in range(60)]
 
@@ -93,12 +99,18 @@ def _whole(found: np.ndarray) -> int:
     return int(np.packbits((2 * ones > len(found)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
+def _sketch(found: np.ndarray) -> np.ndarray:
+    """Words of the parities of a set's buckets."""
+    odd = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _node(found: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 7), "<u8").view("<i8"))
 
 
 def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, node, n, fp, blocks): one row per input row; ``n`` is the size of the shingle set."""
+    """(doc_id, digest, node, n, fp, sketch, blocks): one row per input row; ``n`` is the size of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
@@ -108,14 +120,14 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), b.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_whole(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<i8"), *blocks]))),
+                    pa.array([_whole(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "<i8"), *blocks]))),
                 ],
-                names=["doc_id", "digest", "node", "n", "fp", "blocks"],
+                names=["doc_id", "digest", "node", "n", "fp", "sketch", "blocks"],
             )
 
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    return src.mapInArrow(run, "doc_id long, digest long, node long, n long, fp long, blocks array<long>")
+    return src.mapInArrow(run, "doc_id long, digest long, node long, n long, fp long, sketch array<long>, blocks array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, broadcast_rows: int) -> DataFrame:
@@ -145,70 +157,49 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _candidates(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b), a the smaller: those of the pairs (node, n, fp, b, nb, fpb) that pass the size and Hamming checks."""
+    """(a, b), a the smaller: those of the pairs (node, n, fp, sketch, b, nb, fpb, sketch_b) that pass the size, Hamming and sketch checks."""
     small = F.least("n", "nb")
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("fpb")))
+    odd = reduce(add, [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH // 64)])
     near = pairs.where(small / F.greatest("n", "nb") >= least).where((small < LARGE) | (bits <= MOST_BITS))
+    # the sets differ in at most (1 - least) / (1 + least) of their sizes' sum
+    near = near.where(odd * (1 + least) <= (F.col("n") + F.col("nb")) * (1 - least) + 1e-6)
     return near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, text_col: str, least: float = LEAST, max_bucket: int = 256, later_bucket: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
-    """Verified links (a, b) between the ``nodes`` (node, n, fp, digest, blocks)."""
-    spark, later_bucket = docs.sparkSession, min(later_bucket, max_bucket)
-    of = lambda df: df.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fpb"))
-
-    def shared(df: DataFrame) -> DataFrame:
-        """Rows whose key several nodes hold, with ``held``; the counts are written so that a hot key's rows can be split."""
-        sizes = common.written(df.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "near-sizes")
-        return common.written(df.join(sizes, "key"), "near-blocks")
-
-    base = shared(nodes.select("node", "n", "fp", F.explode("blocks").alias("key")))
-    filed = base.withColumn("last", F.col("key"))
-    wanted = base.select("node").distinct().join(nodes.select("node", "digest"), "node")
-    sets = _sets(docs, common.written(wanted, "near-wanted"), text_col, broadcast_rows)
-    known = out = spark.createDataFrame([], "a long, b long")
-
-    def found(pairs: DataFrame) -> None:
-        """Verifies the ``pairs`` not tried before."""
-        nonlocal known, out
-        pairs = common.written(pairs.distinct().join(known, ["a", "b"], "left_anti"), "near-pairs")
-        known = known.unionByName(pairs)
-        out = out.unionByName(common.written(_alike(pairs, sets, least), "near-links"))
-
-    level = 0
-    while True:
-        level += 1
-        small = filed.where(F.col("held") <= later_bucket)
-        pairs = _candidates(small.join(of(small), "key").where("node < b"), least)
-        full = filed.where(F.col("held") > later_bucket)
-        # nodes of the most full blocks first: the text that others of a group were made from has spoiled none of them
-        central = common.written(full.groupBy("node").agg(F.count("*").alias("full")), "near-central")
-        drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("full"), F.xxhash64(F.lit(f"hub {level}"), "node"), "node"))
-        hubs = full.join(central, "node").select("key", "node", "n", "fp", drawn.alias("k")).where(F.col("k") <= HUBS)
-        hubs = common.written(hubs, "near-hubs")
-        tried = common.written(full.drop("held").join(of(hubs), "key").where("node <> b"), "near-tried")
-        found(pairs.unionByName(_candidates(tried, least)))
-        if hubs.isEmpty():
-            return out
-        if level == 1 and max_bucket > later_bucket:
-            # what hubs left apart in blocks of a middle size is compared pair by pair
-            labels = common.written(simhash.components(out), "near-parts")
-            middle = full.where(F.col("held") <= max_bucket).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            middle = common.written(middle.drop("held", "last"), "near-middle")
-            other = of(middle).join(middle.select("key", F.col("node").alias("b"), F.col("label").alias("label_b")), ["key", "b"])
-            found(_candidates(middle.join(other, "key").where("node < b and label <> label_b"), least))
-            full = full.where(F.col("held") > max_bucket)
-        ends = tried.select("key", "node", F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        done = ends.join(out, ["a", "b"]).select("key", "node").unionByName(hubs.select("key", "node")).distinct()
-        left = common.written(full.drop("held").join(common.written(done, "near-done"), ["key", "node"], "left_anti"), "near-left")
-        refiled = left.join(base.select("node", F.col("key").alias("other")), "node").where("other > last")
-        filed = shared(refiled.select("node", "n", "fp", F.xxhash64("key", "other").alias("key"), F.col("other").alias("last")))
+def links(docs: DataFrame, nodes: DataFrame, text_col: str, least: float = LEAST, max_bucket: int = 32, broadcast_rows: int = 200_000) -> DataFrame:
+    """Verified links (a, b) between the ``nodes`` (node, n, fp, sketch, digest, blocks), enough to connect all that share a block and are alike."""
+    own = ["node", "n", "fp", "sketch"]
+    of = lambda df, *more: df.select("key", *more, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fp").alias("fpb"), F.col("sketch").alias("sketch_b"))
+    filed = common.written(nodes.select("node", F.explode("blocks").alias("key")), "near-filed")
+    # written, so that a hot key's rows can be split
+    sizes = common.written(filed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "near-sizes")
+    shared = common.written(filed.join(sizes, "key"), "near-shared")
+    base = common.written(shared.join(nodes.select(*own), "node"), "near-blocks")
+    wanted = common.written(shared.select("node").distinct().join(nodes.select("node", "digest"), "node"), "near-wanted")
+    sets = _sets(docs, wanted, text_col, broadcast_rows)
+
+    # nodes of the most full blocks first: the text that others of a group were made from has spoiled none of them
+    full = base.where(F.col("held") > max_bucket)
+    central = common.written(full.groupBy("node").agg(F.count("*").alias("full")), "near-central")
+    drawn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("full"), F.xxhash64("node"), "node"))
+    hubs = common.written(full.join(central, "node").select("key", *own, drawn.alias("k")).where(F.col("k") <= HUBS), "near-hubs")
+    tried = common.written(_candidates(full.join(of(hubs), "key").where("node <> b"), least).distinct(), "near-tried")
+    first = common.written(_alike(tried, sets, least), "near-first")
+
+    # what hubs leave apart, in all blocks
+    labels = common.written(simhash.components(first), "near-parts")
+    parts = base.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("held")
+    parts = common.written(parts, "near-apart")
+    pairs = parts.join(of(parts, F.col("label").alias("label_b")), "key").where("node < b and label <> label_b")
+    pairs = common.written(_candidates(pairs, least).distinct(), "near-pairs")
+    return first.unionByName(common.written(_alike(pairs, sets, least), "near-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, digest, label): label names the component of near copies."""
     rows = common.written(with_blocks(docs, id_col, text_col), "near-rows")
-    one = [F.first(c).alias(c) for c in ("n", "fp", "blocks")]
+    one = [F.first(c).alias(c) for c in ("n", "fp", "sketch", "blocks")]
     nodes = common.written(rows.groupBy("node").agg(F.min("digest").alias("digest"), *one), "near-nodes")
     labels = common.written(simhash.components(links(docs, nodes, text_col, **options)), "near-labels")
     return rows.select("doc_id", "digest", "node").join(labels, "node", "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label"))

@@ -94,3 +94,27 @@ def test_links_within_a_template_group(spark, n, low, high):
     label = {r.doc_id: r.label for r in near_copies.near_duplicates(docs).collect()}
     pairs = [(i, j) for i in range(n) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
     assert sum(label[i] == label[j] for i, j in pairs) >= 0.98 * len(pairs)
+
+
+def test_full_blocks_lose_no_link(spark):
+    """Blocks of some 500 texts of one template, few of which are near copies of each other or of a hub: of those that share a block, all are linked."""
+    rnd = random.Random(3)
+    base = say(rnd, 200)
+    texts = [" ".join(changed(rnd, base, rnd.randint(3, 5))) for _ in range(900)]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    blocks = [set(near_copies.block_keys(s).tolist()) for s in sets]
+    own = [set(s.tolist()) for s in sets]
+    pairs = [(i, j) for i in range(900) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]) and blocks[i] & blocks[j]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = {r.doc_id: r.label for r in near_copies.near_duplicates(docs).collect()}
+    assert len(pairs) > 200
+    assert [p for p in pairs if label[p[0]] != label[p[1]]] == []
+
+
+def test_sketches_differ_no_more_than_sets():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        pool = np.unique(rnd.integers(0, 1 << 63, rnd.integers(10, 3000), dtype=np.uint64))
+        a, b = (np.sort(rnd.choice(pool, rnd.integers(1, len(pool) + 1), replace=False)) for _ in range(2))
+        bits = np.bitwise_count((near_copies._sketch(a) ^ near_copies._sketch(b)).view(np.uint64)).sum(dtype=int)
+        assert bits <= len(np.setxor1d(a, b)) and bits % 2 == len(np.setxor1d(a, b)) % 2
