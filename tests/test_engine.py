@@ -482,3 +482,15 @@ def test_upsert_ties_do_not_follow_the_order_of_rows(spark):
     new = spark.createDataFrame([(1, "b", 2), (1, "a", 2)], "id long, v string, seq int")
     for rows in (new, new.orderBy("v"), new.orderBy(F.desc("v"))):
         assert [r.v for r in filters.upserted(old, rows.coalesce(1)).collect()] == ["a"]
+
+
+def test_topk_sorts_no_texts(spark, tmp_path):
+    """What the k best of all tasks meet by in one task are ids and scores; the rows are the same as by a plain sort."""
+    rows = [(f"{k:03d}", [float(k % 7 - 3), 1.0], "text " * k) for k in range(50)] + [("x", None, "no vector")]
+    spark.createDataFrame(rows, "id string, embedding array<float>, body string").write.parquet(f"{tmp_path}/t")
+    got = ranking.vector_topk(spark.read.parquet(f"{tmp_path}/t"), [1.0, 0.0], 9)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    sorts = [line for line in plan.splitlines() if "TakeOrderedAndProject" in line]
+    assert sorts and not any("body" in line or "embedding" in line.split("orderBy")[0] for line in sorts)
+    plain = sorted(rows, key=lambda r: (-(r[1][0] / (r[1][0] ** 2 + 1) ** 0.5 if r[1] else 0.0), r[0]))[:9]
+    assert sorted((r.id, r.body) for r in got.collect()) == sorted((r[0], r[2]) for r in plain)
