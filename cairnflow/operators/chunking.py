@@ -84,18 +84,26 @@ def child_texts(parent: Column, child_chars: int, marks: str = "。；！？") -
     return F.filter(F.transform(F.regexp_extract_all(parent, F.lit(pattern), F.lit(0)), lambda s: F.regexp_replace(s, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), lambda s: s != "")
 
 
+#: Bytes of text a task where rows repeat it. Parquet writes the different values of a column once a file while they are below 1 MiB; tasks are dealt by chance, so they get less.
+REPEATED_BYTES = 640_000
+
+
 def parent_child_chunks(docs: DataFrame, name_col: str, text_col: str, parent_budget: int = 1024, child_chars: int = 512) -> DataFrame:
     """(id, parent_id, kind, pos, child_pos, chunk, mom_with_weight): parents and their children (see ``child_texts``), which
-    carry their parent's text. Ids are salted by kind, so a first child never hides its parent."""
-    parents = naive_chunks(docs, name_col, text_col, parent_budget).withColumn("id", text.chunk_id(F.col(name_col), F.col("pos"), F.col("chunk"), F.lit("parent")))
-    cut = F.posexplode(child_texts(F.col("chunk"), child_chars)).alias("child_pos", "child")
-    children = parents.select(F.col("id").alias("parent_id"), name_col, "pos", F.col("chunk").alias("mom_with_weight"), cut).withColumnRenamed("child", "chunk")
-    own = text.chunk_id(F.col(name_col), F.concat_ws("-", "pos", "child_pos"), F.col("chunk"), F.lit("child"))
-    cols = ["id", "parent_id", "kind", name_col, "pos", "child_pos", "chunk", "mom_with_weight"]
-    children = children.withColumns({"id": own, "kind": F.lit("child")}).select(*cols)
-    none = F.lit(None).cast("string")
-    parents = parents.withColumns({"parent_id": none, "kind": F.lit("parent"), "child_pos": F.lit(None).cast("int"), "mom_with_weight": none}).select(*cols)
-    return parents.unionByName(children)
+    carry their parent's text. Ids are salted by kind, so a first child never hides its parent. Documents are dealt to tasks of
+    ``REPEATED_BYTES``, and a parent's rows stay in its task, so that a written file holds its text once, not once a child."""
+    docs = docs.select(name_col, text_col)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parents = naive_chunks(docs.repartition(max(1, -(-size // REPEATED_BYTES))), name_col, text_col, parent_budget).withColumnRenamed("chunk", "parent")
+    parents = parents.withColumn("own", text.chunk_id(F.col(name_col), F.col("pos"), F.col("parent"), F.lit("parent")))
+    # the parent's own row comes first, then those of its children
+    cut = F.posexplode(F.concat(F.array(F.lit(None).cast("string")), child_texts(F.col("parent"), child_chars))).alias("k", "child")
+    rows = parents.select("own", name_col, "pos", "parent", cut).withColumn("child_pos", F.when(F.col("k") > 0, F.col("k") - 1))
+    below = lambda c: F.when(F.col("k") > 0, c)
+    child_id = text.chunk_id(F.col(name_col), F.concat_ws("-", "pos", "child_pos"), F.col("child"), F.lit("child"))
+    kind = below(F.lit("child")).otherwise("parent").alias("kind")
+    chunk = below(F.col("child")).otherwise(F.col("parent")).alias("chunk")
+    return rows.select(below(child_id).otherwise(F.col("own")).alias("id"), below(F.col("own")).alias("parent_id"), kind, name_col, "pos", "child_pos", chunk, below(F.col("parent")).alias("mom_with_weight"))
 
 
 def qa_pairs(lines: DataFrame, doc_col: str, order: list[str], line_col: str) -> DataFrame:

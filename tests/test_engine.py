@@ -75,6 +75,36 @@ def test_parent_child_ids(spark):
     assert {r.mom_with_weight for r in children} == {whole}
 
 
+def test_parent_child_plain(spark):
+    """Against a plain loop: several parents, blank and null texts, equal documents."""
+    texts = ["一。 二！三" + "x" * 25 + "。。\n\nsecond part\n \n" + "y" * 45, "", " \n\n ", None, "。", "a b。c", "a b。c"]
+    rows = [(f"n{i % 6}", t) for i, t in enumerate(texts)]
+    want = []
+    for _, t in rows:
+        # each section is a parent here: with a budget of -1 the one before always exceeds it
+        for p, parent in enumerate("\n" + s.strip(" ") for s in re.split(r"\n\s*\n", t or "") if s.strip(" ")):
+            want.append(("parent", p, None, parent, None))
+            parts = [x.strip() for x in re.findall("[^。；！？]{20,}|[^。；！？]*[。；！？]|[^。；！？]+", parent)]
+            want += [("child", p, k, x, parent) for k, x in enumerate(x for x in parts if x)]
+    got = chunking.parent_child_chunks(spark.createDataFrame(rows, "name string, t string"), "name", "t", -1, 20)
+    assert got.columns == ["id", "parent_id", "kind", "name", "pos", "child_pos", "chunk", "mom_with_weight"]
+    got = got.collect()
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.kind, r.pos, r.child_pos, r.chunk, r.mom_with_weight) for r in got), key=key) == sorted(want, key=key)
+    assert {r.parent_id for r in got if r.kind == "child"} <= {r.id for r in got if r.kind == "parent"} and not any(r.parent_id for r in got if r.kind == "parent")
+    assert chunking.parent_child_chunks(spark.createDataFrame([], "name string, t string"), "name", "t").count() == 0
+
+
+def test_parent_child_written_once(spark, tmp_path):
+    """Files hold a parent's text once, not once a child, however large the table's tasks were (one here)."""
+    texts = [(str(i), "。".join(random.Random(i * 1000 + k).randbytes(90).hex() for k in range(160))) for i in range(80)]
+    size = sum(len(t.encode()) for _, t in texts)
+    chunking.parent_child_chunks(spark.createDataFrame(texts, "name string, t string").coalesce(1), "name", "t").write.parquet(out := str(tmp_path / "out"))
+    # the text as parent, as children and as what children carry, and ids
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 4 * size
+    assert spark.read.parquet(out).where("kind = 'child'").agg(F.sum(F.octet_length("mom_with_weight"))).first()[0] > 150 * size
+
+
 def test_hierarchy():
     lines = ["# A", "a1", "## B", "b1", "b2", "# C", "c1"]
     assert chunking.hierarchy_paths(lines, 4, 1) == [["# A", "a1"], ["# A", "## B", "b1"], ["# A", "## B", "b2"], ["# C", "c1"]]
