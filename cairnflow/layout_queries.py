@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import levels, vectors
 from .operators import aggregates, pages, regions, tables
 from .registry import query
-from .shared import table
+from .shared import table, tasks_of
 
 #: The boxes of pages, in expressions that Spark and the SQL share.
 _BOX = {
@@ -336,14 +336,16 @@ item as (select *, (row_number() over (partition by doc order by k) - 1)::int as
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
-    boxes = table(spark, d, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in _REGION_BOX.items()]).withColumn("mean_height", F.lit(9.0))
+    lines = table(spark, d, "lineitem").withColumn("doc", F.expr(_REGION_BOX["doc"]))
+    lines = lines.repartition(tasks_of(lines), "doc")  # all steps are by document; line items are narrower than their boxes
+    boxes = lines.selectExpr("doc", *[f"{e} as {n}" for n, e in _REGION_BOX.items() if n != "doc"]).withColumn("mean_height", F.lit(9.0))
     n = F.row_number().over(Window.partitionBy("doc").orderBy("page", "top", "x0", "id", "text", "layout_type")).cast("long")
-    return regions.in_order(regions.with_regions(boxes.withColumn("n", n), ["doc"]), ["doc"])
+    return regions.with_regions(boxes.withColumn("n", n), ["doc"])
 
 
 @query("table_regions", f"with {_REGIONS_SQL} select doc, id, n, region, role from f")
 def table_regions(spark, d):
-    return _regions(spark, d).select("doc", "id", "n", "region", "role")
+    return regions.in_order(_regions(spark, d), ["doc"]).select("doc", "id", "n", "region", "role")
 
 
 @query("region_items", f"""with {_REGIONS_SQL},
